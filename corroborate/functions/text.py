@@ -140,6 +140,14 @@ def quality_tokens(col: Column) -> Column:
     return normalised_tokens(norm_quality(col))
 
 
+def quality_words(col: Column) -> Column:
+    """quality_tokens for use inside a lambda, where a Python UDF cannot run.
+
+    Equal to it on text whose compatibility characters are already folded.
+    """
+    return normalised_tokens(F.trim(F.regexp_replace(F.lower(col), "[^a-z0-9]+", " ")))
+
+
 def normalised_tokens(normalised: Column) -> Column:
     words = F.split(normalised, " ")
     return F.array_distinct(F.filter(words, lambda w: F.length(w) > 1))

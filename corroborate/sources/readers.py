@@ -9,48 +9,38 @@ from pyspark.sql import types as T
 from corroborate.functions import text as X
 from corroborate.operators.relational import text_from_inverted_index
 
-RECORD = T.StructType.fromDDL(
-    "record_id string, title string, authors array<string>, year int, venue string, doi string, "
-    "citations bigint, abstract string, openalex_id string, openalex_type string, "
-    "referenced_works_count int, categories array<string>, source_api string, pin_reason string, "
-    "pin_unresolved boolean, snowball_from array<string>, search_angles array<string>"
+RECORD = (
+    "record_id: string, title: string, authors: array<string>, year: int, venue: string, "
+    "doi: string, citations: bigint, abstract: string, openalex_id: string, "
+    "openalex_type: string, referenced_works_count: int, categories: array<string>, "
+    "source_api: string, pin_reason: string, pin_unresolved: boolean, "
+    "snowball_from: array<string>, search_angles: array<string>"
 )
-EVIDENCE_FILE = T.StructType(
-    [
-        T.StructField("mechanism_id", T.StringType()),
-        T.StructField("fetched_at", T.StringType()),
-        T.StructField("terms", T.ArrayType(T.StringType())),
-        T.StructField("records", T.ArrayType(RECORD)),
-        T.StructField("_corrupt", T.StringType()),
-    ]
+EVIDENCE_FILE = (
+    "mechanism_id string, fetched_at string, terms array<string>, "
+    f"records array<struct<{RECORD}>>, _corrupt string"
 )
-OBSERVATION = T.StructType.fromDDL(
-    "record_id string, source_id string, origin string, title string, source_url string, "
-    "source_locator string, observed_at string, observation string, "
-    "artifact_context array<string>, contributed_by string, license_note string"
+OBSERVATION = (
+    "record_id: string, source_id: string, origin: string, title: string, source_url: string, "
+    "source_locator: string, observed_at: string, observation: string, "
+    "artifact_context: array<string>, contributed_by: string, license_note: string"
 )
-OBSERVATION_FILE = T.StructType(
-    [
-        T.StructField("mechanism_id", T.StringType()),
-        T.StructField("records", T.ArrayType(OBSERVATION)),
-        T.StructField("_corrupt", T.StringType()),
-    ]
-)
-WORK_PAGE = T.StructType.fromDDL(
+OBSERVATION_FILE = f"mechanism_id string, records array<struct<{OBSERVATION}>>, _corrupt string"
+WORK_PAGE = (
     "meta struct<count: bigint>, results array<struct<id: string, type: string, doi: string, "
     "title: string, display_name: string, publication_year: int, cited_by_count: bigint, "
     "authorships: array<struct<author: struct<display_name: string>>>, "
     "primary_location: struct<source: struct<display_name: string>>, "
     "abstract_inverted_index: map<string, array<int>>, referenced_works_count: int>>"
 )
-PAPER_PAGE = T.StructType.fromDDL(
+PAPER_PAGE = (
     "total bigint, data array<struct<title: string, authors: array<struct<name: string>>, "
     "year: int, venue: string, citationCount: bigint, abstract: string, "
     "externalIds: struct<DOI: string>>>"
 )
 
 
-def _json(spark: SparkSession, path: str, schema: T.StructType, glob: str, recursive: bool) -> DataFrame:
+def _json(spark: SparkSession, path: str, schema: str, glob: str, recursive: bool) -> DataFrame:
     reader = (
         spark.read.schema(schema)
         .option("multiLine", True)
@@ -77,12 +67,12 @@ def read_observations(spark: SparkSession, path: str) -> DataFrame:
     return files.select(F.col("mechanism_id").alias("topic_id"), F.explode("records").alias("r")).select("topic_id", "r.*")
 
 
-def read_artifacts(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+def read_artifacts(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """One document per file, nested folders, schema files left out."""
     return _json(spark, path, schema, "*.json", True).filter(~F.col("file_name").endswith(".schema.json"))
 
 
-def read_registry(spark: SparkSession, full_path: str, seed_path: str, schema: T.StructType) -> DataFrame:
+def read_registry(spark: SparkSession, full_path: str, seed_path: str, schema: str) -> DataFrame:
     full = _json(spark, full_path, schema, "*.json", False).withColumn("kind", F.lit("full"))
     stubs = _json(spark, seed_path, schema, "*.json", False).withColumn("kind", F.lit("stub"))
     return full.unionByName(stubs, allowMissingColumns=True)
@@ -90,7 +80,8 @@ def read_registry(spark: SparkSession, full_path: str, seed_path: str, schema: T
 
 def config_table(spark: SparkSession, rows: list[dict], schema: str) -> DataFrame:
     """A small authored configuration list as a table."""
-    return spark.createDataFrame([tuple(r.get(f.name) for f in T.StructType.fromDDL(schema)) for r in rows], schema)
+    names = T.StructType.fromDDL(schema).names
+    return spark.createDataFrame([tuple(r.get(n) for n in names) for r in rows], schema)
 
 
 # --- reports ------------------------------------------------------------------------------

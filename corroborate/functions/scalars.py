@@ -70,16 +70,21 @@ def month_key(ts: Column) -> Column:
     return F.date_format(ts, "yyyy-MM")
 
 
+def seconds(ts: Column) -> Column:
+    """Epoch seconds of a timestamp with or without zone (UTC session)."""
+    return F.unix_seconds(ts.cast("timestamp"))
+
+
 def age_hours(ts: Column, now: Column) -> Column:
-    return F.floor((F.unix_seconds(now) - F.unix_seconds(ts)) / 3600)
+    return F.floor((seconds(now) - seconds(ts)) / 3600)
 
 
 def age_days(ts: Column, now: Column) -> Column:
-    return F.floor((F.unix_seconds(now) - F.unix_seconds(ts)) / 86400)
+    return F.floor((seconds(now) - seconds(ts)) / 86400)
 
 
 def price_state(verified_on: Column, now: Column) -> Column:
-    elapsed = F.unix_seconds(now) - F.unix_seconds(verified_on.cast("timestamp"))
+    elapsed = seconds(now) - seconds(verified_on)
     return (
         F.when(verified_on.isNull(), "unconfigured")
         .when(elapsed > V.PRICE_STALE_DAYS * 86400, "stale")
@@ -161,3 +166,8 @@ def format_counters(counters: Column) -> Column:
         ),
         " ",
     )
+
+
+def hex_number(digest: Column, width: int = 15) -> Column:
+    """Leading hex digits of a digest as an integer that sums exactly."""
+    return F.conv(F.substring(digest, 1, width), 16, 10).cast("decimal(38,0)")

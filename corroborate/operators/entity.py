@@ -26,7 +26,9 @@ def connected_components(edges: DataFrame) -> DataFrame:
     pairs = cut_lineage(pairs)
     mark = _edge_mark(pairs)
     while mark[0]:
-        pairs = cut_lineage(_small_star(_large_star(pairs)))
+        # Below this size no node can be hot, so the salted join is not needed.
+        salted = 2 * mark[0] >= HOT_ROWS
+        pairs = cut_lineage(_small_star(_large_star(pairs, salted), salted))
         now = _edge_mark(pairs)
         if now == mark:
             break
@@ -40,9 +42,11 @@ def _edge_mark(pairs: DataFrame) -> tuple:
     return tuple(pairs.agg(F.count(F.lit(1)), digest).first())
 
 
-def _with_minimum(near: DataFrame) -> DataFrame:
+def _with_minimum(near: DataFrame, salted: bool) -> DataFrame:
     """Attach to every (u, v) the smallest v of u; a hub u is spread over tasks."""
     lowest = near.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("_rows"))
+    if not salted:
+        return near.join(lowest.drop("_rows"), "u")
     hot = (
         lowest.filter(F.col("_rows") >= HOT_ROWS)
         .orderBy(F.desc("_rows"))
@@ -52,18 +56,18 @@ def _with_minimum(near: DataFrame) -> DataFrame:
     return skew_join(near, lowest.drop("_rows"), "u", ["v"], hot=hot)
 
 
-def _large_star(pairs: DataFrame) -> DataFrame:
+def _large_star(pairs: DataFrame, salted: bool) -> DataFrame:
     there = pairs.select(F.col("hi").alias("u"), F.col("lo").alias("v"))
     back = pairs.select(F.col("lo").alias("u"), F.col("hi").alias("v"))
-    near = _with_minimum(there.unionByName(back))
+    near = _with_minimum(there.unionByName(back), salted)
     target = F.least("u", "m")
     return (
         near.filter("v > u").select(F.col("v").alias("hi"), target.alias("lo")).distinct()
     )
 
 
-def _small_star(pairs: DataFrame) -> DataFrame:
-    down = _with_minimum(pairs.select(F.col("hi").alias("u"), F.col("lo").alias("v")))
+def _small_star(pairs: DataFrame, salted: bool) -> DataFrame:
+    down = _with_minimum(pairs.select(F.col("hi").alias("u"), F.col("lo").alias("v")), salted)
     moved = down.filter("v <> m").select(F.col("v").alias("hi"), F.col("m").alias("lo"))
     kept = down.select(F.col("u").alias("hi"), F.col("m").alias("lo"))
     return moved.unionByName(kept).distinct()
@@ -94,7 +98,7 @@ def resolve_entities(df: DataFrame, row_id: str, keys: list[str]) -> DataFrame:
 
 
 RECORD_FIELDS = [
-    "title", "authors", "year", "venue", "doi", "citations", "abstract", "openalex_id",
+    "topic_id", "title", "authors", "year", "venue", "doi", "citations", "abstract", "openalex_id",
     "openalex_type", "referenced_works_count", "source_api",
 ]
 FILLED = [

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corroborate.functions import vocabulary as V
-from corroborate.functions.scalars import round4
+from corroborate.functions.scalars import hex_number, round4
 from corroborate.operators.entity import connected_components, match_any_key
 from corroborate.operators.skew import prefix_scan
 from corroborate.session import cut_lineage
@@ -240,3 +240,16 @@ def low_novelty_streak(attempts: DataFrame, keys: list[str]) -> DataFrame:
         F.min(F.when(tail, F.col("week"))).alias("streak_since"),
         F.count_if(F.col("low_novelty")).alias("low_attempts"),
     )
+
+
+def run_fingerprint(keys: DataFrame, group: str, order: str, key: str, header: Column) -> DataFrame:
+    """Digest of an ordered key list per group plus a header of its settings.
+
+    Every (position, key) pair is hashed on its own and the hashes are summed, so
+    the digest depends on the order while no task holds a whole list.
+    """
+    placed = prefix_scan(keys, [group], [F.col(order)], position="_at")
+    hashed = hex_number(F.md5(F.concat_ws(":", F.col("_at").cast("string"), F.col(key))))
+    folded = placed.groupBy(group).agg(F.count(F.lit(1)).alias("keys"), F.sum(hashed).alias("_sum"))
+    digest = F.sha2(F.concat_ws("|", header, F.col("keys").cast("string"), F.col("_sum").cast("string")), 256)
+    return folded.select(group, "keys", digest.alias("fingerprint"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corroborate.functions.scalars import grade_rank, round4, round8
+from corroborate.functions.scalars import grade_rank, round4, round8, seconds
 from corroborate.operators.skew import prefix_scan
 from corroborate.session import cut_lineage
 
@@ -297,10 +297,10 @@ def due_targets(targets: DataFrame, now: Column, stale_hours: int = 12, fresh_da
 
     Columns: paused, last_run, every_days, source_status, checked_at, changed_at.
     """
-    seconds = F.unix_seconds(now)
-    since = (seconds - F.unix_seconds("last_run")) / 86400
-    age = (seconds - F.unix_seconds("checked_at")) / 3600
-    changed = (seconds - F.unix_seconds("changed_at")) / 86400
+    at = seconds(now)
+    since = (at - seconds(F.col("last_run"))) / 86400
+    age = (at - seconds(F.col("checked_at"))) / 3600
+    changed = (at - seconds(F.col("changed_at"))) / 86400
     reason = (
         F.when(F.col("paused"), "paused")
         .when(since < F.col("every_days"), "not_due")

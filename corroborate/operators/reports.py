@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from corroborate.functions import text as X
 from corroborate.functions import vocabulary as V
-from corroborate.functions.scalars import month_key, round4, round8
+from corroborate.functions.scalars import month_key, round4, round8, seconds
 from corroborate.operators.skew import latest_per_key, prefix_scan
 
 
@@ -87,7 +87,7 @@ def source_health(sources: DataFrame, heartbeats: DataFrame, now: Column) -> Dat
     newest = latest_per_key(heartbeats, ["source_id"], ["checked_at"]).select(
         "source_id", "checked_at", F.col("status").alias("beat")
     )
-    age = F.floor((F.unix_seconds(now) - F.unix_seconds("checked_at")) / 3600)
+    age = F.floor((seconds(now) - seconds(F.col("checked_at"))) / 3600)
     status = (
         F.when(F.col("mode") == "internal", "n_a")
         .when(F.col("mode") != "api", "none")

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from corroborate.functions.scalars import seconds
 from corroborate.operators.skew import latest_per_key
 
 
@@ -40,7 +41,7 @@ def stream_freshness(stream: DataFrame, event_time: str, delay: str = "12 hours"
 
 
 def stale_to_unknown(newest: DataFrame, now, hours: int = 12) -> DataFrame:
-    age = F.floor((F.unix_seconds(now) - F.unix_seconds("checked_at")) / 3600)
+    age = F.floor((seconds(now) - seconds(F.col("checked_at"))) / 3600)
     return newest.withColumn("status", F.when(age >= hours, "unknown").otherwise(F.col("status")))
 
 

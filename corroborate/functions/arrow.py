@@ -7,13 +7,18 @@ with unusual characters cross into Python.
 from __future__ import annotations
 
 import re
+import sys
 import unicodedata
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+# Workers receive the functions of this module by value and need no copy of the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 SPAN_TYPE = T.StructType(
     [T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]
 )

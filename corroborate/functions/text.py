@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -20,6 +22,16 @@ _NFKC_STABLE = (
 )
 
 
+def _boundary(before: str, after: str) -> str:
+    """The cheapest lookaround that ``\\b`` means between two pattern parts."""
+    opens = re.match(r"(?:\((?:\?:)?)*\w", after)
+    if opens and re.search(r"(?:^|\(\?:|[(|])$", before):
+        return f"(?<!{_WORD})"
+    if re.search(r"(?<!\\)\w$", before):
+        return f"(?!{_WORD})"
+    return _BOUNDARY
+
+
 def regex(pattern: str, ignore_case: bool = True) -> str:
     """Java form of a pattern written with ASCII ``\\b`` and Unicode-aware ``\\s``."""
     inner = SPACE[1:-1]
@@ -27,7 +39,7 @@ def regex(pattern: str, ignore_case: bool = True) -> str:
     while i < len(pattern):
         pair = pattern[i : i + 2]
         if pair == r"\b" and not in_class:
-            out.append(_BOUNDARY)
+            out.append(_boundary(pattern[:i], pattern[i + 2 :]))
             i += 2
         elif pair == r"\s":
             out.append(inner if in_class else SPACE)

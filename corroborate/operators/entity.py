@@ -68,9 +68,11 @@ def _large_star(pairs: DataFrame, salted: bool) -> DataFrame:
 
 def _small_star(pairs: DataFrame, salted: bool) -> DataFrame:
     down = _with_minimum(pairs.select(F.col("hi").alias("u"), F.col("lo").alias("v")), salted)
-    moved = down.filter("v <> m").select(F.col("v").alias("hi"), F.col("m").alias("lo"))
-    kept = down.select(F.col("u").alias("hi"), F.col("m").alias("lo"))
-    return moved.unionByName(kept).distinct()
+    ends = F.array(
+        F.struct(F.col("v").alias("hi"), F.col("m").alias("lo")),
+        F.struct(F.col("u").alias("hi"), F.col("m").alias("lo")),
+    )
+    return down.select(F.inline(ends)).filter("hi <> lo").distinct()
 
 
 def resolve_entities(df: DataFrame, row_id: str, keys: list[str]) -> DataFrame:

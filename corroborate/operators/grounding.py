@@ -227,12 +227,14 @@ def allowed_roles(label: Column) -> Column:
 
 def sections(source: Column) -> Column:
     """array<struct(label, at, allowed)>; empty unless two known labels occur."""
-    pattern = F.lit(X.regex(V.SECTION_LABEL, ignore_case=False))
-    gaps = F.split(source, X.regex(V.SECTION_LABEL, ignore_case=False), -1)
+    pattern = X.regex(V.SECTION_LABEL, ignore_case=False)
+    # Two labels need two colons; most texts are answered by that alone.
+    candidate = F.when(source.rlike(":[^:]*:"), source)
+    whole = F.regexp_extract_all(candidate, F.lit(pattern), F.lit(0))
     parts = F.arrays_zip(
-        F.regexp_extract_all(source, pattern, F.lit(0)).alias("whole"),
-        F.regexp_extract_all(source, pattern, F.lit(1)).alias("label"),
-        F.transform(gaps, lambda g: F.length(g)).alias("gap"),
+        whole.alias("whole"),
+        F.transform(whole, lambda w: F.regexp_extract(w, pattern, 1)).alias("label"),
+        F.transform(F.split(candidate, pattern, -1), lambda g: F.length(g)).alias("gap"),
     )
 
     def place(zipped: Column) -> Column:
@@ -257,7 +259,7 @@ def sections(source: Column) -> Column:
 
 def section_at(found: Column, offset: Column) -> Column:
     reached = F.filter(found, lambda s: s["at"] <= offset)
-    return F.when(F.size(reached) > 0, F.element_at(reached, -1))
+    return X.bind(reached, lambda r: F.get(r, F.size(r) - 1))
 
 
 # --- contradiction and roles ----------------------------------------------------------
@@ -281,7 +283,7 @@ def contradiction(
     def search(topic: Column) -> Column:
         tail = F.substring(source, (span_end + 1).cast("int"), F.length(source))
         reversing = F.filter(
-            X.sentences(tail),
+            X.sentences(F.when(any_marker(tail, markers), tail)),
             lambda s: any_marker(s, markers)
             & (F.size(F.array_intersect(X.content_words(s), topic)) >= shared_words),
         )
@@ -313,12 +315,15 @@ def role_verdict(
     A span that could not be located passes here: refusing it is the business of
     the containment check.
     """
-    section = section_at(sections(source), start)
-    misplaced = section.isNotNull() & ~F.array_contains(section["allowed"], role)
+    known = F.coalesce(role.isin(V.SPAN_ROLES), F.lit(False))
+    section = section_at(sections(F.when(known & start.isNotNull(), source)), start)
+    misplaced = X.bind(
+        section, lambda s: s.isNotNull() & ~F.coalesce(F.array_contains(s["allowed"], role), F.lit(True))
+    )
     quote = slice_text(source, start, end)
     reversed_later = (role == "finding") & contradiction(source, end, quote, markers).isNotNull()
     return (
-        F.when(~F.coalesce(role.isin(V.SPAN_ROLES), F.lit(False)), "span_role_missing")
+        F.when(~known, "span_role_missing")
         .when(start.isNull(), F.lit(None))
         .when(misplaced, "span_role_contradicted_by_structure")
         .when(reversed_later, "premise_contradicted_downstream")

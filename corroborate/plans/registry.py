@@ -10,6 +10,18 @@ from pyspark.sql import DataFrame, SparkSession
 from corroborate.session import tune
 
 
+TEXT_TABLES = {"documents", "pages", "conversations"}
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Spread a text table of few splits over the cores; large tables stay as read.
+
+    Text work is heavy per row, and a file with one row group is one task.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 class Tables:
     """Lazy access to the driver's tables: ``t.documents`` reads one parquet file."""
 
@@ -20,7 +32,8 @@ class Tables:
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_"):
             raise AttributeError(name)
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        df = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        return spread(df) if name in TEXT_TABLES else df
 
 
 @dataclass(frozen=True)

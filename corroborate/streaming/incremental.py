@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -13,6 +15,10 @@ from corroborate.functions.scalars import seconds
 from corroborate.operators.skew import latest_per_key
 
 
+# Workers receive the functions of this module by value and need no copy of the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+
 def stream_dedupe(stream: DataFrame, key: str, event_time: str, delay: str) -> DataFrame:
     """First row per key while it may still be repeated."""
     return stream.withWatermark(event_time, delay).dropDuplicatesWithinWatermark([key])

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corroborate.session import tune
+from corroborate.session import cut_lineage, tune
 
 
 TEXT_TABLES = {"documents", "pages", "conversations"}
@@ -28,6 +28,13 @@ class Tables:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = spark
         self.sf_dir = sf_dir
+        self._made: dict[str, DataFrame] = {}
+
+    def once(self, name: str, build: Callable[[Tables], DataFrame]) -> DataFrame:
+        """Materialise an intermediate table that several branches of a query read."""
+        if name not in self._made:
+            self._made[name] = cut_lineage(build(self))
+        return self._made[name]
 
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_"):

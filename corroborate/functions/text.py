@@ -14,11 +14,12 @@ SPACE = r"[\s\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]"
 _WORD = "[A-Za-z0-9_]"
 _BOUNDARY = f"(?:(?<={_WORD})(?!{_WORD})|(?<!{_WORD})(?={_WORD}))"
 
-# Characters outside this set may change their a-z0-9 content under NFKC, or
-# combine with a neighbour; only texts holding one need the Unicode UDF.
-_NFKC_STABLE = (
-    r"[^\u0000-\u00a9\u00ab-\u00b1\u00b4-\u00b8\u00bb\u00bf-\u0131\u0134-\u013e"
-    r"\u0141-\u0148\u014a-\u017e\u2010-\u2023\u2026\u2030-\u203a]"
+# Characters that may change their a-z0-9 content under NFKC or combine with a
+# neighbour; only texts holding one need the Unicode UDF. Latin letters, dashes and
+# quotation marks are not among them.
+NFKC_UNSTABLE = (
+    r"[\u00aa\u00b2\u00b3\u00b9\u00ba\u00bc-\u00be\u0132\u0133\u013f\u0140\u0149"
+    r"\u017f-\u200f\u2024\u2025\u2027-\u202f\u203b-\uffff\x{10000}-\x{10ffff}]"
 )
 
 
@@ -54,6 +55,36 @@ def regex(pattern: str, ignore_case: bool = True) -> str:
     return ("(?i)" if ignore_case else "") + "".join(out)
 
 
+def alternatives(pattern: str) -> list[str]:
+    """Top-level alternatives of a pattern."""
+    parts, depth, in_class, start, i = [], 0, False, 0, 0
+    while i < len(pattern):
+        ch = pattern[i]
+        if ch == "\\":
+            i += 2
+            continue
+        if in_class:
+            in_class = ch != "]"
+        elif ch == "[":
+            in_class = True
+        elif ch in "()":
+            depth += 1 if ch == "(" else -1
+        elif ch == "|" and depth == 0:
+            parts.append(pattern[start:i])
+            start = i + 1
+        i += 1
+    return [*parts, pattern[start:]]
+
+
+def any_of(patterns: list[str]) -> str:
+    """One Java pattern for several; the word boundary most start with is tested once."""
+    parts = [alt for pattern in patterns for alt in alternatives(pattern)]
+    words = [p[2:] for p in parts if re.match(r"\\b(?:\((?:\?:)?)*\w", p)]
+    others = [p for p in parts if not re.match(r"\\b(?:\((?:\?:)?)*\w", p)]
+    joined = [regex(r"\b(?:" + "|".join(words) + ")", False)] if words else []
+    return "(?i)" + "|".join([*joined, *[regex(p, False) for p in others]])
+
+
 def matches(col: Column, pattern: str) -> Column:
     return col.rlike(regex(pattern))
 
@@ -76,7 +107,7 @@ def collapse(col: Column) -> Column:
 
 
 def _compat(col: Column, form) -> Column:
-    odd = F.when(col.rlike(_NFKC_STABLE), col)
+    odd = F.when(col.rlike(NFKC_UNSTABLE), col)
     return F.coalesce(form(odd), col)
 
 

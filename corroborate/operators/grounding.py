@@ -26,7 +26,7 @@ def needle_pattern(needle: Column) -> Column:
 
 def plain_folding(source: Column) -> Column:
     """True where folding keeps one character per character, so offsets carry over."""
-    return ~source.rlike(X._NFKC_STABLE) & (F.length(F.lower(source)) == F.length(source))
+    return ~source.rlike(X.NFKC_UNSTABLE) & (F.length(F.lower(source)) == F.length(source))
 
 
 def span_of(source: Column, needle: Column, occurrence: Column | None = None) -> Column:
@@ -37,19 +37,22 @@ def span_of(source: Column, needle: Column, occurrence: Column | None = None) ->
     """
     nth = F.lit(0) if occurrence is None else occurrence
     native = plain_folding(source) & (nth == 0)
-    folded = F.when(native, F.lower(source))
-    at = F.regexp_instr(folded, needle_pattern(needle))
-    hit = F.call_function("regexp_extract", folded, needle_pattern(needle), F.lit(0))
-    quick = F.when(
-        at > 0,
-        F.struct(
-            (at - 1).cast("bigint").alias("start"),
-            (at - 1 + F.length(hit)).cast("bigint").alias("end"),
-        ),
+
+    def quick(folded: Column) -> Column:
+        hit = F.call_function("regexp_extract", folded, needle_pattern(needle), F.lit(0))
+        at = F.regexp_instr(folded, needle_pattern(needle))
+        return F.when(
+            at > 0,
+            F.struct(
+                (at - 1).cast("bigint").alias("start"),
+                (at - 1 + F.length(hit)).cast("bigint").alias("end"),
+            ),
+        )
+
+    slow = arrow.locate_span(F.when(~native, source), needle, nth)
+    return F.coalesce(
+        X.bind(F.when(native, F.lower(source)), quick), F.when(slow["start"].isNotNull(), slow)
     )
-    slow = arrow.locate_span(F.when(~native, source), F.when(~native, needle), nth)
-    slow = F.when(slow["start"].isNotNull(), slow)
-    return F.when(native, quick).otherwise(slow)
 
 
 def slice_text(source: Column, start: Column, end: Column) -> Column:
@@ -269,7 +272,7 @@ def first_marker(text: Column, markers: list[tuple[str, str]]) -> Column:
 
 
 def any_marker(text: Column, markers: list[tuple[str, str]]) -> Column:
-    return text.rlike(X.regex("|".join(f"(?:{pattern})" for _, pattern in markers)))
+    return text.rlike(X.any_of([pattern for _, pattern in markers]))
 
 
 def contradiction(
@@ -344,8 +347,10 @@ def grounding_gate(
     record's own doi, title and topic prefixed ``r_``.
     """
     known = records.withColumn("hay", X.norm_quality(F.col("source_text")))
-    joined = skew_join(citations, known, "record_id", ["item_id", "pos"], how="left")
-    needle = X.norm_quality(F.col("quote"))
+    # The needle becomes a column before the join: later lambdas may not hold a Python UDF.
+    prepared = citations.withColumn("needle", X.norm_quality(F.col("quote")))
+    joined = skew_join(prepared, known, "record_id", ["item_id", "pos"], how="left")
+    needle = F.col("needle")
     inside = F.contains(F.col("hay"), needle)
     source = F.col("source_text")
     given = F.col("start").isNotNull() & F.col("end").isNotNull()

@@ -73,7 +73,7 @@ def merge_latest(batch: DataFrame, path: str, keys: list[str], order: str) -> No
 def datasheet_bundle(sheets: DataFrame, key: str) -> DataFrame:
     """One JSON document per row plus a manifest document that lists them."""
     documents = sheets.select(
-        F.col(key).alias("pack"), F.to_json(F.struct(*sheets.columns)).alias("document")
+        F.col(key).cast("string").alias("pack"), F.to_json(F.struct(*sheets.columns)).alias("document")
     )
     manifest = sheets.agg(
         F.count(F.lit(1)).alias("pack_count"), F.array_sort(F.collect_set(key)).alias("pack_ids")

@@ -4,7 +4,7 @@ from importlib import import_module
 
 from corroborate.plans.registry import REGISTRY
 
-MODULES = ["grounding", "text", "entity", "evidence", "analytics", "matrix", "quality"]
+MODULES = ["grounding", "text", "entity", "evidence", "analytics", "matrix", "quality", "flows"]
 
 for _name in MODULES:
     import_module(f"corroborate.plans.{_name}")

@@ -274,7 +274,8 @@ def stream_freshness(t: Tables):
 )
 def stream_streak(t: Tables):
     stream = I.stream_streak(landed(t, weekly_attempts(t), "attempts", 1))
-    return run_stream(t, stream, "streaks", "update", ["topic_id", "segment"])
+    out = run_stream(t, stream, "streaks", "update", ["topic_id", "segment"])
+    return out.withColumn("topic_id", F.col("topic_id").cast("bigint"))
 
 
 @query(
@@ -285,7 +286,8 @@ def stream_streak(t: Tables):
 )
 def stream_saturation(t: Tables):
     e = t.events.select(F.col("user_id").alias("topic_id"), F.col("event_id").alias("query_index"), (F.floor("value") / 1000).alias("novelty_rate"))
-    return run_stream(t, I.stream_saturation(landed(t, e, "rates", 1), 10, 30, 0.03), "stops", "update", ["topic_id"])
+    out = run_stream(t, I.stream_saturation(landed(t, e, "rates", 1), 10, 30, 0.03), "stops", "update", ["topic_id"])
+    return out.withColumn("topic_id", F.col("topic_id").cast("bigint"))
 
 
 @query(

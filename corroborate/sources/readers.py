@@ -93,7 +93,7 @@ def read_report(spark: SparkSession, path: str, fmt: str) -> DataFrame:
     elif fmt == "json":
         raw = spark.read.option("multiLine", True).json(path)
     elif fmt == "md":
-        texts = spark.read.option("wholetext", True).text(path)
+        texts = spark.read.text(path, wholetext=True)
         return markdown_rows(texts, "value").select(*[F.col("cells")[c].alias(c) for c in columns])
     else:
         raise ValueError(f"unknown report format {fmt}")

@@ -77,7 +77,7 @@ def stream_streak(stream: DataFrame) -> DataFrame:
     here; a replayed week is replaced by ``upsert_batch`` in the attempts table.
     A micro-batch holds the weekly rows of one target, at most one per week.
     """
-    weekly = stream.select("topic_id", "segment", "week", "low_novelty")
+    weekly = stream.select(F.col("topic_id").cast("string").alias("topic_id"), "segment", "week", "low_novelty")
     return weekly.groupBy("topic_id", "segment").applyInPandasWithState(
         _streak, STREAK_OUT, STREAK_STATE, "update", GroupStateTimeout.NoTimeout
     )
@@ -110,7 +110,7 @@ def stream_saturation(stream: DataFrame, window: int, minimum_queries: int, thre
         state.update((",".join(map(str, units)), step, stopped))
         yield pd.DataFrame(out, columns=["topic_id", "step", "rolling_rate"])
 
-    rates = stream.select("topic_id", "query_index", "novelty_rate")
+    rates = stream.select(F.col("topic_id").cast("string").alias("topic_id"), "query_index", "novelty_rate")
     return rates.groupBy("topic_id").applyInPandasWithState(
         judge, STOP_OUT, STOP_STATE, "update", GroupStateTimeout.NoTimeout
     )

@@ -94,7 +94,7 @@ def main() -> int:
                 print("   duck :", sorted(columns), [r for r in want if r not in set(got)][:3])
         except Exception as error:  # a broken query must not hide the others
             bad += 1
-            print(f"FAIL  {name}: {type(error).__name__}: {str(error)[:900]}", flush=True)
+            print(f"FAIL  {name}: {type(error).__name__}: {str(error)[:6000]}", flush=True)
     print(f"{len(names)} queries, {bad} bad")
     return 1 if bad else 0
 

@@ -174,7 +174,7 @@ def merge_pinned(records: DataFrame, pins: DataFrame, seq: str) -> DataFrame:
         part = (
             pins.select("pin_id", key)
             .filter(F.col(key).isNotNull())
-            .join(records.select(key, seq), key)
+            .join(records.groupBy(key).agg(F.min(seq).alias(seq)), key)
             .select("pin_id", seq)
         )
         found = part if found is None else found.unionByName(part)

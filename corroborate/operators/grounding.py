@@ -150,7 +150,7 @@ def find_passages(passages: DataFrame, documents: DataFrame) -> DataFrame:
         F.col("_span.end").alias("end"),
         slice_text(F.col("text"), F.col("_span.start"), F.col("_span.end")).alias("quote"),
     )
-    return needles.select("passage_id", "needle").join(hits, "needle").drop("needle")
+    return skew_join(needles.select("passage_id", "needle"), hits, "needle", ["passage_id"]).drop("needle")
 
 
 def _spots(count: Column) -> Column:

@@ -206,11 +206,11 @@ def bootstrap_cells(packs: DataFrame, unconfigured: list[str]) -> DataFrame:
 
 
 def candidate_pendency(cells: DataFrame, candidates: DataFrame) -> DataFrame:
-    """Force cells of packs with a candidate member to red and list those members.
+    """Force cells of packs with a candidate member to red and count those members.
 
-    ``candidates``: pack, topic_id of seed members.
+    ``candidates``: pack, topic_id of seed members; it stays the trace list.
     """
-    waiting = candidates.groupBy("pack").agg(F.array_sort(F.collect_set("topic_id")).alias("candidate_members"))
+    waiting = candidates.groupBy("pack").agg(F.countDistinct("topic_id").alias("candidate_members"))
     joined = cells.join(waiting, "pack", "left")
     pending = F.col("candidate_members").isNotNull()
     forced = [
@@ -218,7 +218,7 @@ def candidate_pendency(cells: DataFrame, candidates: DataFrame) -> DataFrame:
         for c in ("status", "breadth_status", "depth_status", "quality_status")
     ]
     keep = [c for c in cells.columns if not c.endswith("status")]
-    return joined.select(*keep, *forced, "candidate_members")
+    return joined.select(*keep, *forced, F.coalesce("candidate_members", F.lit(0)).alias("candidate_members"))
 
 
 def exhaustion(cells: DataFrame, judged: DataFrame, members: DataFrame, streaks: DataFrame, k: int) -> DataFrame:

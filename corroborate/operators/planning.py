@@ -82,7 +82,7 @@ def harvest_queue(candidates: DataFrame, repeats: DataFrame, max_tasks: int) ->
     before = (
         marked.filter("repeat")
         .withColumn("_one", F.lit(1))
-        .join(last, "_one", "left")
+        .join(F.broadcast(last), "_one", "left")  # at most one row
         .filter(F.col("stop").isNull() | (F.struct(*_rank_struct()) < F.col("stop")))
     )
     return numbered, before.agg(F.count(F.lit(1)).alias("low_novelty_skipped"))

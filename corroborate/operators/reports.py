@@ -99,20 +99,17 @@ def source_health(sources: DataFrame, heartbeats: DataFrame, now: Column) -> Dat
 
 
 def context_weights(preconditions: DataFrame) -> DataFrame:
-    """Each condition with its members, and the negated condition that silences them.
+    """Members of each condition in first-seen order, and of its silencing negation.
 
-    ``preconditions``: pack, topic_id, predicate, seq.
+    ``preconditions``: pack, topic_id, predicate, seq. Long form: one row per member.
     """
     cleaned = preconditions.withColumn("context", X.strip_predicate(F.col("predicate")))
-    first = cleaned.groupBy("pack", "context", "topic_id").agg(F.min("seq").alias("seq"))
-    members = first.groupBy("pack", "context").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("seq", "topic_id"))), lambda m: m["topic_id"]).alias("members")
+    members = cleaned.groupBy("pack", "context", "topic_id").agg(F.min("seq").alias("seq"))
+    both = F.array(
+        F.struct(F.col("context"), F.lit("strong").alias("effect")),
+        F.struct(F.concat(F.lit("not ("), "context", F.lit(")")).alias("context"), F.lit("inactive").alias("effect")),
     )
-    strong = members.select("pack", "context", F.lit("strong").alias("effect"), "members")
-    silent = members.select(
-        "pack", F.concat(F.lit("not ("), "context", F.lit(")")).alias("context"), F.lit("inactive").alias("effect"), "members"
-    )
-    return strong.unionByName(silent)
+    return members.select("pack", "topic_id", "seq", F.inline(both))
 
 
 def hard_boundaries(rules: DataFrame) -> DataFrame:
@@ -186,7 +183,7 @@ def strided_sample(df: DataFrame, row_id: str, count: int) -> DataFrame:
     total = df.agg(F.count(F.lit(1)).alias("n")).withColumn("_all", F.lit(1))
     stride = F.greatest(F.lit(1), F.floor(F.col("n") / count))
     return (
-        numbered.join(total, "_all")
+        numbered.join(F.broadcast(total), "_all")  # one row
         .filter(((F.col("rn") - 1) % stride == 0) & (F.floor((F.col("rn") - 1) / stride) < count))
         .drop("_all", "rn", "n")
     )

@@ -150,9 +150,8 @@ def weighted_mean(t: Tables):
 
 @query(
     "context_weights",
-    """WITH m AS (SELECT p_type AS pack, p_name AS context, array_to_string(list(p_brand ORDER BY seq), ',') AS members
-      FROM (SELECT p_type, p_name, p_brand, min(p_partkey) AS seq FROM part GROUP BY 1, 2, 3) GROUP BY 1, 2)
-    SELECT pack, context, 'strong' AS effect, members FROM m UNION ALL SELECT pack, 'not (' || context || ')', 'inactive', members FROM m""",
+    """WITH m AS (SELECT p_type AS pack, p_name AS context, p_brand AS topic_id, min(p_partkey) AS seq FROM part GROUP BY 1, 2, 3)
+    SELECT pack, context, 'strong' AS effect, topic_id, seq FROM m UNION ALL SELECT pack, 'not (' || context || ')', 'inactive', topic_id, seq FROM m""",
 )
 def context_weights(t: Tables):
     rows = t.part.select(
@@ -161,7 +160,7 @@ def context_weights(t: Tables):
         F.concat("p_name", F.lit(" == true")).alias("predicate"),
         F.col("p_partkey").alias("seq"),
     )
-    return Q.context_weights(rows).withColumn("members", F.array_join("members", ","))
+    return Q.context_weights(rows)
 
 
 @query(

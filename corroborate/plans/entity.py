@@ -138,16 +138,22 @@ def status_of(key):
 
 @query(
     "valid_full_records",
-    """WITH i AS (SELECT l_orderkey, bool_and(l_linenumber <> 7) AS measured, count_if(l_discount > 0.08) AS rules FROM lineitem GROUP BY l_orderkey)
-    SELECT l_orderkey, measured AND rules > 0 AS valid FROM i""",
+    """WITH i AS (SELECT o_orderkey, list_transform(range(0, o_custkey % 4), lambda i: (o_orderkey + i) % 5 <> 0) AS measured, o_orderkey % 3 AS rules FROM orders)
+    SELECT o_orderkey, len(measured) > 0 AND NOT list_contains(measured, FALSE) AND rules > 0 AS valid FROM i""",
 )
 def valid_full_records(t: Tables):
-    metrics = F.when(F.col("l_linenumber") != 7, F.array("l_returnflag")).otherwise(F.array().cast("array<string>"))
-    docs = t.lineitem.groupBy("l_orderkey").agg(
-        F.collect_list(F.struct(metrics.alias("metrics"))).alias("implementations"),
-        F.collect_list(F.when(F.col("l_discount") > 0.08, F.col("l_linenumber"))).alias("hard_rules"),
-    )
-    return docs.select("l_orderkey", R.is_valid_full_record(F.col("implementations"), F.col("hard_rules")).alias("valid"))
+    docs = t.orders.select("o_orderkey", *full_record(F.col("o_orderkey"), F.col("o_custkey")))
+    return docs.select("o_orderkey", R.is_valid_full_record(F.col("implementations"), F.col("hard_rules")).alias("valid"))
+
+
+def full_record(key, other):
+    """Nested parts of a full record, built from the row itself."""
+    none = F.array().cast("array<string>")
+    count = (other % 4).cast("int")
+    slots = F.when(count > 0, F.sequence(F.lit(0), count - 1)).otherwise(F.array().cast("array<int>"))
+    made = F.transform(slots, lambda i: F.struct(F.when((key + i) % 5 != 0, F.array(F.lit("m"))).otherwise(none).alias("metrics")))
+    rules = F.array_repeat(F.lit("rule"), (key % 3).cast("int"))
+    return made.alias("implementations"), rules.alias("hard_rules")
 
 
 @query(

@@ -244,7 +244,7 @@ def bootstrap_cells(t: Tables):
     return cells.select("pack", "segment", "criterion", "score", "criterion_status")
 
 
-_CAND = "cand AS (SELECT n_regionkey AS pack, array_to_string(list(n_name ORDER BY n_name), ',') AS candidate_members FROM nation WHERE n_nationkey NOT IN (SELECT s_nationkey FROM supplier WHERE s_acctbal > 2500) GROUP BY 1)"
+_CAND = "cand AS (SELECT n_regionkey AS pack, count(DISTINCT n_name) AS candidate_members FROM nation WHERE n_nationkey NOT IN (SELECT s_nationkey FROM supplier WHERE s_acctbal > 2500) GROUP BY 1)"
 
 
 def _seed_members(t: Tables):
@@ -258,13 +258,11 @@ def _seed_members(t: Tables):
     "candidate_pendency",
     f"""WITH {CELLS_SQL}, {_CAND} SELECT pack, segment, gaps, CASE WHEN candidate_members IS NOT NULL THEN 'red' ELSE status END AS status,
     CASE WHEN candidate_members IS NOT NULL THEN 'red' ELSE breadth_status END AS breadth_status, CASE WHEN candidate_members IS NOT NULL THEN 'red' ELSE depth_status END AS depth_status,
-    CASE WHEN candidate_members IS NOT NULL THEN 'red' ELSE quality_status END AS quality_status, coalesce(candidate_members, '') AS candidate_members FROM cells LEFT JOIN cand USING (pack)""",
+    CASE WHEN candidate_members IS NOT NULL THEN 'red' ELSE quality_status END AS quality_status, coalesce(candidate_members, 0) AS candidate_members FROM cells LEFT JOIN cand USING (pack)""",
 )
 def candidate_pendency(t: Tables):
     out = M.candidate_pendency(M.cell_status(judged(t)), _seed_members(t))
-    return out.withColumn("gaps", F.array_join("gaps", ",")).withColumn(
-        "candidate_members", F.coalesce(F.array_join("candidate_members", ","), F.lit(""))
-    )
+    return out.withColumn("gaps", F.array_join("gaps", ","))
 
 
 # Weekly attempts of customers' orders per nation and segment: a cheap week is low-novelty.

@@ -12,7 +12,7 @@ from corroborate.operators import grounding as G
 from corroborate.operators import ledger as O
 from corroborate.operators import reports as Q
 from corroborate.plans.analytics import DETAIL_SQL, R4, _detail, _snapshots, pack_members, trade_edges
-from corroborate.plans.entity import STATUSES, status_of
+from corroborate.plans.entity import full_record, status_of
 from corroborate.plans.evidence import CITATION_SQL, citations, gate_inputs, sources, _GATE_SQL
 from corroborate.plans.registry import Tables, query
 from corroborate.plans.views import KEYED_SQL, RECORDS_SQL, keyed_records, norm_sql, records
@@ -215,19 +215,15 @@ def saturation_identities(t: Tables):
 
 @query(
     "full_record_rules",
-    """WITH i AS (SELECT l_orderkey AS topic_id, count_if(l_linenumber < 6) AS n, bool_and(l_linenumber <> 3) FILTER (WHERE l_linenumber < 6) AS m, count_if(l_discount > 0.08) AS rules FROM lineitem GROUP BY 1),
-    v AS (SELECT unnest([CASE WHEN n = 0 THEN 'implementation' END, CASE WHEN NOT coalesce(m, TRUE) THEN 'metrics' END, CASE WHEN rules = 0 THEN 'hard_rule' END, CASE WHEN topic_id % 2 = 0 AND topic_id % 3 = 0 THEN 'terms' END]) AS violation FROM i)
+    """WITH i AS (SELECT o_orderkey AS k, list_transform(range(0, o_custkey % 4), lambda i: (o_orderkey + i) % 5 <> 0) AS m, o_orderkey % 3 AS rules FROM orders),
+    v AS (SELECT unnest([CASE WHEN len(m) = 0 THEN 'implementation' END, CASE WHEN list_contains(m, FALSE) THEN 'metrics' END, CASE WHEN rules = 0 THEN 'hard_rule' END, CASE WHEN k % 2 = 0 AND k % 7 = 0 THEN 'terms' END]) AS violation FROM i)
     SELECT violation, count(*) AS topics FROM v WHERE violation IS NOT NULL GROUP BY 1""",
 )
 def full_record_rules(t: Tables):
-    none = F.array().cast("array<string>")
-    metrics = F.when(F.col("l_linenumber") != 3, F.array("l_returnflag")).otherwise(none)
-    docs = t.lineitem.groupBy(F.col("l_orderkey").alias("topic_id")).agg(
-        F.collect_list(F.when(F.col("l_linenumber") < 6, F.struct(metrics.alias("metrics")))).alias("implementations"),
-        F.collect_list(F.when(F.col("l_discount") > 0.08, F.col("l_linenumber"))).alias("hard_rules"),
-    )
-    docs = docs.withColumn("has_dossier", F.col("topic_id") % 2 == 0).withColumn(
-        "evidence_terms", F.when(F.col("topic_id") % 3 != 0, F.array(F.lit("term"))).otherwise(none)
+    k = F.col("o_orderkey")
+    terms = F.when(k % 7 != 0, F.array(F.lit("term"))).otherwise(F.array().cast("array<string>"))
+    docs = t.orders.select(
+        k.alias("topic_id"), *full_record(k, F.col("o_custkey")), (k % 2 == 0).alias("has_dossier"), terms.alias("evidence_terms")
     )
     return P.full_record_rules(docs).groupBy("violation").agg(F.count(F.lit(1)).alias("topics"))
 
@@ -354,20 +350,26 @@ def interaction_rules(t: Tables):
 
 @query(
     "artifact_links",
-    """WITH d AS (SELECT DISTINCT o_custkey AS e, o_orderkey AS r FROM orders), v AS (SELECT 'not_referenced_back' AS violation FROM d WHERE r % 10 = 0 UNION ALL SELECT 'not_listed_by_effect' FROM d WHERE r % 11 = 0 AND r % 10 <> 0
-      UNION ALL SELECT 'inference_missing' FROM d WHERE r % 8 = 0 UNION ALL SELECT 'source_not_cited' FROM (SELECT DISTINCT e FROM d) WHERE e % 9 = 0)
+    """WITH d AS (SELECT o_orderkey AS e, unnest([o_orderkey * 2, o_orderkey * 2 + 1]) AS r FROM orders), v AS (SELECT 'not_referenced_back' AS violation FROM d WHERE r % 10 = 0 UNION ALL SELECT 'not_listed_by_effect' FROM d WHERE r % 11 = 0 AND r % 10 <> 0
+      UNION ALL SELECT 'inference_missing' FROM d WHERE r % 8 = 0 UNION ALL SELECT 'source_not_cited' FROM orders WHERE o_orderkey % 9 = 0)
     SELECT violation, count(*) AS rows FROM v GROUP BY 1""",
 )
 def artifact_links(t: Tables):
-    """Customers as effects, orders as realizations; some links are cut on purpose."""
-    r, e = F.col("o_orderkey"), F.col("o_custkey")
-    cited = F.when(F.col("effect_id") % 9 == 0, F.array(F.lit("10.1/b"))).otherwise(F.array(F.lit("10.1/a"), F.lit("10.1/b")))
-    listed = F.when((r % 11 != 0) | (r % 10 == 0), r)
-    effects = t.orders.groupBy(e.alias("effect_id")).agg(F.collect_list(listed).alias("realization_ids")).select(
-        "effect_id", F.array(F.lit("10.1/a"), F.lit("10.1/b")).alias("sources"), cited.alias("cited_dois"), "realization_ids"
+    """Orders as effects with two realizations each; some links are cut on purpose."""
+    e = F.col("o_orderkey")
+    both = F.array(e * 2, e * 2 + 1)
+    cited = F.when(e % 9 == 0, F.array(F.lit("10.1/b"))).otherwise(F.array(F.lit("10.1/a"), F.lit("10.1/b")))
+    effects = t.orders.select(
+        e.alias("effect_id"),
+        F.array(F.lit("10.1/a"), F.lit("10.1/b")).alias("sources"),
+        cited.alias("cited_dois"),
+        F.filter(both, lambda r: (r % 11 != 0) | (r % 10 == 0)).alias("realization_ids"),
+    )
+    r = F.col("realization_id")
+    refs = F.when(r % 10 != 0, F.array("effect_id")).otherwise(F.array().cast("array<bigint>"))
+    realizations = t.orders.select(e.alias("effect_id"), F.explode(both).alias("realization_id")).select(
+        "realization_id", refs.alias("effect_refs"), F.lit("inferred").alias("derivation"), (r % 8 != 0).alias("has_inference")
     )
-    refs = F.when(r % 10 != 0, F.array(e)).otherwise(F.array().cast("array<bigint>"))
-    realizations = t.orders.select(r.alias("realization_id"), refs.alias("effect_refs"), F.lit("inferred").alias("derivation"), (r % 8 != 0).alias("has_inference"))
     return P.artifact_links(effects, realizations).groupBy("violation").agg(F.count(F.lit(1)).alias("rows"))
 
 

@@ -204,3 +204,38 @@ def test_structural_duplicate_steps_aside_for_itself(spark):
     df = spark.createDataFrame(rows, "id string, topic_id string, directive string")
     got = {r.candidate_id: r.match_id for r in Y.structural_duplicate(df, df).collect()}
     assert got == {"a": "b", "b": "a"}
+
+
+def test_structural_duplicate_equals_all_pairs(spark):
+    rng = random.Random(4)
+    groups = {"g1": ["tip", "hint"], "g2": ["panel"], "g3": ["slow"]}
+    words = ["tip", "hint", "panel", "slow", "red", "blue", "green", "box", "line", "dot", "arc"]
+    rows = []
+    for i in range(40):
+        tail = f" when {' '.join(rng.sample(words, rng.randint(1, 3)))}" if rng.random() < 0.6 else ""
+        rows.append((f"d{i:02d}", "T", " ".join(rng.sample(words, rng.randint(1, 5))) + tail))
+    rows += [(f"e{i}", "T", rows[i][2]) for i in range(5)]
+
+    def parts(text):
+        action, mark, trigger = text.partition(" when ")
+        sets = [set(action.split()), set(("when " + trigger).split()) if mark else set()]
+        return sets, [{g for g, v in groups.items() if s & set(v)} for s in sets], bool(mark)
+
+    def field(a, b, ga, gb):
+        share = len(ga & gb) / min(len(ga), len(gb)) if ga and gb else 0.0
+        return max(similarity(a, b), share * 0.8)
+
+    def score(x, y):
+        (sx, gx, mx), (sy, gy, my) = parts(x), parts(y)
+        action = field(sx[0], sy[0], gx[0], gy[0])
+        trigger = action if not mx and not my else field(sx[1], sy[1], gx[1], gy[1])
+        return min(action, trigger)
+
+    df = spark.createDataFrame(rows, "id string, topic_id string, directive string")
+    got = {r.candidate_id: r.match_id for r in Y.structural_duplicate(df, df, groups=groups).collect()}
+    want = {}
+    for i, _, x in rows:
+        options = [(-score(x, y), j) for j, _, y in rows if j != i and score(x, y) >= 0.3]
+        if options:
+            want[i] = min(options)[1]
+    assert got == want

@@ -217,7 +217,7 @@ DETAIL_SQL = """detail AS (SELECT 'run' || (conv_id % 12) AS run_id, conv_id ||
 
 @query(
     "drop_reason_counts",
-    f"""WITH {DETAIL_SQL} SELECT run_id, pass, {', '.join(f"count_if(reason = '{r}') AS {r}" for r in REASONS)}, count(*) AS total FROM detail WHERE fate = 'dropped_ungrounded' GROUP BY 1, 2""",
+    f"""WITH {DETAIL_SQL} SELECT run_id, pass, {', '.join(f"count(*) FILTER (WHERE reason = '{r}') AS {r}" for r in REASONS)}, count(*) AS total FROM detail WHERE fate = 'dropped_ungrounded' GROUP BY 1, 2""",
 )
 def drop_reason_counts(t: Tables):
     return O.drop_reason_counts(_detail(t), REASONS)

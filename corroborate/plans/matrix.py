@@ -589,7 +589,7 @@ def reading_plan(t: Tables):
 
 @query(
     "plan_counts",
-    f"""WITH {_PLAN} SELECT topic_id, count(*) AS eligible, count_if(d) AS done, count_if(tier IS NULL AND NOT d) AS skipped, (SELECT count_if(selected) FROM pl WHERE pl.topic_id = x.topic_id) AS selected, (SELECT count_if(NOT selected) FROM pl WHERE pl.topic_id = x.topic_id) AS remaining
+    f"""WITH {_PLAN} SELECT topic_id, count(*) AS eligible, count_if(d) AS done, count_if(tier IS NULL AND NOT d) AS skipped, (SELECT count(*) FILTER (WHERE selected) FROM pl WHERE pl.topic_id = x.topic_id) AS selected, (SELECT count(*) FILTER (WHERE NOT selected) FROM pl WHERE pl.topic_id = x.topic_id) AS remaining
     FROM (SELECT *, record_id IN (SELECT record_id FROM te) AS d FROM el) x GROUP BY 1""",
 )
 def plan_counts(t: Tables):

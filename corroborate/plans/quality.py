@@ -53,7 +53,7 @@ def _tampered(t: Tables):
     f"""WITH {LEDGER_SQL}, n AS (SELECT *, CAST(regexp_extract(run_id, '([0-9]+)$', 1) AS INTEGER) AS n FROM ledger)
     SELECT run_id, 'total' AS violation FROM n WHERE n % 4 = 1 UNION ALL SELECT run_id, 'strong_stage' FROM n WHERE n % 4 = 2
     UNION ALL SELECT run_id, 'synthesis_stage' FROM n WHERE n % 4 = 3 UNION ALL SELECT run_id, 'fold_both_ways' FROM n WHERE n % 4 = 3 AND expanded > 0
-    UNION ALL SELECT run_id, 'unknown_stage' FROM n WHERE n = 8 AND n % 5 <> 4""",
+    UNION ALL SELECT run_id, 'unknown_stage' FROM n WHERE n = 8 AND n % 5 <> 4 UNION ALL SELECT run_id, 'negative_counter' FROM n WHERE n % 4 = 2 AND strong_proposed = 0""",
 )
 def ledger_balance(t: Tables):
     return O.ledger_balance(_tampered(t))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from corroborate.functions import text as X
 from corroborate.functions import vocabulary as V
-from corroborate.functions.scalars import month_key, round4, round8, seconds
+from corroborate.functions.scalars import month_key, round8, seconds
 from corroborate.operators.skew import latest_per_key, prefix_scan
 
 

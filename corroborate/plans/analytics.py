@@ -7,15 +7,13 @@ from pyspark.sql import functions as F
 from corroborate.functions import scalars as S
 from corroborate.functions import text as X
 from corroborate.operators import classify as C
-from corroborate.operators import entity as E
 from corroborate.operators import graph as K
 from corroborate.operators import ledger as O
 from corroborate.operators import novelty as L
-from corroborate.operators import planning as N
 from corroborate.operators import reports as Q
 from corroborate.operators.grounding import first_marker
 from corroborate.operators.skew import prefix_scan
-from corroborate.plans.entity import CLUSTER_SQL, KEYWORDS, STATUSES, halves, resolved, status_of, _HALVES, MATCH_SQL
+from corroborate.plans.entity import CLUSTER_SQL, STATUSES, halves, resolved, status_of, _HALVES, MATCH_SQL
 from corroborate.plans.evidence import DATA_MARKERS, classify_sql, fires_sql, _PROBE
 from corroborate.plans.registry import Tables, query
 from corroborate.plans.views import KEYED_SQL, NOW_YEAR, RECORDS_SQL, keyed_records, records

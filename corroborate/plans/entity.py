@@ -10,7 +10,6 @@ from corroborate.functions import vocabulary as V
 from corroborate.operators import classify as C
 from corroborate.operators import entity as E
 from corroborate.operators import relational as R
-from corroborate.operators import reports
 from corroborate.operators.skew import skew_join
 from corroborate.plans.registry import Tables, query
 from corroborate.plans.views import KEYED_SQL, NOW_YEAR, RECORDS_SQL, keyed_records, norm_sql, records

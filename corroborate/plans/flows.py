@@ -6,10 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corroborate.functions import text as X
-from corroborate.operators import relational as R
 from corroborate.plans.analytics import DETAIL_SQL, _detail, weekly_attempts
 from corroborate.plans.registry import Tables, query
-from corroborate.plans.views import NOW_YEAR, RECORDS_SQL, keyed_records, norm_sql, records
+from corroborate.plans.views import RECORDS_SQL, norm_sql, records
 from corroborate.session import scratch_path
 from corroborate.sources import readers, sinks
 from corroborate.streaming import incremental as I

@@ -11,7 +11,6 @@ from corroborate.functions import text as X
 from corroborate.functions import vocabulary as V
 from corroborate.operators import matrix as M
 from corroborate.operators import planning as N
-from corroborate.operators import reports as Q
 from corroborate.plans.analytics import R4, interaction_coverage, low_novelty_streak
 from corroborate.plans.analytics import PAIRS_SQL
 from corroborate.plans.evidence import AFFINITY_SQL, HITS_SQL, TIER_SQL, tiered

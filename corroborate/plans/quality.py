@@ -11,11 +11,11 @@ from corroborate.operators import constraints as P
 from corroborate.operators import grounding as G
 from corroborate.operators import ledger as O
 from corroborate.operators import reports as Q
-from corroborate.plans.analytics import DETAIL_SQL, R4, _detail, _snapshots, pack_members, trade_edges
+from corroborate.plans.analytics import DETAIL_SQL, _detail, _snapshots, trade_edges
 from corroborate.plans.entity import full_record, status_of
 from corroborate.plans.evidence import CITATION_SQL, citations, gate_inputs, sources, _GATE_SQL
 from corroborate.plans.registry import Tables, query
-from corroborate.plans.views import KEYED_SQL, RECORDS_SQL, keyed_records, norm_sql, records
+from corroborate.plans.views import RECORDS_SQL, norm_sql, records
 from corroborate.sources import sinks
 
 # --- ledger --------------------------------------------------------------------------------

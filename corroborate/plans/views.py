@@ -63,17 +63,6 @@ records AS (
 """
 
 
-def citations(t: Tables) -> DataFrame:
-    """benchmark passages as citations of the documents that hold them, some broken.
-
-    A passage cites the record ``item_id * 7 % n`` when no document holds it, so
-    unlocatable quotes occur too.
-    """
-    return t.benchmark.select(
-        F.col("item_id"), F.lit(0).alias("pos"), F.col("text").alias("quote")
-    )
-
-
 TITLE_KEY_SQL = "trim(regexp_replace(lower(title), '[^a-z0-9]+', ' ', 'g'))"
 
 

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from corroborate.session import scratch_path, tune
 
@@ -51,3 +52,63 @@ def _op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "token-store")
     write_store(docs, path, tokenizer_path("byte_bpe_50k.json"), end_id=0)
     return read_store(spark, path, docs)
+
+
+def remainder(modulus: int) -> Column:
+    """crc32 of the doc_id as text, modulo; null for a null id."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % modulus
+
+
+def with_held_out(docs: DataFrame, modulus: int, held: int) -> DataFrame:
+    """Add held_out; a row without doc_id belongs to neither side and counts as not held out."""
+    return docs.withColumn("held_out", F.coalesce(remainder(modulus) == held, F.lit(False)))
+
+
+@query("op4_rank_order_profiles")
+def _op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corroborate.llm.rank_order import identify, learn_profiles
+
+    docs = table(spark, sf_dir, "documents")
+    profiles = learn_profiles(docs.filter(remainder(3) != 1)).toPandas()
+    found = identify(docs.select("doc_id", "text"), profiles)
+    return with_held_out(found, 3, 1).select("doc_id", "held_out", "lang_pred", "score")
+
+
+@query("op5_bottom_k_fingerprints")
+def _op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corroborate.llm.bottom_k import fingerprint_edits
+
+    return fingerprint_edits(table(spark, sf_dir, "documents"))
+
+
+@query("op1_importance_resampling")
+def _op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Draw as large a share of the documents as the labels call good, towards the good ones."""
+    from corroborate.llm.importance import resample
+    from corroborate.llm.labels import labelled_sample
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").filter(remainder(5) != 2)
+    good = labelled_sample(labels, "quality", positive=20_000, negative=0)
+    share = labels.agg(F.avg("quality")).first()[0] or 0.0
+    target = docs.join(F.broadcast(good.select("doc_id")), "doc_id", "left_semi")
+    drawn = with_held_out(resample(docs, target, share), 5, 2)
+    return drawn.select("doc_id", "held_out", "n_grams", "log_weight", "gumbel_key", "selected")
+
+
+def toxicity_model(docs: DataFrame, labels: DataFrame):
+    """Model of toxic segments from a bounded sample of labelled rows, none of them held out."""
+    from corroborate.llm.labels import labelled_sample
+    from corroborate.llm.toxic_segments import learn
+
+    return learn(docs, labelled_sample(labels.filter(remainder(4) != 2), "toxic"))
+
+
+@query("op10_toxic_segments")
+def _op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corroborate.llm.toxic_segments import score
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity_model(docs, table(spark, sf_dir, "labels"))
+    scored = with_held_out(score(docs, model), 4, 2)
+    return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))

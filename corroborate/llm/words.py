@@ -122,6 +122,7 @@ class Words:
 
     def _file(self, texts: Texts) -> None:
         # Words of document d are first[d] .. first[d + 1].
+        self.limits = texts.limits
         self.first = np.searchsorted(self.start, texts.limits)
         self.count = np.diff(self.first)
         self.n_docs = len(texts)

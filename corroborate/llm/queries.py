@@ -112,3 +112,12 @@ def _op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = toxicity_model(docs, table(spark, sf_dir, "labels"))
     scored = with_held_out(score(docs, model), 4, 2)
     return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+@query("op7_warc_bundles")
+def _op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corroborate.llm.warc_bundles import read_bundles, write_bundles
+
+    path = scratch_path(spark, "warc")
+    write_bundles(table(spark, sf_dir, "pages"), path)
+    return read_bundles(spark, path)

@@ -121,3 +121,30 @@ def _op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "warc")
     write_bundles(table(spark, sf_dir, "pages"), path)
     return read_bundles(spark, path)
+
+
+_WORDS_SQL = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
+_CONTAMINATION_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, {_WORDS_SQL} AS w FROM documents),
+i AS (SELECT item_id, {_WORDS_SQL} AS w FROM benchmark),
+p AS (
+  SELECT DISTINCT item_id, k, unnest(list_transform(range(0, len(w) - k + 1), lambda s: array_to_string(w[s + 1:s + k], ' '))) AS phrase
+  FROM (SELECT item_id, w, least(13, len(w)) AS k FROM i WHERE len(w) > 0)),
+dw AS (
+  SELECT rid, k, unnest(list_transform(range(0, len(w) - k + 1), lambda s: {{'s': s, 'phrase': array_to_string(w[s + 1:s + k], ' ')}})) AS x
+  FROM d, (SELECT DISTINCT k FROM p) WHERE len(w) >= k),
+m AS (SELECT rid, x.s AS s, dw.k AS k, item_id FROM dw JOIN p ON p.k = dw.k AND p.phrase = x.phrase),
+h AS (SELECT rid, count(DISTINCT pos) AS n_hit FROM (SELECT rid, unnest(range(s, s + k)) AS pos FROM m) GROUP BY 1),
+t AS (
+  SELECT rid, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+  FROM (SELECT DISTINCT rid, item_id::varchar AS item FROM m) GROUP BY 1)
+SELECT doc_id, len(w)::bigint AS n_words, coalesce(n_hit, 0)::bigint AS n_hit, coalesce(n_items, 0)::bigint AS n_items,
+  sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN h USING (rid) LEFT JOIN t USING (rid)"""
+
+
+@query("op9_positional_index", _CONTAMINATION_SQL)
+def _op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corroborate.llm.positional_index import find_contamination
+
+    return find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("text_key")

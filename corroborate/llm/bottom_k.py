@@ -149,7 +149,7 @@ def fingerprint_edits(docs: DataFrame, k: int = K, width: int = SHINGLE_WORDS) -
     dealt = rows.withColumn("_spot", spot("doc_id")).select("doc_id", "text", F.explode(places).alias("_place"))
     ordered = (
         dealt.select("doc_id", "text", "_place.range", "_place.guest")
-        .repartition(last + 1, "range")
+        .repartitionById(last + 1, F.col("range").cast("int"))
         .sortWithinPartitions("range", "guest", F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
     )
 

@@ -148,3 +148,24 @@ def _op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corroborate.llm.positional_index import find_contamination
 
     return find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("text_key")
+
+
+_COMPONENTS_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents),
+s AS (
+  SELECT doc_id, unnest(CASE WHEN len(w) >= 3 THEN list_distinct(list_transform(range(0, len(w) - 2), lambda i: array_to_string(w[i + 1:i + 3], ' ')))
+    WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g FROM d),
+n AS (SELECT d.doc_id, count(g)::bigint AS n_shingles FROM d LEFT JOIN s USING (doc_id) GROUP BY 1),
+c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+l AS (SELECT c.a, c.b FROM c JOIN n x ON x.doc_id = c.a JOIN n y ON y.doc_id = c.b WHERE 100 * k >= 90 * (x.n_shingles + y.n_shingles - k)),
+r AS (SELECT doc_id AS a, doc_id AS b FROM n UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a)
+SELECT n.doc_id, n.n_shingles, m.component_id FROM n JOIN (SELECT a AS doc_id, min(b) AS component_id FROM r GROUP BY 1) m USING (doc_id)"""
+
+
+@query("op8_vertical_jaccard_join", _COMPONENTS_SQL)
+def _op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corroborate.llm.jaccard_join import similar_documents
+
+    return similar_documents(table(spark, sf_dir, "documents")).drop("signature")

@@ -7,8 +7,8 @@ that a linked set cannot miss altogether), and from hubs: of all sets that meet
 n-gram, the smallest is compared with each of the others. Two of these that are not
 linked to their hub can only be linked if they share enough n-grams that the hub lacks,
 so they meet again in those. Copies of one set are one set throughout, and sets known to be
-in one component are not compared again: a group of near copies costs about one comparison
-a member, not one a pair.
+in one component are not compared again: a large group of near copies costs a few
+comparisons a member, not one a pair.
 """
 
 from __future__ import annotations
@@ -34,7 +34,12 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 SHARD_BYTES = 24 << 20  # of text whose n-grams one counting task receives
 FLUSH_KEYS = 1 << 22
 KEY_BITS = 48
+SMALL_POSTING = 32  # sets that are all compared with each other
+STAR_ROUNDS = 3
 NONE = ""
+# A set in a posting: what it has from this n-gram on, and what it shares with the hub above.
+POSTING = "context string, token long, signature string, n long, rest long, shared long"
+POSTING_NAMES = [field.split()[0] for field in POSTING.split(", ")]
 
 
 def frequency_code(count: np.ndarray) -> np.ndarray:
@@ -203,17 +208,18 @@ def _first_postings(active: DataFrame, num: int, den: int) -> DataFrame:
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows, found = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            rows, found, rest = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             for i, (n, tokens, codes) in enumerate(zip(*(batch.column(c).to_pylist() for c in (1, 2, 3)))):
                 p = prefix_length(n, num, den)
                 shared = np.frombuffer(codes, np.uint8)[:p] > 1
                 found.append(np.frombuffer(tokens, "<i8")[:p][shared])
                 rows.append(np.full(len(found[-1]), i))
+                rest.append(n - np.flatnonzero(shared))
             at = pa.array(np.concatenate(rows))
-            arrays = [pa.array([NONE] * len(at), pa.string()), pa.array(np.concatenate(found)), batch.column(0).take(at), batch.column(1).take(at)]
-            yield pa.RecordBatch.from_arrays(arrays, names=["context", "token", "signature", "n"])
+            arrays = [pa.array([NONE] * len(at), pa.string()), pa.array(np.concatenate(found)), batch.column(0).take(at), batch.column(1).take(at), pa.array(np.concatenate(rest)), pa.array(np.zeros(len(at), np.int64))]
+            yield pa.RecordBatch.from_arrays(arrays, names=POSTING_NAMES)
 
-    return active.select("signature", "n", "tokens", "codes").mapInArrow(post, "context string, token long, signature string, n long")
+    return active.select("signature", "n", "tokens", "codes").mapInArrow(post, POSTING)
 
 
 def _segments(active: DataFrame) -> DataFrame:
@@ -266,7 +272,7 @@ def _next_postings(met: DataFrame, num: int, den: int) -> DataFrame:
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows, found = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            rows, found, rest = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             columns = (batch.column(i).to_pylist() for i in (1, 3, 4, 5))
             for i, (hub_n, n, shared, extra) in enumerate(zip(*columns)):
                 tokens = np.concatenate([np.frombuffer(e["tokens"], "<i8") for e in extra])
@@ -275,44 +281,66 @@ def _next_postings(met: DataFrame, num: int, den: int) -> DataFrame:
                 p = len(tokens) - max(least, 1) + 1
                 found.append(tokens[:p][codes[:p] > 1])
                 rows.append(np.full(len(found[-1]), i))
+                rest.append(len(tokens) - np.flatnonzero(codes[:p] > 1))
             at = pa.array(np.concatenate(rows))
-            arrays = [batch.column(0).take(at), pa.array(np.concatenate(found)), batch.column(2).take(at), batch.column(3).take(at)]
-            yield pa.RecordBatch.from_arrays(arrays, names=["context", "token", "signature", "n"])
+            arrays = [batch.column(0).take(at), pa.array(np.concatenate(found)), *(batch.column(c).take(at) for c in (2, 3)), pa.array(np.concatenate(rest)), batch.column(4).take(at)]
+            yield pa.RecordBatch.from_arrays(arrays, names=POSTING_NAMES)
 
     wanted = met.select("hub", "hub_n", "signature", "n", "shared", "extra")
-    return wanted.mapInArrow(post, "context string, token long, signature string, n long")
+    return wanted.mapInArrow(post, POSTING)
+
+
+def _all_pairs(members: DataFrame, few: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs within the postings ``few`` that are not connected yet and may be linked.
+
+    A linked pair has a least number of n-grams in common: no more than each shares with
+    the hub above, and than each has from this n-gram on.
+    """
+    own = members.join(few.select("context", "token"), ["context", "token"])
+    a, b = own.alias("a"), own.alias("b")
+    met = a.join(b, (F.col("a.context") == F.col("b.context")) & (F.col("a.token") == F.col("b.token")))
+    ordered = F.struct("a.n", "a.signature") < F.struct("b.n", "b.signature")
+    like = den * F.col("a.n") >= num * F.col("b.n")
+    least = F.ceil(num * (F.col("a.n") + F.col("b.n")) / (num + den) - 1e-9)
+    possible = F.least("a.shared", "b.shared") + F.least("a.rest", "b.rest")
+    met = met.filter(ordered & like & (possible >= least) & (F.col("a.root") != F.col("b.root")))
+    return met.select(F.col("a.signature").alias("hub"), F.col("a.n").alias("hub_n"), "b.signature", "b.n").distinct()
 
 
 def links(active: DataFrame, num: int, den: int) -> DataFrame:
     """Links (a, b) between sets, enough to connect every two sets that are linked.
 
-    Each round compares the hub of every posting with its other sets. The hubs of one
-    chain grow, so rounds end; a posting whose sets are already connected is left.
+    Each round compares the hub of every large posting with its other sets, and all sets
+    of a small posting with each other. Postings whose sets are connected already are left.
+    What large postings leave goes on to smaller ones; the few that are still large after
+    ``STAR_ROUNDS`` are compared in full.
     """
     segments = cut_lineage(_segments(active))
     postings = cut_lineage(_first_postings(active, num, den))
-    done, edges, roots = None, None, None
-    while True:
-        members = postings
-        if roots is not None:
-            members = postings.join(roots, "signature", "left").withColumn("root", F.coalesce("root", "signature"))
-        else:
-            members = postings.withColumn("root", F.col("signature"))
-        groups = members.groupBy("context", "token").agg(F.min(F.struct("n", "signature")).alias("hub"), F.min("root").alias("low"), F.max("root").alias("high"))
-        groups = groups.filter("low <> high").select("context", "token", F.col("hub.signature").alias("hub"), F.col("hub.n").alias("hub_n"))
-        star = members.join(groups, ["context", "token"]).filter("signature <> hub")
+    roots = active.select("signature", F.col("signature").alias("root"))
+    done, edges = None, None
+    for level in range(STAR_ROUNDS + 1):
+        members = postings.join(roots, "signature", "left").withColumn("root", F.coalesce("root", "signature"))
+        members = cut_lineage(members)
+        groups = members.groupBy("context", "token").agg(
+            F.min(F.struct("n", "signature")).alias("hub"), F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("m")
+        )
+        groups = cut_lineage(groups.filter("low <> high").select("context", "token", F.col("hub.signature").alias("hub"), F.col("hub.n").alias("hub_n"), "m"))
+        small = F.lit(level == STAR_ROUNDS) | (F.col("m") <= SMALL_POSTING)
+        pairs = _all_pairs(members, groups.filter(small), num, den)
+        star = members.join(groups.filter(~small).drop("m"), ["context", "token"]).filter("signature <> hub")
         star = cut_lineage(star.select("hub", "hub_n", "signature", "n").distinct())
-        if star.isEmpty():
-            break
-        new = star if done is None else star.join(done.select("hub", "signature"), ["hub", "signature"], "left_anti")
+        new = pairs.unionByName(star).distinct()
+        if done is not None:
+            new = new.join(done.select("hub", "signature"), ["hub", "signature"], "left_anti")
         counted = cut_lineage(_overlaps(new, segments))
-        known = counted if done is None else counted.unionByName(done.join(star.select("hub", "signature"), ["hub", "signature"], "left_semi"))
-        postings = cut_lineage(_next_postings(known, num, den))
-        done = counted if done is None else cut_lineage(done.unionByName(counted))
+        done = counted if done is None else done.unionByName(counted)
         enough = den * F.col("shared") >= num * (F.col("n") + F.col("hub_n") - F.col("shared"))
         edges = done.filter(enough).select(F.col("hub").alias("a"), F.col("signature").alias("b"))
-        if postings.isEmpty():
+        if star.isEmpty():
             break
+        below = done.join(star.select("hub", "signature"), ["hub", "signature"], "left_semi")
+        postings = _next_postings(below, num, den)
         roots = connected_components(edges).withColumnRenamed("node", "signature")
     return edges
 
@@ -334,11 +362,8 @@ def similar_documents(docs: DataFrame, width: int = 3, num: int = 90, den: int =
     active = cut_lineage(rows.filter(F.col("tokens").isNotNull()).dropDuplicates(["signature"]).drop("doc_id"))
     edges = links(active, num, den)
     sets = rows.filter(F.col("signature").isNotNull()).groupBy("signature").agg(F.min("doc_id").alias("least"))
-    if edges is not None:
-        roots = connected_components(edges).withColumnRenamed("node", "signature")
-        sets = sets.join(roots, "signature", "left")
-    else:
-        sets = sets.withColumn("root", F.lit(None).cast("string"))
+    roots = connected_components(edges).withColumnRenamed("node", "signature")
+    sets = sets.join(roots, "signature", "left")
     sets = cut_lineage(sets.withColumn("root", F.coalesce("root", "signature")))
     # Only sets with a link need the smallest id of their component.
     least = sets.groupBy("root").agg(F.min("least").alias("component_id"))

@@ -169,3 +169,12 @@ def _op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corroborate.llm.jaccard_join import similar_documents
 
     return similar_documents(table(spark, sf_dir, "documents")).drop("signature")
+
+
+@query("op2_elias_fano_lm")
+def _op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corroborate.llm.elias_fano_lm import score_documents
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", (remainder(7) != 2).alias("learn"))
+    scored = with_held_out(score_documents(docs, "learn"), 7, 2)
+    return scored.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")

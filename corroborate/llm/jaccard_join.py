@@ -180,7 +180,7 @@ def prefix_length(n: int, num: int, den: int) -> int:
 
 def _sets(docs: DataFrame, width: int, num: int, den: int, path: str) -> DataFrame:
     """doc_id, n, signature; and for sets that may be linked their n-grams in global order."""
-    schema = "doc_id long, n long, signature string, tokens binary, codes binary"
+    schema = "doc_id long, text_key long, n long, signature string, tokens binary, codes binary"
 
     def order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, seen = _Known(path, TaskContext.get().partitionId()), set()
@@ -197,8 +197,8 @@ def _sets(docs: DataFrame, width: int, num: int, den: int, path: str) -> DataFra
                     own = slice(sets.limits[i], sets.limits[i + 1])
                     by = np.lexsort((sets.value[own], code[own]))
                     tokens[i], codes[i] = sets.value[own][by].tobytes(), code[own][by].tobytes()
-                arrays = [batch.column(0).slice(first, len(texts)), pa.array(sets.size), pa.array(sets.signature, pa.string()), pa.array(tokens, pa.binary()), pa.array(codes, pa.binary())]
-                yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n", "signature", "tokens", "codes"])
+                arrays = [batch.column(0).slice(first, len(texts)), batch.column(2).slice(first, len(texts)), pa.array(sets.size), pa.array(sets.signature, pa.string()), pa.array(tokens, pa.binary()), pa.array(codes, pa.binary())]
+                yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "text_key", "n", "signature", "tokens", "codes"])
 
     return docs.mapInArrow(order, schema)
 
@@ -346,20 +346,20 @@ def links(active: DataFrame, num: int, den: int) -> DataFrame:
 
 
 def similar_documents(docs: DataFrame, width: int = 3, num: int = 90, den: int = 100) -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_shingles, component_id, signature.
+    """One row per row of ``docs``: doc_id, text_key, n_shingles, component_id, component.
 
     Two rows link where den * |A and B| >= num * |A or B| for their sets of distinct
     ``width``-word shingles (all words of a shorter text are one); component_id is the
     smallest doc_id that links reach. Equal rows and equal sets share a component. A text
-    that is null or without words has an empty set, signature null, and stands alone. A null
-    doc_id never is the smallest. ``docs`` must read the same rows in the same partitions
-    each time, as files do.
+    that is null or without words has an empty set, component null, and stands alone. A null
+    doc_id never is the smallest. ``text_key`` is the hash of the text. ``docs`` must read the
+    same rows in the same partitions each time, as files do.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_key"))
     path = scratch_path(docs.sparkSession, "frequencies")
     _frequencies(docs, width, path)
     rows = cut_lineage(_sets(docs, width, num, den, path))
-    active = cut_lineage(rows.filter(F.col("tokens").isNotNull()).dropDuplicates(["signature"]).drop("doc_id"))
+    active = cut_lineage(rows.filter(F.col("tokens").isNotNull()).dropDuplicates(["signature"]).drop("doc_id", "text_key"))
     edges = links(active, num, den)
     sets = rows.filter(F.col("signature").isNotNull()).groupBy("signature").agg(F.min("doc_id").alias("least"))
     roots = connected_components(edges).withColumnRenamed("node", "signature")
@@ -367,7 +367,7 @@ def similar_documents(docs: DataFrame, width: int = 3, num: int = 90, den: int =
     sets = cut_lineage(sets.withColumn("root", F.coalesce("root", "signature")))
     # Only sets with a link need the smallest id of their component.
     least = sets.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = sets.join(least, "root").select("signature", "component_id")
-    out = rows.select("doc_id", F.col("n").alias("n_shingles"), "signature").join(named, "signature", "left")
+    named = sets.join(least, "root").select("signature", "component_id", F.col("root").alias("component"))
+    out = rows.select("doc_id", "text_key", F.col("n").alias("n_shingles"), "signature").join(named, "signature", "left")
     alone = F.when(F.col("signature").isNull(), F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", F.coalesce("component_id", alone).alias("component_id"), "signature")
+    return out.select("doc_id", "text_key", "n_shingles", F.coalesce("component_id", alone).alias("component_id"), "component")

@@ -168,7 +168,7 @@ SELECT n.doc_id, n.n_shingles, m.component_id FROM n JOIN (SELECT a AS doc_id, m
 def _op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corroborate.llm.jaccard_join import similar_documents
 
-    return similar_documents(table(spark, sf_dir, "documents")).drop("signature")
+    return similar_documents(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
 @query("op2_elias_fano_lm")

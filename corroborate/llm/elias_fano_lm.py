@@ -134,10 +134,9 @@ class Trie:
         keys, first = np.unique(context, return_index=True)
         rank = np.repeat(np.arange(len(keys), dtype=np.uint64), np.diff(np.append(first, len(context))))
         sequences = [keys, np.append(first, len(context)), rank << np.uint64(32) | follower]
-        # Code 0 means absent; each other code is the mean of an equal share of the values.
-        order = np.argsort(log_p, kind="stable")
-        code = np.empty(len(log_p), np.uint8)
-        code[order] = 1 + np.arange(len(log_p)) * 255 // max(len(log_p), 1)
+        # Code 0 means absent; each other code is the mean of the values in a step of its own.
+        low, high = (log_p.min(), log_p.max()) if len(log_p) else (0.0, 0.0)
+        code = (1 + 254 * (log_p - low) / max(high - low, 1e-9)).round().astype(np.uint8)
         number = np.bincount(code, minlength=256)
         book = np.bincount(code, log_p, 256) / np.maximum(number, 1)
         out = [p for s in sequences for p in EliasFano.encode(s).parts()]

@@ -50,8 +50,8 @@ def gram_counts(texts: list[str], letters: np.ndarray, max_n: int) -> tuple[np.n
 
     Grams run within words; a blank stands for either end of a word.
     """
-    points = np.frombuffer("".join(" " + t for t in texts).encode("utf-32-le", "surrogatepass"), "<u4")
-    limits = np.cumsum([len(t) + 1 for t in texts])
+    points = np.frombuffer("".join(f" {t} " for t in texts).encode("utf-32-le", "surrogatepass"), "<u4")
+    limits = np.cumsum([len(t) + 2 for t in texts])
     doc = np.repeat(np.arange(len(texts)), np.diff(limits, prepend=0))
     seq = np.where(letters[points], points, 0).astype(np.uint64)
     keep = seq > 0
@@ -63,9 +63,11 @@ def gram_counts(texts: list[str], letters: np.ndarray, max_n: int) -> tuple[np.n
     for n in range(1, max_n + 1):
         if n > 1:
             code = code[:-1] * np.uint64(0x9E3779B97F4A7C15) + seq[n - 1 :]
-            crosses = crosses[:-1] | (doc[:-1] != doc[1:])[n - 2 :] if n == 2 else crosses[:-1] | (doc[n - 2 : -1] != doc[n - 1 :]) | (seq[n - 2 : -1] == 0)
+            crosses = crosses[:-1] | (doc[n - 2 : -1] != doc[n - 1 :])
+        if n > 2:
+            crosses |= seq[n - 2 : -1] == 0
         good = ~crosses & ((seq[: len(code)] > 0) | (n > 1))
-        gram = mix(code[good] + np.uint64(n)) >> (np.uint64(64) - _GRAM_BITS)
+        gram = mix(code[good] + np.uint64(n << 56)) >> (np.uint64(64) - _GRAM_BITS)
         keys.append(doc[: len(code)][good].astype(np.uint64) << _GRAM_BITS | gram)
     flat = np.sort(np.concatenate(keys))
     fresh = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]])) if len(flat) else np.zeros(0, np.int64)

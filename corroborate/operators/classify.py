@@ -192,9 +192,9 @@ def padded(text: Column) -> Column:
     return F.concat(F.lit(" "), words, F.lit(" "))
 
 
-def _names(hay: Column, phrases: str) -> Column:
+def _names(hay: Column, phrases: list[str]) -> Column:
     hits = F.lit(False)
-    for phrase in phrases.split(", "):
+    for phrase in phrases:
         hits = hits | F.contains(hay, F.lit(f" {phrase} "))
     return hits
 
@@ -203,16 +203,15 @@ DEFAULT_LEXICONS = {
     "institution": V.INSTITUTION_TERMS,
     "artifact": V.ARTIFACT_TERMS,
     "person": V.PERSON_TERMS,
-    "variable": ", ".join(V.VARIABLE_LEXICON.values()),
+    "variable": [phrase for phrases in V.VARIABLE_LEXICON.values() for phrase in phrases],
     "descriptive": V.DESCRIPTIVE_TERMS,
     "direction": V.DIRECTION_TERMS,
-    "structural": V.STRUCTURAL_TERMS,
     "specialist": V.SPECIALIST_TERMS,
 }
 
 
 def transferability(
-    df: DataFrame, fact: str, boundary: str, source_title: str, lexicons: dict[str, str] | None = None
+    df: DataFrame, fact: str, boundary: str, source_title: str, lexicons: dict[str, list[str]] | None = None
 ) -> DataFrame:
     """Add the four check outcomes and both verdicts of a claim.
 

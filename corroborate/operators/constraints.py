@@ -234,9 +234,9 @@ def proposal_rules(proposals: DataFrame, citations: DataFrame, legacy: DataFrame
     signature; ``legacy``: signatures exempt from the span rule.
     """
     exempt = legacy.select("signature", F.lit(True).alias("_legacy")).distinct()
-    p = skew_join(proposals, exempt, "signature", ["item_id"], how="left")
+    p = skew_join(proposals, exempt, "signature", how="left")
     differs = rule_violations(p, "item_id", {"payload_differs": F.sha2("payload_json", 256) == F.sha2("envelope_json", 256)})
-    joined = skew_join(citations, p.select("item_id", "proposed_by", "proposed_at", "_legacy"), "item_id", ["pos"])
+    joined = skew_join(citations, p.select("item_id", "proposed_by", "proposed_at", "_legacy"), "item_id")
     pipeline = is_pipeline_authored(F.col("proposed_by")) & F.col("_legacy").isNull()
     spans = rule_violations(
         joined,

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from corroborate.functions import text as X
 from corroborate.functions import vocabulary as V
 from corroborate.functions.scalars import quarter_key
-from corroborate.operators.skew import HOT_KEYS, HOT_ROWS, latest_per_key, prefix_scan, skew_join
+from corroborate.operators.skew import latest_per_key, prefix_scan, skew_join
 from corroborate.session import cut_lineage
 
 
@@ -26,9 +26,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     pairs = cut_lineage(pairs)
     mark = _edge_mark(pairs)
     while mark[0]:
-        # Below this size no node can be hot, so the salted join is not needed.
-        salted = 2 * mark[0] >= HOT_ROWS
-        pairs = cut_lineage(_small_star(_large_star(pairs, salted), salted))
+        pairs = cut_lineage(_small_star(_large_star(pairs)))
         now = _edge_mark(pairs)
         if now == mark:
             break
@@ -42,32 +40,23 @@ def _edge_mark(pairs: DataFrame) -> tuple:
     return tuple(pairs.agg(F.count(F.lit(1)), digest).first())
 
 
-def _with_minimum(near: DataFrame, salted: bool) -> DataFrame:
-    """Attach to every (u, v) the smallest v of u; a hub u is spread over tasks."""
-    lowest = near.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("_rows"))
-    if not salted:
-        return near.join(lowest.drop("_rows"), "u")
-    hot = (
-        lowest.filter(F.col("_rows") >= HOT_ROWS)
-        .orderBy(F.desc("_rows"))
-        .limit(HOT_KEYS)
-        .select("u", F.lit(True).alias("_hot"))
-    )
-    return skew_join(near, lowest.drop("_rows"), "u", ["v"], hot=hot)
+def _with_minimum(near: DataFrame) -> DataFrame:
+    """Attach to every (u, v) the smallest v of u."""
+    return skew_join(near, near.groupBy("u").agg(F.min("v").alias("m")), "u")
 
 
-def _large_star(pairs: DataFrame, salted: bool) -> DataFrame:
+def _large_star(pairs: DataFrame) -> DataFrame:
     there = pairs.select(F.col("hi").alias("u"), F.col("lo").alias("v"))
     back = pairs.select(F.col("lo").alias("u"), F.col("hi").alias("v"))
-    near = _with_minimum(there.unionByName(back), salted)
+    near = _with_minimum(there.unionByName(back))
     target = F.least("u", "m")
     return (
         near.filter("v > u").select(F.col("v").alias("hi"), target.alias("lo")).distinct()
     )
 
 
-def _small_star(pairs: DataFrame, salted: bool) -> DataFrame:
-    down = _with_minimum(pairs.select(F.col("hi").alias("u"), F.col("lo").alias("v")), salted)
+def _small_star(pairs: DataFrame) -> DataFrame:
+    down = _with_minimum(pairs.select(F.col("hi").alias("u"), F.col("lo").alias("v")))
     ends = F.array(
         F.struct(F.col("v").alias("hi"), F.col("m").alias("lo")),
         F.struct(F.col("u").alias("hi"), F.col("m").alias("lo")),
@@ -92,7 +81,7 @@ def resolve_entities(df: DataFrame, row_id: str, keys: list[str]) -> DataFrame:
         .filter("a <> b")
         .distinct()
     )
-    labelled = skew_join(rows, connected_components(edges), "node", [row_id], how="left")
+    labelled = skew_join(rows, connected_components(edges), "node", how="left")
     alone = F.concat(F.lit("row:"), F.col(row_id).cast("string"))
     return labelled.withColumn("cluster", F.coalesce("root", "node", alone)).select(
         *df.columns, "cluster"

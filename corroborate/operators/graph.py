@@ -40,7 +40,7 @@ def reference_state(edges: DataFrame, resolved: DataFrame, corpus: DataFrame, ke
             F.coalesce(F.col("by_id"), F.col("by_key"), F.lit(False)).alias("in_corpus"),
         )
     )
-    return skew_join(edges, flags, "ref", ["review"])
+    return skew_join(edges, flags, "ref")
 
 
 def review_coverage(state: DataFrame) -> DataFrame:

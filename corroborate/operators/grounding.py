@@ -77,7 +77,7 @@ def ground_quotes(quotes: DataFrame, sources: DataFrame, row_id: str) -> DataFra
     hay = sources.select(
         "record_id", "source_text", X.norm_quality(F.col("source_text")).alias("hay")
     )
-    joined = skew_join(prepared, hay, "record_id", [row_id], how="left")
+    joined = skew_join(prepared, hay, "record_id", how="left")
     inside = (F.col("needle") != "") & F.contains("hay", "needle")
     span = span_of(F.when(inside, F.col("source_text")), F.col("needle"), F.col("_nth"))
     return (
@@ -139,10 +139,8 @@ def find_passages(passages: DataFrame, documents: DataFrame) -> DataFrame:
         .filter("a.docs > 0")
         .select("needle", "a.gram")
     )
-    candidates = skew_join(shared, rarest, "gram", ["doc_id"]).select("doc_id", "needle")
-    checked = skew_join(
-        candidates, documents.select("doc_id", "text"), "doc_id", ["needle"]
-    ).filter(F.contains(X.norm_quality(F.col("text")), F.col("needle")))
+    candidates = skew_join(shared, rarest, "gram").select("doc_id", "needle")
+    checked = skew_join(candidates, documents.select("doc_id", "text"), "doc_id").filter(F.contains(X.norm_quality(F.col("text")), F.col("needle")))
     hits = checked.withColumn("_span", span_of(F.col("text"), F.col("needle"))).select(
         "needle",
         "doc_id",
@@ -150,7 +148,7 @@ def find_passages(passages: DataFrame, documents: DataFrame) -> DataFrame:
         F.col("_span.end").alias("end"),
         slice_text(F.col("text"), F.col("_span.start"), F.col("_span.end")).alias("quote"),
     )
-    return skew_join(needles.select("passage_id", "needle"), hits, "needle", ["passage_id"]).drop("needle")
+    return skew_join(needles.select("passage_id", "needle"), hits, "needle").drop("needle")
 
 
 def _spots(count: Column) -> Column:
@@ -193,7 +191,7 @@ def span_conditions(
 
 
 def span_audit(citations: DataFrame, sources: DataFrame, row_id: str) -> DataFrame:
-    joined = skew_join(citations, sources, "record_id", [row_id], how="left")
+    joined = skew_join(citations, sources, "record_id", how="left")
     checks = span_conditions(
         F.col("source_text"), F.col("start"), F.col("end"), F.col("quote"), F.col("source_sha256")
     )
@@ -203,7 +201,7 @@ def span_audit(citations: DataFrame, sources: DataFrame, row_id: str) -> DataFra
 
 def source_context(citations: DataFrame, sources: DataFrame, row_id: str, window: int) -> DataFrame:
     """Text before, inside and after each valid span, or the failing condition."""
-    joined = skew_join(citations, sources, "record_id", [row_id], how="left")
+    joined = skew_join(citations, sources, "record_id", how="left")
     text, start, end = F.col("source_text"), F.col("start"), F.col("end")
     conditions = span_conditions(text, start, end, F.col("quote"), F.col("source_sha256"))
     failing = F.when(text.isNull(), "unknown_record").otherwise(F.get(conditions, F.lit(0)))
@@ -224,7 +222,7 @@ def allowed_roles(label: Column) -> Column:
     clean = F.lower(X.collapse(label))
     chain = F.lit(None).cast("array<string>")
     for labels, roles in reversed(V.SECTION_ROLES):
-        chain = F.when(clean.isin(labels.split(", ")), X.literals(roles.split(", "))).otherwise(chain)
+        chain = F.when(clean.isin(labels), X.literals(roles)).otherwise(chain)
     return chain
 
 
@@ -349,7 +347,7 @@ def grounding_gate(
     known = records.withColumn("hay", X.norm_quality(F.col("source_text")))
     # The needle becomes a column before the join: later lambdas may not hold a Python UDF.
     prepared = citations.withColumn("needle", X.norm_quality(F.col("quote")))
-    joined = skew_join(prepared, known, "record_id", ["item_id", "pos"], how="left")
+    joined = skew_join(prepared, known, "record_id", how="left")
     needle = F.col("needle")
     inside = F.contains(F.col("hay"), needle)
     source = F.col("source_text")
@@ -424,7 +422,7 @@ def grounding_errors(citations: DataFrame, records: DataFrame, row_id: str) -> D
     they name (``r_fact``, ``r_boundary``, ``r_cited``).
     """
     known = records.withColumn("hay", X.norm_quality(F.col("source_text")))
-    joined = skew_join(citations, known, "record_id", [row_id], how="left")
+    joined = skew_join(citations, known, "record_id", how="left")
     needle = X.norm_quality(F.col("quote"))
     source = F.col("source_text")
     missing = source.isNull()
@@ -457,7 +455,7 @@ def grounding_errors(citations: DataFrame, records: DataFrame, row_id: str) -> D
 
 def inference_errors(inferences: DataFrame, effects: DataFrame, cited: DataFrame, row_id: str) -> DataFrame:
     """Errors of inference citations against the effect each one names."""
-    basis = skew_join(inferences, effects, "effect_id", [row_id], how="left")
+    basis = skew_join(inferences, effects, "effect_id", how="left")
     edge = cited.select("effect_id", "record_id", F.lit(True).alias("_cited")).distinct()
     joined = basis.join(edge, ["effect_id", "record_id"], "left")
     absent = F.col("e_fact").isNull()

@@ -12,17 +12,25 @@ from corroborate.operators.skew import prefix_scan
 from corroborate.session import cut_lineage
 
 
-def novelty_curve(hits: DataFrame, window: int = 10) -> DataFrame:
+def novelty_curve(hits: DataFrame, window: int = 10, queries: DataFrame | None = None, base: DataFrame | None = None) -> DataFrame:
     """Per query: returned, unique, added and cumulative records with rolling rate.
 
     ``hits``: topic_id, query_index (1, 2, ... per topic), cluster. A cluster
-    counts as added by the first query that returned it.
+    counts as added by the first query that returned it. ``queries`` (topic_id,
+    query_index) names all queries issued, so that one without hits is a step of
+    rate 0; ``base`` (topic_id, cluster) names what was known before the first.
     """
     seen = hits.groupBy("topic_id", "query_index", "cluster").agg(F.count(F.lit(1)).alias("n"))
     per_query = seen.groupBy("topic_id", "query_index").agg(
         F.sum("n").alias("returned"), F.count(F.lit(1)).alias("unique_returned")
     )
+    if queries is not None:
+        issued = queries.select("topic_id", "query_index").distinct()
+        counts = [F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in ("returned", "unique_returned")]
+        per_query = issued.join(per_query, ["topic_id", "query_index"], "left").select("topic_id", "query_index", *counts)
     first = seen.groupBy("topic_id", "cluster").agg(F.min("query_index").alias("query_index"))
+    if base is not None:
+        first = first.join(base.select("topic_id", "cluster").distinct(), ["topic_id", "cluster"], "left_anti")
     added = first.groupBy("topic_id", "query_index").agg(F.count(F.lit(1)).alias("records_added"))
     curve = per_query.join(added, ["topic_id", "query_index"], "left").withColumn(
         "records_added", F.coalesce("records_added", F.lit(0))

@@ -224,9 +224,12 @@ def greedy_admission(queue: DataFrame, key: str, item: str, rank: str, cost: str
     Items over ``per_run`` are skipped or, if they also break the cap, deferred.
     A key with at most ``FOLD_LIMIT`` open items is one native fold. A longer one
     is worked off in rounds that admit the whole prefix that fits and defer every
-    item now too large, until it is short enough; the result is the same.
+    item now too large, until it is short enough. Money is counted in decimals, so both
+    ways give the same answer.
     """
-    base = queue.select(key, item, rank, cost, cap)
+    money = "decimal(28,9)"
+    per_run = F.lit(per_run).cast(money)
+    base = queue.select(key, item, rank, F.col(cost).cast(money).alias(cost), F.col(cap).cast(money).alias(cap))
     state = base.withColumn("left", F.col(cap)).withColumn("action", F.lit(None).cast("string"))
     done = None
     while True:
@@ -270,21 +273,21 @@ def _admit_prefix(state: DataFrame, key: str, rank: str, cost: str) -> DataFrame
     return (
         joined.join(spent, key, "left")
         .withColumn("action", action)
-        .withColumn("left", F.col("left") - F.coalesce("_spent", F.lit(0)))
+        .withColumn("left", (F.col("left") - F.coalesce("_spent", F.lit(0))).cast("decimal(28,9)"))
         .select(*state.columns)
     )
 
 
-def _fold(state: DataFrame, key: str, item: str, rank: str, cost: str, per_run: int) -> DataFrame:
-    entry = F.struct(F.col(rank).alias("r"), F.col(item).alias("i"), F.col(cost).cast("double").alias("c"))
-    queues = state.groupBy(key).agg(F.array_sort(F.collect_list(entry)).alias("q"), F.max("left").cast("double").alias("left"))
+def _fold(state: DataFrame, key: str, item: str, rank: str, cost: str, per_run: Column) -> DataFrame:
+    entry = F.struct(F.col(rank).alias("r"), F.col(item).alias("i"), F.col(cost).alias("c"))
+    queues = state.groupBy(key).agg(F.array_sort(F.collect_list(entry)).alias("q"), F.max("left").alias("left"))
     item_type = state.schema[item].dataType.simpleString()
-    start = F.struct(F.col("left").alias("left"), F.expr(f"CAST(array() AS array<struct<i:{item_type},action:string>>)").alias("log"))
+    start = F.struct(F.col("left").cast("decimal(28,9)").alias("left"), F.expr(f"CAST(array() AS array<struct<i:{item_type},action:string>>)").alias("log"))
 
     def step(acc: Column, e: Column) -> Column:
         action = F.when(e["c"] > acc["left"], "defer").when(e["c"] > per_run, "skip").otherwise("run")
         return F.struct(
-            F.when(action == "run", acc["left"] - e["c"]).otherwise(acc["left"]).alias("left"),
+            F.when(action == "run", acc["left"] - e["c"]).otherwise(acc["left"]).cast("decimal(28,9)").alias("left"),
             F.array_append(acc["log"], F.struct(e["i"].alias("i"), action.alias("action"))).alias("log"),
         )
 

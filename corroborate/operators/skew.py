@@ -7,49 +7,15 @@ from pyspark.sql import functions as F
 
 from corroborate.session import cut_lineage
 
-HOT_KEYS = 1000
-HOT_ROWS = 100_000
-SALTS = 64
 
+def skew_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """Equi-join whose hot partitions Spark splits at run time.
 
-def hot_keys(df: DataFrame, key: str, min_rows: int = HOT_ROWS) -> DataFrame:
-    """The most frequent keys: never more than ``HOT_KEYS`` rows, so safe to broadcast.
-
-    A key left out holds at most one thousandth of all rows.
+    The session turns adaptive skew joins on and forces them also where the split costs a
+    further shuffle, so one plan serves every size and neither side is read to look for
+    hot keys first.
     """
-    counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("_rows"))
-    return (
-        counts.filter(F.col(key).isNotNull() & (F.col("_rows") >= min_rows))
-        .orderBy(F.desc("_rows"))
-        .limit(HOT_KEYS)
-        .select(key, F.lit(True).alias("_hot"))
-    )
-
-
-def skew_join(
-    left: DataFrame,
-    right: DataFrame,
-    key: str,
-    spread: list[str],
-    how: str = "inner",
-    hot: DataFrame | None = None,
-) -> DataFrame:
-    """Equi-join where hot keys of ``left`` are spread over ``SALTS`` partitions.
-
-    ``spread`` names stable columns of ``left`` that decide the salt; ``right``
-    is repeated per salt for the hot keys only.
-    """
-    hot = F.broadcast(hot_keys(left, key) if hot is None else hot)
-    salt = F.pmod(F.xxhash64(*spread), F.lit(SALTS)).cast("int")
-    copies = F.sequence(F.lit(0), F.lit(SALTS - 1))
-    salted = left.join(hot, key, "left").withColumn(
-        "_salt", F.when(F.col("_hot"), salt).otherwise(F.lit(0))
-    )
-    repeated = right.join(hot, key, "left").withColumn(
-        "_salt", F.explode(F.when(F.col("_hot"), copies).otherwise(F.array(F.lit(0))))
-    )
-    joined = salted.drop("_hot").join(repeated.drop("_hot"), [key, "_salt"], how)
-    return joined.drop("_salt")
+    return left.join(right, key, how)
 
 
 def prefix_scan(
@@ -63,7 +29,7 @@ def prefix_scan(
 
     Rows are range-partitioned by key and order, numbered inside each range, and
     shifted by the totals of the earlier ranges, so a hot key spans many tasks.
-    Key columns must not be null.
+    A null key is a key of its own.
     """
     sums = sums or {}
     placed = cut_lineage(
@@ -94,9 +60,13 @@ def prefix_scan(
             for out in sums
         ],
     )
-    joined = local.join(shift, [*keys, "_range"])
+    l, r = local.alias("l"), shift.alias("r")
+    same = F.col("l._range") == F.col("r._range")
+    for k in keys:
+        same &= F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}"))
+    joined = l.join(r, same)
     return joined.select(
-        *df.columns,
+        *[F.col(f"l.{c}") for c in df.columns],
         (F.col("_pos") + F.col("_pos_shift")).cast("bigint").alias(position),
         *[(F.col(f"_run_{out}") + F.col(f"_shift_{out}")).alias(out) for out in sums],
     )

@@ -182,7 +182,7 @@ cluster AS (SELECT node AS record_id, min(label) AS cluster_id FROM reach GROUP
 
 
 def resolved(t: Tables):
-    return E.resolve_entities(keyed_records(t), "record_id", ["doi", "openalex_id", "title_key"])
+    return E.resolve_entities(keyed_records(t), "record_id")
 
 
 @query(
@@ -395,7 +395,7 @@ def lookup_join(t: Tables):
     lines = t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
     part = t.part.select(F.col("p_partkey").alias("l_partkey"), "p_brand")
     supplier = t.supplier.select(F.col("s_suppkey").alias("l_suppkey"), "s_nationkey")
-    joined = skew_join(lines, part, "l_partkey", ["l_orderkey", "l_linenumber"])
+    joined = skew_join(lines, part, "l_partkey")
     return joined.join(supplier, "l_suppkey").drop("l_suppkey")
 
 
@@ -432,7 +432,7 @@ def halves(t: Tables):
 @query("match_any_key", f"WITH {_HALVES} SELECT record_id FROM cur WHERE {MATCH_SQL}")
 def match_any_key(t: Tables):
     current, previous = halves(t)
-    return E.match_any_key(current, previous, "record_id", ["doi", "openalex_id", "title_key"])
+    return E.match_any_key(current, previous, "record_id")
 
 
 @query(
@@ -522,7 +522,7 @@ def union_batches(t: Tables):
     current, previous = halves(t)
     both = previous.unionByName(current)
     one = E.merge_cluster(
-        E.resolve_entities(both, "record_id", ["doi", "openalex_id", "title_key"]), ["cluster"], "record_id"
+        E.resolve_entities(both, "record_id"), ["cluster"], "record_id"
     )
     return one.groupBy("topic_id").agg(F.count(F.lit(1)).alias("records"), F.sum("cluster_size").alias("rows"))
 

@@ -533,13 +533,18 @@ def first_fires(t: Tables):
 
 # --- transferability ------------------------------------------------------------------------
 LEXICONS = {
-    "person": "that, nicht, unos", "artifact": "this, dans, ist", "institution": "with, para", "variable": "the, der, la",
-    "descriptive": "of the", "direction": "and, und, et, y", "structural": "in the", "specialist": "stupid, avec",
+    "person": ["that", "nicht", "unos"],
+    "artifact": ["this", "dans", "ist"],
+    "institution": ["with", "para"],
+    "variable": ["the", "der", "la"],
+    "descriptive": ["of the"],
+    "direction": ["and", "und", "et", "y"],
+    "specialist": ["stupid", "avec"],
 }
 
 
-def _names_sql(hay: str, phrases: str) -> str:
-    return "(" + " OR ".join(f"contains({hay}, ' {p} ')" for p in phrases.split(", ")) + ")"
+def _names_sql(hay: str, phrases: list[str]) -> str:
+    return "(" + " OR ".join(f"contains({hay}, ' {p} ')" for p in phrases) + ")"
 
 
 def _checks_sql(lex) -> str:
@@ -569,7 +574,7 @@ def transferability(t: Tables):
     )
 
 
-_LATER = {**LEXICONS, "direction": "and, und", "variable": "the, der"}
+_LATER = {**LEXICONS, "direction": ["and", "und"], "variable": ["the", "der"]}
 
 
 @query(

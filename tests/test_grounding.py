@@ -34,9 +34,7 @@ def test_find_passages_equals_brute_force(spark):
     assert all(brute_norm(r.quote) == brute_norm(needles[r.passage_id]) for r in found)
 
 
-def test_find_passages_with_hot_keys(spark, monkeypatch):
-    monkeypatch.setattr(skew, "hot_keys", lambda df, key, min_rows=1: real(df, key, 1))
-    real = HOT
+def test_find_passages_with_hot_keys(spark):
     docs = [(i, "one two three four five six seven eight" if i % 3 else f"doc {i} holds nothing") for i in range(60)]
     found = G.find_passages(
         spark.createDataFrame([(1, "two three four five six seven")], "passage_id int, passage string"),
@@ -45,8 +43,6 @@ def test_find_passages_with_hot_keys(spark, monkeypatch):
     assert found.count() == sum(1 for i in range(60) if i % 3)
 
 
-HOT = skew.hot_keys
-
 VARIANTS = ["Memory-limits apply", "memory  limits apply", "MEMORY LIMITS APPLY", "memory limits apply", "(memory limits apply)", "memory limits apply.", "memory‐limits apply", "“memory limits apply”"]
 
 

@@ -42,11 +42,8 @@ def clusters(df):
     return {frozenset(g) for g in groups.values()}
 
 
-@pytest.mark.parametrize("seed,salted", [(1, False), (2, True)])
-def test_resolve_entities_equals_union_find(spark, monkeypatch, seed, salted):
-    if salted:
-        monkeypatch.setattr(E, "HOT_ROWS", 2)
-        monkeypatch.setattr(skew, "HOT_ROWS", 2)
+@pytest.mark.parametrize("seed", [1, 2])
+def test_resolve_entities_equals_union_find(spark, seed):
     rng = random.Random(seed)
     pick = lambda n: None if rng.random() < 0.4 else f"k{rng.randrange(n)}"
     rows = [(i, pick(60), pick(80), pick(90)) for i in range(150)]
@@ -152,6 +149,36 @@ def test_greedy_admission_in_rounds_equals_fold(spark, monkeypatch, limit):
     assert got == want
 
 
+def test_greedy_admission_in_cents_is_the_same_at_every_size(spark, monkeypatch):
+    costs = [0.07, 0.11, 0.34, 0.26, 0.24]
+    df = spark.createDataFrame([("a", str(i), i, c, 1.02) for i, c in enumerate(costs)], "k string, item string, rank int, cost double, cap double")
+    for limit in (1, 2000):
+        monkeypatch.setattr(N, "FOLD_LIMIT", limit)
+        got = {r.item: r.action for r in N.greedy_admission(df, "k", "item", "rank", "cost", "cap", 35).collect()}
+        assert got == dict.fromkeys("01234", "run")
+
+
+def test_novelty_curve_with_empty_queries_and_a_base(spark):
+    from corroborate.operators.novelty import novelty_curve
+
+    hits = spark.createDataFrame([("t", 1, "a"), ("t", 1, "b"), ("t", 3, "b"), ("t", 3, "c")], "topic_id string, query_index int, cluster string")
+    issued = spark.createDataFrame([("t", i) for i in (1, 2, 3)], "topic_id string, query_index int")
+    base = spark.createDataFrame([("t", "a")], "topic_id string, cluster string")
+    rows = novelty_curve(hits, 2, issued, base).orderBy("query_index").collect()
+    assert [(r.query_index, r.step, r.returned, r.records_added, r.novelty_rate, r.cumulative_records) for r in rows] == [
+        (1, 1, 2, 1, 0.5, 1),
+        (2, 2, 0, 0, 0.0, 1),
+        (3, 3, 2, 1, 0.5, 2),
+    ]
+    assert [r.rolling_rate for r in rows] == [None, 0.25, 0.25]
+
+
+def test_prefix_scan_keeps_null_keys(spark):
+    df = spark.createDataFrame([(None, 1, 5), ("a", 1, 2), (None, 2, 7)], "k string, o int, v int")
+    rows = skew.prefix_scan(df, ["k"], [F.col("o")], sums={"s": "v"}).collect()
+    assert sorted((r.k or "", r.o, r.rn, r.s) for r in rows) == [("", 1, 1, 5), ("", 2, 2, 12), ("a", 1, 1, 2)]
+
+
 def test_prefix_scan_is_independent_of_partitions(spark):
     rows = [("hot" if i % 3 else "cold", (i * 37) % 101, i, i % 5) for i in range(300)]
     df = spark.createDataFrame(rows, "k string, o int, id int, v int")
@@ -170,10 +197,8 @@ def test_prefix_scan_is_independent_of_partitions(spark):
 def test_skew_join_equals_join(spark):
     left = spark.createDataFrame([("hot" if i % 3 else f"k{i}", i) for i in range(200)], "key string, id int")
     right = spark.createDataFrame([("hot", 1), ("k0", 2), ("k3", 3), ("none", 4)], "key string, v int")
-    hot = skew.hot_keys(left, "key", 5)
-    assert [r.key for r in hot.collect()] == ["hot"]
     for how in ("inner", "left"):
-        a = skew.skew_join(left, right, "key", ["id"], how, hot=hot).select("key", "id", "v")
+        a = skew.skew_join(left, right, "key", how).select("key", "id", "v")
         b = left.join(right, "key", how).select("key", "id", "v")
         assert sorted(map(str, a.collect())) == sorted(map(str, b.collect()))
 

@@ -101,7 +101,8 @@ def toxicity_model(docs: DataFrame, labels: DataFrame):
     from corroborate.llm.labels import labelled_sample
     from corroborate.llm.toxic_segments import learn
 
-    return learn(docs, labelled_sample(labels.filter(remainder(4) != 2), "toxic"))
+    known = labels.filter(remainder(4) != 2)
+    return learn(docs, labelled_sample(known, "toxic"), known.agg(F.avg("toxic")).first()[0] or 0.0)
 
 
 @query("op10_toxic_segments")

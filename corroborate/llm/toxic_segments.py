@@ -28,6 +28,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 PRIOR = 0.5
 BACKGROUND = 1000.0
 LOWER = 2.58  # standard errors below the estimate
+MARGIN = 1.0  # log-odds that a token must surely exceed; common words never do
 TOKEN_COST = 0.2
 # Tokens are runs of ASCII letters and digits and of all characters beyond ASCII, and
 # runs of other marks: how a text shouts counts as well as what it says.
@@ -66,11 +67,12 @@ class Model:
     cost: float = TOKEN_COST
 
 
-def learn(docs: DataFrame, sample: DataFrame) -> Model:
+def learn(docs: DataFrame, sample: DataFrame, base_rate: float | None = None) -> Model:
     """Weights from the texts of the sampled rows; ``sample`` (doc_id, label) is small and bounded.
 
     A token counts once for each token before it, so that copies of one text, which repeat
-    tokens together with their neighbours, weigh no more than one.
+    tokens together with their neighbours, weigh no more than one. ``base_rate`` is the share
+    of toxic rows, that of the sample unless given.
     """
 
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -96,7 +98,7 @@ def learn(docs: DataFrame, sample: DataFrame) -> Model:
     # Tokens without a toxic context never get a positive weight.
     counts = once.filter(F.col("a") > 1).toPandas()
     once.unpersist()
-    toxic = sample.agg(F.avg("label")).first()[0]
+    toxic = sample.agg(F.avg("label")).first()[0] if base_rate is None else base_rate
     return fit(counts["token"].to_numpy(np.int64).view(np.uint64), counts["a"].to_numpy(float), counts["b"].to_numpy(float), float(sums[0] or 0), float(sums[1] or 0), float(toxic or 0))
 
 
@@ -106,7 +108,7 @@ def fit(token: np.ndarray, a: np.ndarray, b: np.ndarray, all_a: float, all_b: fl
     alpha = PRIOR + BACKGROUND * share
     total = BACKGROUND + PRIOR * max(len(token), 1)
     odds = np.log((a + alpha) / (all_a + total - a - alpha)) - np.log((b + alpha) / (all_b + total - b - alpha))
-    weight = odds - LOWER * np.sqrt(1 / (a + alpha) + 1 / (b + alpha))
+    weight = odds - LOWER * np.sqrt(1 / (a + alpha) + 1 / (b + alpha)) - MARGIN
     keep = weight > 0
     token, weight, chance = token[keep], weight[keep], ((b + alpha) / (all_b + total))[keep]
     order = np.argsort(token)

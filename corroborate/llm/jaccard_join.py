@@ -35,7 +35,8 @@ SHARD_BYTES = 24 << 20  # of text whose n-grams one counting task receives
 FLUSH_KEYS = 1 << 22
 KEY_BITS = 48
 SMALL_POSTING = 32  # sets that are all compared with each other
-STAR_ROUNDS = 3
+BLOCK = 256
+STAR_ROUNDS = 1
 NONE = ""
 # A set in a posting: what it has from this n-gram on, and what it shares with the hub above.
 POSTING = "context string, token long, signature string, n long, rest long, shared long"
@@ -143,7 +144,7 @@ def _frequencies(docs: DataFrame, width: int, path: str) -> None:
         name = f"{base}/chunk-{int(key[0]):08d}"
         own = f"{name}.{TaskContext.get().taskAttemptId()}"
         with files.open_output_stream(own) as out:
-            out.write(np.array([len(keys)], "<i8").tobytes() + keys.astype("<u8").tobytes() + codes[first].tobytes())
+            out.write(np.array([len(keys)], "<i8").tobytes() + codes[first].tobytes() + _pack(keys))
         files.move(own, name)
         return pd.DataFrame({"chunk": [key[0]], "n": [len(keys)]})
 
@@ -162,8 +163,8 @@ class _Known:
         if files.get_file_info(name).type == pafs.FileType.File:
             raw = files.open_input_stream(name).read()
             n = int(np.frombuffer(raw, "<i8", 1)[0])
-            self.keys = np.frombuffer(raw, "<u8", n, 8)
-            self.codes = np.frombuffer(raw, np.uint8, n, 8 + 8 * n)
+            self.codes = np.frombuffer(raw, np.uint8, n, 8)
+            self.keys = _unpack(raw[8 + n :])
 
     def of(self, values: np.ndarray) -> np.ndarray:
         if not len(self.keys):
@@ -290,21 +291,96 @@ def _next_postings(met: DataFrame, num: int, den: int) -> DataFrame:
     return wanted.mapInArrow(post, POSTING)
 
 
-def _all_pairs(members: DataFrame, few: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs within the postings ``few`` that are not connected yet and may be linked.
+class _Group:
+    """Sets that are all compared with each other, in one block or between two."""
+
+    def __init__(self):
+        self.names, self.roots, self.side, self.tokens, self.codes = [], [], [], [], []
+
+    def add(self, name: str, root: str, side: int, tokens: bytes, codes: bytes) -> None:
+        self.names.append(name), self.roots.append(root), self.side.append(side)
+        self.tokens.append(np.frombuffer(tokens, "<u8")), self.codes.append(np.frombuffer(codes, np.uint8))
+
+    def links(self, num: int, den: int) -> Iterator[tuple[str, str]]:
+        """Links between sets that are not connected, no more than connect them."""
+        size = np.array([len(t) for t in self.tokens])
+        row = np.repeat(np.arange(len(size)), size)
+        distinct, which, times = np.unique(np.concatenate(self.tokens), return_inverse=True, return_counts=True)
+        fragment = np.zeros(len(distinct), np.int32)
+        fragment[which] = fragment_of(np.concatenate(self.codes))
+        shared = np.zeros((len(size), len(size)), np.float32)
+        for f in np.unique(fragment).tolist():
+            column = np.cumsum(here := (fragment == f) & (times > 1)) - 1
+            inside = here[which]
+            has = np.zeros((len(size), int(here.sum())), np.float32)
+            has[row[inside], column[which[inside]]] = 1
+            shared += has @ has.T
+        shared = shared.astype(np.int64)
+        linked = den * shared >= num * (size[:, None] + size[None, :] - shared)
+        side, two = np.array(self.side), len(set(self.side)) > 1
+        group = {r: r for r in self.roots}
+        for i, j in zip(*np.nonzero(np.triu(linked & ((side[:, None] != side[None, :]) | (not two)), 1))):
+            a, b = self.roots[i], self.roots[j]
+            while group[a] != a:
+                a = group[a]
+            while group[b] != b:
+                b = group[b]
+            if a != b:
+                group[a] = b
+                yield self.names[i], self.names[j]
+
+
+def _compare_blocks(members: DataFrame, few: DataFrame, active: DataFrame, num: int, den: int) -> DataFrame:
+    """Links (a, b) within the postings ``few``, each set compared with each other.
+
+    Sets are dealt to blocks of about ``BLOCK`` and every two blocks meet in a task; only
+    links come out, at most one for each set.
+    """
+    blocks = F.ceil(F.col("m") / BLOCK).cast("int")
+    own = members.join(few.select("context", "token", "m"), ["context", "token"])
+    own = own.withColumn("_block", F.pmod(F.xxhash64("signature"), blocks).cast("int"))
+    every = F.explode(F.sequence(F.lit(0), blocks - 1))
+    met = own.select("context", "token", "signature", "root", "_block", every.alias("_other"))
+    group = F.xxhash64("context", "token", F.least("_block", "_other"), F.greatest("_block", "_other"))
+    met = met.select(group.alias("group"), "signature", "root", F.col("_block").alias("side"))
+    rows = met.join(active.select("signature", "tokens", "codes"), "signature")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, held = None, _Group()
+
+        def finish() -> pa.RecordBatch:
+            found = list(held.links(num, den)) if len(held.names) > 1 else []
+            a, b = zip(*found) if found else ((), ())
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.string()), pa.array(b, pa.string())], names=["a", "b"])
+
+        for batch in batches:
+            for group, *rest in zip(*(c.to_pylist() for c in batch.columns)):
+                if group != current:
+                    yield finish()
+                    current, held = group, _Group()
+                held.add(*rest)
+        yield finish()
+
+    ordered = rows.select("group", "signature", "root", "side", "tokens", "codes").repartition("group").sortWithinPartitions("group")
+    return ordered.mapInArrow(compare, "a string, b string")
+
+
+def _distinct_groups(members: DataFrame) -> DataFrame:
+    """Postings with sets that are not connected: context, token, m, hub, hub_n.
 
-    A linked pair has a least number of n-grams in common: no more than each shares with
-    the hub above, and than each has from this n-gram on.
+    Of postings with the same sets the first in the global order says all; the sets of a
+    group of near copies share many.
     """
-    own = members.join(few.select("context", "token"), ["context", "token"])
-    a, b = own.alias("a"), own.alias("b")
-    met = a.join(b, (F.col("a.context") == F.col("b.context")) & (F.col("a.token") == F.col("b.token")))
-    ordered = F.struct("a.n", "a.signature") < F.struct("b.n", "b.signature")
-    like = den * F.col("a.n") >= num * F.col("b.n")
-    least = F.ceil(num * (F.col("a.n") + F.col("b.n")) / (num + den) - 1e-9)
-    possible = F.least("a.shared", "b.shared") + F.least("a.rest", "b.rest")
-    met = met.filter(ordered & like & (possible >= least) & (F.col("a.root") != F.col("b.root")))
-    return met.select(F.col("a.signature").alias("hub"), F.col("a.n").alias("hub_n"), "b.signature", "b.n").distinct()
+    groups = members.groupBy("context", "token").agg(
+        F.min(F.struct("n", "signature")).alias("hub"),
+        F.min("root").alias("low"),
+        F.max("root").alias("high"),
+        F.count(F.lit(1)).alias("m"),
+        F.sum(F.xxhash64("signature").cast("decimal(20,0)")).alias("who"),
+        F.sum("rest").alias("reach"),
+    )
+    first = groups.filter("low <> high").groupBy("context", "m", "who").agg(F.max_by(F.struct("token", "hub"), F.struct("reach", "token")).alias("g"))
+    return first.select("context", F.col("g.token").alias("token"), "m", F.col("g.hub.signature").alias("hub"), F.col("g.hub.n").alias("hub_n"))
 
 
 def links(active: DataFrame, num: int, den: int) -> DataFrame:
@@ -312,31 +388,29 @@ def links(active: DataFrame, num: int, den: int) -> DataFrame:
 
     Each round compares the hub of every large posting with its other sets, and all sets
     of a small posting with each other. Postings whose sets are connected already are left.
-    What large postings leave goes on to smaller ones; the few that are still large after
-    ``STAR_ROUNDS`` are compared in full.
+    What large postings leave goes on to smaller ones; what is still large after
+    ``STAR_ROUNDS`` is compared block by block.
     """
-    segments = cut_lineage(_segments(active))
     postings = cut_lineage(_first_postings(active, num, den))
     roots = active.select("signature", F.col("signature").alias("root"))
-    done, edges = None, None
+    done, direct, edges = None, None, None
     for level in range(STAR_ROUNDS + 1):
         members = postings.join(roots, "signature", "left").withColumn("root", F.coalesce("root", "signature"))
         members = cut_lineage(members)
-        groups = members.groupBy("context", "token").agg(
-            F.min(F.struct("n", "signature")).alias("hub"), F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("m")
-        )
-        groups = cut_lineage(groups.filter("low <> high").select("context", "token", F.col("hub.signature").alias("hub"), F.col("hub.n").alias("hub_n"), "m"))
+        groups = cut_lineage(_distinct_groups(members))
         small = F.lit(level == STAR_ROUNDS) | (F.col("m") <= SMALL_POSTING)
-        pairs = _all_pairs(members, groups.filter(small), num, den)
+        met = cut_lineage(_compare_blocks(members, groups.filter(small), active, num, den))
+        direct = met if direct is None else direct.unionByName(met)
         star = members.join(groups.filter(~small).drop("m"), ["context", "token"]).filter("signature <> hub")
         star = cut_lineage(star.select("hub", "hub_n", "signature", "n").distinct())
-        new = pairs.unionByName(star).distinct()
-        if done is not None:
-            new = new.join(done.select("hub", "signature"), ["hub", "signature"], "left_anti")
+        new = star if done is None else star.join(done.select("hub", "signature"), ["hub", "signature"], "left_anti")
+        # Only sets of large postings are cut into segments.
+        named = new.select("signature").unionByName(new.select(F.col("hub").alias("signature"))).distinct()
+        segments = cut_lineage(_segments(active.join(named, "signature", "left_semi")))
         counted = cut_lineage(_overlaps(new, segments))
         done = counted if done is None else done.unionByName(counted)
         enough = den * F.col("shared") >= num * (F.col("n") + F.col("hub_n") - F.col("shared"))
-        edges = done.filter(enough).select(F.col("hub").alias("a"), F.col("signature").alias("b"))
+        edges = direct.unionByName(done.filter(enough).select(F.col("hub").alias("a"), F.col("signature").alias("b")))
         if star.isEmpty():
             break
         below = done.join(star.select("hub", "signature"), ["hub", "signature"], "left_semi")

@@ -31,8 +31,8 @@ from corroborate.session import cut_lineage, scratch_path
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-BLOCK_TOKENS = 2_000_000
-SHARD_BYTES = 16 << 20  # of text whose pairs one shard receives
+BLOCK_TOKENS = 1_000_000
+SHARD_BYTES = 8 << 20  # of text whose pairs one shard receives
 MU = 200.0
 END = np.uint64(0x452821E638D01377)  # hashes of the marks after the last and before the first word
 START = np.uint64(0xBE5466CF34E90C6C)
@@ -178,7 +178,6 @@ class _Block:
     def close(self, number: int) -> _Block:
         self.key = (TaskContext.get().partitionId() << 24) + number
         self.token, self.before, self.doc, self.learn = (np.concatenate(x) for x in (self.token, self.before, self.doc, self.learn))
-        self.check = int((W.mix(self.token) ^ self.before).sum() >> np.uint64(1)) ^ self.rows
         # Words of the block, with the context mark; a document lends it one start.
         self.words, which = np.unique(np.append(self.token, START), return_inverse=True)
         self.word = which[:-1]
@@ -238,7 +237,7 @@ def _answer_words(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
     sums = np.zeros((len(group), 3), np.int64)
     sums[0] = own.sum(), len(own), (own == 1).sum()
     limits = np.cumsum([0, *map(len, words)])
-    bodies = [total[which[a:e]].astype("<u8").tobytes() for a, e in zip(limits[:-1], limits[1:])]
+    bodies = [zlib.compress(total[which[a:e]].astype("<u8").tobytes(), 1) for a, e in zip(limits[:-1], limits[1:])]
     return pd.DataFrame({"shard": key[0], "block": group["block"], "body": bodies, "tokens": sums[:, 0], "kinds": sums[:, 1], "once": sums[:, 2]})
 
 
@@ -261,10 +260,20 @@ class _Unigram:
         return np.minimum(np.round(-STEPS * np.log10(p)), 65535).astype("<u2")
 
 
-def _read(path: str, block: _Block) -> bytes:
+def _read(path: str, block: _Block) -> list[bytes]:
+    """What each shard answered to the block."""
     files, base = pafs.FileSystem.from_uri(path)
     raw = files.open_input_stream(f"{base}/block-{block.key:012d}").read()
-    return raw
+    at, bodies = 0, []
+    while at < len(raw):
+        size = int.from_bytes(raw[at : at + 8], "little")
+        bodies.append(raw[at + 8 : at + 8 + size])
+        at += 8 + size
+    return bodies
+
+
+def _read_counts(path: str, block: _Block) -> np.ndarray:
+    return np.frombuffer(b"".join(map(zlib.decompress, _read(f"{path}/words", block))), "<u8").astype(np.int64)
 
 
 def _write_answers(answers: DataFrame, path: str) -> None:
@@ -277,7 +286,7 @@ def _write_answers(answers: DataFrame, path: str) -> None:
         own = f"{name}.{TaskContext.get().taskAttemptId()}"
         with files.open_output_stream(own) as out:
             for body in group.sort_values("shard")["body"]:
-                out.write(body)
+                out.write(len(body).to_bytes(8, "little") + body)
         files.move(own, name)
         return pd.DataFrame({"block": [key[0]]})
 
@@ -304,7 +313,7 @@ def _pairs(b: _Block, counts: np.ndarray, unigram: _Unigram, shards: int) -> tup
 def _ask_pairs(path: str, unigram: _Unigram, shards: int):
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in _blocks(batches):
-            counts = np.frombuffer(_read(f"{path}/words", b), "<u8").astype(np.int64)
+            counts = _read_counts(path, b)
             shard, context, follower, place = _pairs(b, counts, unigram, shards)
             learned = np.minimum(np.bincount(place, b.learn, len(shard)), 2**32 - 1).astype("<u4")
             steps = unigram.steps(counts)
@@ -371,20 +380,19 @@ def open_trie(path: str, shard: int) -> Trie:
 def _score(path: str, unigram: _Unigram, shards: int, mu: float):
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in _blocks(batches):
-            counts = np.frombuffer(_read(f"{path}/words", b), "<u8").astype(np.int64)
+            counts = _read_counts(path, b)
             shard, context, follower, place = _pairs(b, counts, unigram, shards)
-            raw, at = _read(f"{path}/pairs", b), 0
+            bodies = iter(_read(f"{path}/pairs", b))
             log_p = np.empty(len(shard))
             cuts = np.searchsorted(shard, np.arange(shards + 1)).tolist()
             single = -unigram.steps(counts)[follower].astype(float) / STEPS
             lost = np.log10(mu / (counts[context] + mu)) + single
             for a, e in zip(cuts[:-1], cuts[1:]):
                 if e > a:
-                    book = np.frombuffer(raw, "<f4", 256, at)
-                    code = np.frombuffer(raw, np.uint8, e - a, at + 1024)
+                    raw = next(bodies)
+                    book, code = np.frombuffer(raw, "<f4", 256), np.frombuffer(raw, np.uint8, offset=1024)
                     log_p[a:e] = np.where(code > 0, book[code], lost[a:e])
-                    at += 1024 + e - a
-            if at != len(raw):
+            if next(bodies, None) is not None:
                 raise RuntimeError("the documents were not read in the same blocks again")
             n = b.rows
             sums = [np.bincount(b.doc, minlength=n), np.bincount(b.doc, counts[b.word] > 0, n).astype(np.int64)]

@@ -14,6 +14,8 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Texts and packed arrays are long rows: small batches bound what a worker holds.
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
 }
 
 

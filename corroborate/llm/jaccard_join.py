@@ -81,11 +81,42 @@ class _Sets:
         self.signature = [f"{a:016x}{b:016x}" if n else None for a, b, n in zip(*sums, self.size.tolist())]
 
 
+def _written(docs: DataFrame, path: str) -> DataFrame:
+    """``docs`` (doc_id, text) written once, each row with the chunk it belongs to from then on.
+
+    Later scans may split the files in any way: the chunk is in the rows.
+    """
+    docs = docs.withColumn("chunk", F.spark_partition_id())
+    docs.write.option("compression", "zstd").option("parquet.block.size", 16 << 20).parquet(path)
+    return docs.sparkSession.read.schema(docs.schema).parquet(path)
+
+
+def _chunks(batch: pa.RecordBatch) -> Iterator[tuple[int, pa.RecordBatch]]:
+    """(chunk, rows) for each run of rows of one chunk."""
+    chunk = batch.column("chunk").to_numpy()
+    cuts = np.flatnonzero(np.diff(chunk)) + 1
+    for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(chunk)]):
+        if b > a:
+            yield int(chunk[a]), batch.slice(a, b - a)
+
+
+def _rows(signatures: list[str | None]) -> np.ndarray:
+    """Ascending keys that tell whether rows are those that asked."""
+    return np.unique(np.array([int(s[:12], 16) for s in signatures if s is not None], np.uint64))
+
+
 def _requests(docs: DataFrame, width: int, shards: int) -> DataFrame:
-    """shard, chunk, keys, counts: n-grams of each scan task, cut by ranges of their keys."""
+    """shard, chunk, keys, counts: n-grams of each chunk, cut by ranges of their keys.
+
+    Shard -1 - chunk has no counts; its keys are those of the rows that ask.
+    """
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunk, seen, held, size = TaskContext.get().partitionId(), set(), [], 0
+        chunk, seen, held, size = None, set(), [], 0
+
+        def rows() -> pa.RecordBatch:
+            arrays = [pa.array([-1 - chunk], pa.int32()), pa.array([chunk], pa.int32()), pa.array([_pack(_rows(list(seen)))], pa.binary()), pa.array([None], pa.binary())]
+            return pa.RecordBatch.from_arrays(arrays, names=["shard", "chunk", "keys", "counts"])
 
         def flush() -> pa.RecordBatch:
             keys, counts = np.unique(np.concatenate(held), return_counts=True) if held else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
@@ -97,8 +128,13 @@ def _requests(docs: DataFrame, width: int, shards: int) -> DataFrame:
             arrays = [pa.array(some, pa.int32()), pa.array([chunk] * len(some), pa.int32()), pa.array(packed, pa.binary()), pa.array(small, pa.binary())]
             return pa.RecordBatch.from_arrays(arrays, names=["shard", "chunk", "keys", "counts"])
 
-        for batch in batches:
-            for _, texts in W.text_slices(batch.column(0)):
+        for own, part in (p for batch in batches for p in _chunks(batch)):
+            if own != chunk:
+                if chunk is not None:
+                    yield flush()
+                    yield rows()
+                chunk, seen, held, size = own, set(), [], 0
+            for _, texts in W.text_slices(part.column(0)):
                 sets = _Sets(texts, width)
                 fresh = np.zeros(len(texts), bool)
                 for i, s in enumerate(sets.signature):
@@ -110,13 +146,17 @@ def _requests(docs: DataFrame, width: int, shards: int) -> DataFrame:
                 if size >= FLUSH_KEYS:
                     yield flush()
                     held, size = [], 0
-        yield flush()
+        if chunk is not None:
+            yield flush()
+            yield rows()
 
-    return docs.select("text").mapInArrow(ask, "shard int, chunk int, keys binary, counts binary")
+    return docs.select("text", "chunk").mapInArrow(ask, "shard int, chunk int, keys binary, counts binary")
 
 
 def _count(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
     """For each chunk the n-grams of one shard that at least two documents have."""
+    if key[0] < 0:
+        return group[["chunk", "keys"]].assign(codes=None)
     parts = [_unpack(k) for k in group["keys"]]
     counts = np.concatenate([np.frombuffer(zlib.decompress(c), "<u2") for c in group["counts"]])
     _, which = np.unique(np.concatenate(parts), return_inverse=True)
@@ -131,20 +171,23 @@ def _count(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
 
 
 def _frequencies(docs: DataFrame, width: int, path: str) -> None:
-    """Write, for every scan task, the shared n-grams of its documents and their frequencies."""
+    """Write, for every chunk, the shared n-grams of its rows and their frequencies, and its rows' keys."""
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(1, -(-size // SHARD_BYTES))
 
     def keep(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        keys = np.concatenate([_unpack(k) for k in group["keys"]])
-        codes = np.concatenate([np.frombuffer(c, np.uint8) for c in group["codes"]])
+        rows = group["codes"].isna()
+        asked = np.unique(np.concatenate([_unpack(k) for k in group["keys"][rows]]))
+        keys = np.concatenate([np.zeros(0, np.uint64), *(_unpack(k) for k in group["keys"][~rows])])
+        codes = np.concatenate([np.zeros(0, np.uint8), *(np.frombuffer(c, np.uint8) for c in group["codes"][~rows])])
         keys, first = np.unique(keys, return_index=True)
         files, base = pafs.FileSystem.from_uri(path)
         files.create_dir(base)
         name = f"{base}/chunk-{int(key[0]):08d}"
         own = f"{name}.{TaskContext.get().taskAttemptId()}"
         with files.open_output_stream(own) as out:
-            out.write(np.array([len(keys)], "<i8").tobytes() + codes[first].tobytes() + _pack(keys))
+            shared = _pack(keys)
+            out.write(np.array([len(keys), len(shared)], "<i8").tobytes() + codes[first].tobytes() + shared + _pack(asked))
         files.move(own, name)
         return pd.DataFrame({"chunk": [key[0]], "n": [len(keys)]})
 
@@ -158,18 +201,23 @@ class _Known:
 
     def __init__(self, path: str, chunk: int):
         files, base = pafs.FileSystem.from_uri(path)
-        self.keys, self.codes = np.zeros(0, np.uint64), np.zeros(0, np.uint8)
         name = f"{base}/chunk-{chunk:08d}"
-        if files.get_file_info(name).type == pafs.FileType.File:
-            raw = files.open_input_stream(name).read()
-            n = int(np.frombuffer(raw, "<i8", 1)[0])
-            self.codes = np.frombuffer(raw, np.uint8, n, 8)
-            self.keys = _unpack(raw[8 + n :])
-
-    def of(self, values: np.ndarray) -> np.ndarray:
+        if files.get_file_info(name).type != pafs.FileType.File:
+            raise RuntimeError(f"chunk {chunk} has no frequencies: {name}")
+        raw = files.open_input_stream(name).read()
+        n, packed = np.frombuffer(raw, "<i8", 2).tolist()
+        self.chunk = chunk
+        self.codes = np.frombuffer(raw, np.uint8, n, 16)
+        self.keys = _unpack(raw[16 + n : 16 + n + packed])
+        self.asked = _unpack(raw[16 + n + packed :])
+
+    def of(self, sets: _Sets) -> np.ndarray:
+        """Codes of all n-grams; one that is not shared occurs nowhere else, as its row did ask."""
+        if not np.isin(_rows(sets.signature), self.asked, assume_unique=True).all():
+            raise RuntimeError(f"rows of chunk {self.chunk} differ from those that asked for frequencies")
         if not len(self.keys):
-            return np.ones(len(values), np.uint8)
-        keys = values >> np.uint64(64 - KEY_BITS)
+            return np.ones(len(sets.value), np.uint8)
+        keys = sets.value >> np.uint64(64 - KEY_BITS)
         at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
         return np.where(self.keys[at] == keys, self.codes[at], 1).astype(np.uint8)
 
@@ -184,11 +232,14 @@ def _sets(docs: DataFrame, width: int, num: int, den: int, path: str) -> DataFra
     schema = "doc_id long, text_key long, n long, signature string, tokens binary, codes binary"
 
     def order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, seen = _Known(path, TaskContext.get().partitionId()), set()
-        for batch in batches:
+        known, seen = None, set()
+        for chunk, batch in (p for batch in batches for p in _chunks(batch)):
+            if known is None or known.chunk != chunk:
+                known = None  # one chunk is held at a time
+                known = _Known(path, chunk)
             for first, texts in W.text_slices(batch.column(1)):
                 sets = _Sets(texts, width)
-                code = known.of(sets.value)
+                code = known.of(sets)
                 alone = np.bincount(sets.doc, code == 1, len(texts)).astype(np.int64)
                 tokens, codes = [None] * len(texts), [None] * len(texts)
                 for i in np.flatnonzero(alone < sets.size - -(-num * sets.size // den) + 1).tolist():
@@ -201,7 +252,7 @@ def _sets(docs: DataFrame, width: int, num: int, den: int, path: str) -> DataFra
                 arrays = [batch.column(0).slice(first, len(texts)), batch.column(2).slice(first, len(texts)), pa.array(sets.size), pa.array(sets.signature, pa.string()), pa.array(tokens, pa.binary()), pa.array(codes, pa.binary())]
                 yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "text_key", "n", "signature", "tokens", "codes"])
 
-    return docs.mapInArrow(order, schema)
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("text_key"), "chunk").mapInArrow(order, schema)
 
 
 def _first_postings(active: DataFrame, num: int, den: int) -> DataFrame:
@@ -426,10 +477,10 @@ def similar_documents(docs: DataFrame, width: int = 3, num: int = 90, den: int =
     ``width``-word shingles (all words of a shorter text are one); component_id is the
     smallest doc_id that links reach. Equal rows and equal sets share a component. A text
     that is null or without words has an empty set, component null, and stands alone. A null
-    doc_id never is the smallest. ``text_key`` is the hash of the text. ``docs`` must read the
-    same rows in the same partitions each time, as files do.
+    doc_id never is the smallest. ``text_key`` is the hash of the text. ``docs`` is read once
+    and written with chunk numbers that all later scans go by.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_key"))
+    docs = _written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), scratch_path(docs.sparkSession, "documents"))
     path = scratch_path(docs.sparkSession, "frequencies")
     _frequencies(docs, width, path)
     rows = cut_lineage(_sets(docs, width, num, den, path))

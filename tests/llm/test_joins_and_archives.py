@@ -153,6 +153,38 @@ def test_components_of_near_copies(spark, tmp_path, monkeypatch, small, rounds):
     compare(spark, rows, tmp_path)
 
 
+def test_splits_that_change_between_scans(spark, tmp_path, monkeypatch):
+    """The first scans read many files a task, the later one reads each file in a task of its own."""
+    words = [f"w{i}" for i in range(120)]
+    rows = [(i, " ".join([*words[: i % 4 * 30], f"edit{i}", *words[i % 4 * 30 + 1 :]]), None, None, None) for i in range(24)]
+    path, real = str(tmp_path / "documents.parquet"), J._sets
+    frame(spark, rows).repartition(12).write.parquet(path)
+
+    def split(*args):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "2k")
+        return real(*args)
+
+    monkeypatch.setattr(J, "_sets", split)
+    spark.conf.set("spark.sql.files.minPartitionNum", "1")
+    try:
+        got = J.similar_documents(spark.read.parquet(path)).select("doc_id", "n_shingles", "component_id").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.minPartitionNum")
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    want = components_by_hand(rows, 3, 90, 100)
+    assert {c for *_, c in want} == {0} and ordered(map(tuple, got)) == ordered(want)
+
+
+def test_rows_that_did_not_ask_are_refused(spark):
+    path, schema = scratch_path(spark, "frequencies-test"), "doc_id long, text string, chunk int"
+    asked = [(1, "a b c d", 0), (2, None, 1)]
+    J._frequencies(spark.createDataFrame(asked, schema), 3, path)
+    assert J._sets(spark.createDataFrame(asked, schema), 3, 90, 100, path).count() == 2
+    for row in [(3, "x y z u", 0), (1, "a b c d", 1), (1, "a b c d", 2)]:
+        with pytest.raises(Exception, match="differ from those that asked|has no frequencies"):
+            J._sets(spark.createDataFrame([row], schema), 3, 90, 100, path).collect()
+
+
 def test_no_documents(empty):
     assert J.similar_documents(empty).count() == 0
 

@@ -168,23 +168,40 @@ def probability(expected: float, base_rate: float) -> float:
     return base_rate / (base_rate + (1 - base_rate) * expected) if base_rate > 0 else 0.0
 
 
-def _findings(column: pa.Array, model: Model) -> Iterator[tuple[int, list[tuple[int, int, float]], Tokens, int]]:
-    """(row, segments, tokens of the slice, row in slice) of every text.
+def counted(position: np.ndarray, weight: np.ndarray, pair: np.ndarray, segments: list[tuple[int, int, float]], cost: float) -> list[tuple[int, int, float]]:
+    """Segments as evidence: of equal pairs (token, token before) only one counts.
 
-    As in learning, a token counts once for each token before it: what a text only says
-    again, word for word, is no further evidence.
+    It is the one in the best segment, so a dense passage keeps what stood singly before it.
+    """
+    if len(np.unique(pair)) == len(pair):
+        return segments
+    first, _, scores = (np.array(x) for x in zip(*segments))
+    value = scores[np.searchsorted(first, position, "right") - 1]
+    order = np.lexsort((position, -value))
+    _, best = np.unique(pair[order], return_index=True)
+    kept = np.sort(order[best])
+    return maximal_segments(position[kept].tolist(), weight[kept].tolist(), cost)
+
+
+def _findings(column: pa.Array, model: Model) -> Iterator[tuple]:
+    """(row, segments, segments as evidence, tokens of the slice, row in slice) of every text.
+
+    Segments are those of all tokens. As in learning, a token is evidence once for each
+    token before it: what a text only says again, word for word, is no further evidence.
     """
     for base, texts in W.text_slices(column):
         w = Tokens(texts)
         at = np.minimum(np.searchsorted(model.tokens, w.hash), max(len(model.tokens) - 1, 0))
         hit = model.tokens[at] == w.hash if len(model.tokens) else np.zeros(len(w.hash), bool)
         where = np.flatnonzero(hit)
-        _, once = np.unique(np.stack([w.doc[where].astype(np.uint64), w.hash[where], w.before[where]]), axis=1, return_index=True)
-        where = where[np.sort(once)]
+        _, pair = np.unique(np.stack([w.hash[where], w.before[where]]), axis=1, return_inverse=True)
+        pair = pair.reshape(-1)
         limits = np.searchsorted(where, w.first)
         for d in range(len(texts)):
-            own = where[limits[d] : limits[d + 1]]
-            yield base + d, maximal_segments((own - w.first[d]).tolist(), model.weights[at[own]].tolist(), model.cost), w, d
+            own = slice(limits[d], limits[d + 1])
+            position, weight = where[own] - w.first[d], model.weights[at[where[own]]]
+            segments = maximal_segments(position.tolist(), weight.tolist(), model.cost)
+            yield base + d, segments, counted(position, weight, pair[own], segments, model.cost), w, d
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
@@ -197,9 +214,9 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     def rate(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
             out = np.zeros(len(batch))
-            for row, segments, w, d in _findings(pa.array(batch, pa.string()), model):
+            for row, _, evidence, w, d in _findings(pa.array(batch, pa.string()), model):
                 n = int(w.count[d])
-                out[row] = probability(chance([s for _, _, s in segments], n, model), model.base_rate)
+                out[row] = probability(chance([s for _, _, s in evidence], n, model), model.base_rate)
             yield pd.Series(out)
 
     kept = [c for c in docs.columns if c.lower() != "score"]
@@ -212,7 +229,7 @@ def passages(docs: DataFrame, model: Model, most_expected: float = 0.05) -> Data
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows: list[tuple] = []
-            for row, segments, w, d in _findings(batch.column(1), model):
+            for row, segments, _, w, d in _findings(batch.column(1), model):
                 base = int(w.limits[d])
                 for a, b, s in segments:
                     expected = chance([s], int(w.count[d]), model)

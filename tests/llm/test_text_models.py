@@ -7,6 +7,7 @@ from collections import Counter
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pytest
 
 from corroborate.llm import bottom_k as B
 from corroborate.llm.elias_fano_lm import EliasFano, Trie, score_documents
@@ -305,6 +306,21 @@ def test_toxicity_on_held_out_rows(spark):
     assert all(any(w in texts[r.doc_id].encode()[r.start : r.end].decode() for w in ("vile", "scoundrel", "rotten")) for r in found)
 
 
+def test_repeated_passages_are_all_found_and_dense_ones_keep_their_score(spark):
+    rows, labels = toxic_rows()
+    model = learn(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int").selectExpr("doc_id", "toxic label"))
+    calm = [f"calm{i % 300}" for i in range(900)]
+    pairs = [["calm7", "vile"], ["calm8", "rotten"], ["calm9", "scoundrel"], ["calm10", "vile"], ["calm11", "rotten"], ["calm12", "vile"]]
+    dense = [word for p in pairs for word in p]
+    spread = [word for k, p in enumerate(pairs) for word in [*p, *calm[100 * k : 100 * k + 98]]]
+    texts = [(1, calm[:200] + dense + calm[200:400] + dense + calm[400:]), (2, spread + dense), (3, calm[: len(spread)] + dense)]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in texts], "doc_id long, text string")
+    found = [r for r in passages(docs, model).collect() if r.doc_id == 1]
+    assert len(found) == 2 and found[0].start != found[1].start
+    got = {r.doc_id: r.score for r in score(docs, model).collect()}
+    assert got[2] == pytest.approx(got[3]) and got[3] > 0.3
+
+
 def test_copies_of_one_text_do_not_teach_its_words(spark):
     rows, labels = toxic_rows()
     copies = [(1000 + i, "harmless words that only ever come from one single text " * 3) for i in range(60)]

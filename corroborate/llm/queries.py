@@ -179,3 +179,82 @@ def _op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", (remainder(7) != 2).alias("learn"))
     scored = with_held_out(score_documents(docs, "learn"), 7, 2)
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+# The 64-dimensional vectors of the table, as integers, of rows that take part.
+_VECTORS_SQL = """
+v AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: floor(256 * x::double)::bigint) AS x FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)"""
+_NEGATIVES_SQL = f"""
+WITH {_VECTORS_SQL},
+r AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, x, row_number() OVER () AS rid
+  FROM v WHERE label IS NOT NULL),
+s AS (
+  SELECT a.vec_id AS anchor_id, a.rid AS aid, b.vec_id AS id, b.rid AS rid, a.label = b.label AS same,
+    list_sum(list_transform(range(1, len(a.x) + 1), lambda i: a.x[i] * b.x[i]))::bigint AS score
+  FROM r a JOIN r b ON a.vec_id % 100 = 0 AND a.rid <> b.rid),
+p AS (
+  SELECT anchor_id, aid, id, score, row_number() OVER (PARTITION BY aid ORDER BY score DESC, id, rid) AS k FROM s WHERE same
+  QUALIFY k <= 5),
+n AS (
+  SELECT p.anchor_id, p.id AS positive_id, p.score AS positive_score, s.id AS negative_id, s.score AS negative_score,
+    row_number() OVER (PARTITION BY p.aid, p.k ORDER BY s.score DESC, s.id, s.rid)::int AS rank
+  FROM p JOIN s ON s.aid = p.aid AND NOT s.same AND 30 * p.score <= 100 * s.score AND 100 * s.score <= 90 * p.score
+  QUALIFY rank <= 10)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM n"""
+
+
+@query("op11_hard_negatives", _NEGATIVES_SQL)
+def _op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corroborate.llm.hard_negatives import mine
+
+    rows = table(spark, sf_dir, "embeddings")
+    seventh = F.coalesce(F.col("vec_id") % 7 == 0, F.lit(False))
+    return mine(rows.withColumn("label", F.when(seventh, (F.col("label") + 1) % 10).otherwise(F.col("label"))))
+
+
+def _codes_sql(parts: int = 16, entries: int = 64, rounds: int = 2) -> str:
+    """Assignments and means in turn, then the digest of the last entries."""
+    nearest = """
+a{r} AS (
+  SELECT q.rid, q.part, arg_min(e, d * 1000 + e) AS e, min(d) AS d
+  FROM (SELECT q.rid, q.part, c.e, list_sum(list_transform(range(1, len(q.y) + 1), lambda i: (q.y[i] - c.y[i]) * (q.y[i] - c.y[i])))::bigint AS d
+    FROM q JOIN c{r} c USING (part)) q GROUP BY 1, 2)"""
+    means = """
+m{r} AS (
+  SELECT part, e, list(y ORDER BY i) AS y FROM (
+    SELECT q.part, a.e, i, floor(sum(q.y[i])::decimal(38, 0) / count(*))::bigint AS y
+    FROM q JOIN a{r} a USING (rid, part), (SELECT unnest(range(1, (SELECT max(len(y)) FROM q) + 1)) AS i) GROUP BY 1, 2, 3)
+  GROUP BY 1, 2),
+c{n} AS (SELECT part, e, coalesce(m{r}.y, c.y) AS y FROM c{r} c LEFT JOIN m{r} USING (part, e))"""
+    steps = "".join("," + nearest.format(r=r) + "," + means.format(r=r, n=r + 1) for r in range(rounds))
+    return f"""
+WITH {_VECTORS_SQL},
+k AS (SELECT *, row_number() OVER (ORDER BY vec_id, x) AS rid FROM v),
+q AS MATERIALIZED (SELECT rid, part, x[part * len(x) // {parts} + 1:(part + 1) * len(x) // {parts}] AS y FROM k, (SELECT unnest(range({parts})) AS part)),
+c0 AS (SELECT part, rid - 1 AS e, y FROM q WHERE rid <= {entries}){steps},{nearest.format(r=rounds)},
+s AS (SELECT sha256(string_agg(array_to_string(y, ','), ',' ORDER BY part, e)) AS codebooks_sha256 FROM c{rounds}),
+o AS (SELECT rid, string_agg(printf('%02x', e), '' ORDER BY part) AS code, sum(d)::bigint AS error FROM a{rounds} GROUP BY 1)
+SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::bigint AS label_error, codebooks_sha256
+FROM k JOIN o USING (rid), s"""
+
+
+@query("op12_ball_kmeans_codes", _codes_sql())
+def _op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corroborate.llm.ball_kmeans import digest, learn_and_assign
+
+    coded, books = learn_and_assign(table(spark, sf_dir, "embeddings"))
+    same = [F.col("label").isNull().alias("_null"), F.coalesce(F.col("label"), F.lit(0)).alias("_label")]
+    keyed = coded.select("vec_id", "codes", "error", *same)
+    by_label = keyed.groupBy("_null", "_label").agg(F.sum("error").alias("label_error"))
+    out = keyed.join(by_label, ["_null", "_label"])
+    return out.select("vec_id", F.lower(F.hex("codes")).alias("code"), "error", "label_error", F.lit(digest(books)).alias("codebooks_sha256"))
+
+
+@query("op13_heap_bpe_counts")
+def _op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corroborate.llm.bpe_count import count_tokens
+
+    return count_tokens(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))

@@ -22,7 +22,8 @@ from corroborate.llm import words as W
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-MEMO_PIECES = 1 << 21
+MEMO_PIECES = 1 << 18
+MEMO_BYTES = 16 << 20  # of the pieces and, as many again, of their ids
 BATCH_BYTES = 4 << 20
 JOINED = 16
 _LETTERS = np.zeros(256, bool)
@@ -139,6 +140,11 @@ class Encoder:
         self.begin = np.array([0], np.int64)
         self.size = np.array([1], np.int32)
         self.pool = np.array([self.end_id], np.uint32)
+        # The bytes of each piece, to tell a hit from another piece with the same hash.
+        self.raw = b""
+        self.raw_begin = np.array([0], np.int64)
+        self.raw_size = np.array([0], np.int64)
+        self.lanes = None
 
     def _joins(self, raw: list[bytes]) -> np.ndarray:
         """Which pieces can stand in a row of pieces and be told apart by their bytes."""
@@ -173,16 +179,46 @@ class Encoder:
         flat = np.fromiter(chain.from_iterable(e.ids for e in encoded), np.uint32)
         return np.fromiter((len(e.ids) for e in encoded), np.int32, len(raw)), flat
 
-    def _learn(self, hashes: np.ndarray, raw: list[bytes]) -> None:
-        joins = self._joins(raw)
+    def _learn(self, hashes: np.ndarray, raw: list[bytes], known: bool = True) -> np.ndarray:
+        """Entries of new pieces; ``known`` ones are found by their hash from then on."""
+        joins, made = self._joins(raw), np.zeros(len(raw), np.int32)
         for chosen, encode in ((joins, self._encode), (~joins, self._encode_each)):
             if chosen.any():
                 size, flat = encode([raw[i] for i in np.flatnonzero(chosen)])
                 entry = np.arange(len(self.begin), len(self.begin) + len(size), dtype=np.int32)
-                self.memo.add(hashes[chosen], entry)
+                if known:
+                    self.memo.add(hashes[chosen], entry)
+                made[chosen] = entry
+                mine = [raw[i] for i in np.flatnonzero(chosen)]
+                length = np.fromiter(map(len, mine), np.int64, len(mine))
+                self.raw_begin = np.concatenate([self.raw_begin, len(self.raw) + np.cumsum(length) - length])
+                self.raw_size = np.concatenate([self.raw_size, length])
+                self.raw += b"".join(mine)
                 self.begin = np.concatenate([self.begin, len(self.pool) + np.cumsum(size, dtype=np.int64) - size])
                 self.size = np.concatenate([self.size, size])
                 self.pool = np.concatenate([self.pool, flat])
+        self.lanes = W.lanes(np.frombuffer(self.raw, np.uint8))
+        return made
+
+    def _differ(self, texts: W.Texts, p: W.Words, entry: np.ndarray) -> np.ndarray:
+        """Pieces whose bytes are not those of their entry."""
+        size = p.end - p.start
+        apart = size != self.raw_size[entry]
+        todo = np.flatnonzero(~apart)
+        own, kept, left = p.start[todo], self.raw_begin[entry[todo]], size[todo]
+        wide = W.lanes(texts.data)
+        while len(todo):
+            mask = W._TAIL[np.minimum(left, 8)]
+            wrong = (wide[own] & mask) != (self.lanes[kept] & mask)
+            apart[todo[wrong]] = True
+            more = (left > 8) & ~wrong
+            todo, own, kept, left = todo[more], own[more] + 8, kept[more] + 8, left[more] - 8
+            if len(todo) and (left > 8 * W.LANES).all():
+                for i in todo.tolist():
+                    begin = self.raw_begin[entry[i]]
+                    apart[i] = texts.data[p.start[i] : p.end[i]].tobytes() != self.raw[begin : begin + size[i]]
+                break
+        return np.flatnonzero(apart)
 
     def batches(self, column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """(first row, ids in a row, limits of the rows' ids) for consecutive rows."""
@@ -193,7 +229,7 @@ class Encoder:
             unknown = np.concatenate([p.hash[m] for (_, p), m in zip(parts, missing)])
             if len(unknown):
                 new, where = np.unique(unknown, return_index=True)
-                if len(self.begin) + len(new) > MEMO_PIECES:
+                if len(self.begin) + len(new) > MEMO_PIECES or max(len(self.raw), 4 * len(self.pool)) > MEMO_BYTES:
                     self._forget()
                     new, where = np.unique(np.concatenate([p.hash for _, p in parts]), return_index=True)
                     missing = [np.arange(len(p.hash)) for _, p in parts]
@@ -205,6 +241,10 @@ class Encoder:
                 self._learn(new[np.argsort(where)], raw)
                 entries = [self.memo.find(p.hash) for _, p in parts]
             for (texts, p), entry in zip(parts, entries):
+                other = self._differ(texts, p, entry)
+                if len(other):
+                    raw = [texts.data[s:e].tobytes() for s, e in zip(p.start[other].tolist(), p.end[other].tolist())]
+                    entry[other] = self._learn(p.hash[other], raw, known=False)
                 row = np.insert(entry, p.first[1:], 0)
                 size = self.size[row].astype(np.int64)
                 after = np.cumsum(size)

@@ -36,10 +36,12 @@ FLUSH_KEYS = 1 << 22
 KEY_BITS = 48
 SMALL_POSTING = 32  # sets that are all compared with each other
 BLOCK = 256
+BLOCK_GRAMS = 1 << 18
+MATRIX_CELLS = 1 << 21  # of the sets by n-grams matrix that is multiplied at once
 STAR_ROUNDS = 1
-NONE = ""
+NONE = b""
 # A set in a posting: what it has from this n-gram on, and what it shares with the hub above.
-POSTING = "context string, token long, signature string, n long, rest long, shared long"
+POSTING = "context binary, token long, signature binary, n long, rest long, shared long"
 POSTING_NAMES = [field.split()[0] for field in POSTING.split(", ")]
 
 
@@ -78,7 +80,7 @@ class _Sets:
         for salt in (0x243F6A8885A308D3, 0x13198A2E03707344):
             total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(W.mix(self.value ^ np.uint64(salt)), dtype=np.uint64)])
             sums.append((total[self.limits[1:]] - total[self.limits[:-1]]).tolist())
-        self.signature = [f"{a:016x}{b:016x}" if n else None for a, b, n in zip(*sums, self.size.tolist())]
+        self.signature = [a.to_bytes(8, "big") + b.to_bytes(8, "big") if n else None for a, b, n in zip(*sums, self.size.tolist())]
 
 
 def _written(docs: DataFrame, path: str) -> DataFrame:
@@ -100,9 +102,9 @@ def _chunks(batch: pa.RecordBatch) -> Iterator[tuple[int, pa.RecordBatch]]:
             yield int(chunk[a]), batch.slice(a, b - a)
 
 
-def _rows(signatures: list[str | None]) -> np.ndarray:
+def _rows(signatures: list[bytes | None]) -> np.ndarray:
     """Ascending keys that tell whether rows are those that asked."""
-    return np.unique(np.array([int(s[:12], 16) for s in signatures if s is not None], np.uint64))
+    return np.unique(np.array([int.from_bytes(s[:6], "big") for s in signatures if s is not None], np.uint64))
 
 
 def _requests(docs: DataFrame, width: int, shards: int) -> DataFrame:
@@ -229,7 +231,7 @@ def prefix_length(n: int, num: int, den: int) -> int:
 
 def _sets(docs: DataFrame, width: int, num: int, den: int, path: str) -> DataFrame:
     """doc_id, n, signature; and for sets that may be linked their n-grams in global order."""
-    schema = "doc_id long, text_key long, n long, signature string, tokens binary, codes binary"
+    schema = "doc_id long, text_key long, n long, signature binary, tokens binary, codes binary"
 
     def order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, seen = None, set()
@@ -249,7 +251,7 @@ def _sets(docs: DataFrame, width: int, num: int, den: int, path: str) -> DataFra
                     own = slice(sets.limits[i], sets.limits[i + 1])
                     by = np.lexsort((sets.value[own], code[own]))
                     tokens[i], codes[i] = sets.value[own][by].tobytes(), code[own][by].tobytes()
-                arrays = [batch.column(0).slice(first, len(texts)), batch.column(2).slice(first, len(texts)), pa.array(sets.size), pa.array(sets.signature, pa.string()), pa.array(tokens, pa.binary()), pa.array(codes, pa.binary())]
+                arrays = [batch.column(0).slice(first, len(texts)), batch.column(2).slice(first, len(texts)), pa.array(sets.size), pa.array(sets.signature, pa.binary()), pa.array(tokens, pa.binary()), pa.array(codes, pa.binary())]
                 yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "text_key", "n", "signature", "tokens", "codes"])
 
     return docs.select("doc_id", "text", F.xxhash64("text").alias("text_key"), "chunk").mapInArrow(order, schema)
@@ -268,7 +270,7 @@ def _first_postings(active: DataFrame, num: int, den: int) -> DataFrame:
                 rows.append(np.full(len(found[-1]), i))
                 rest.append(n - np.flatnonzero(shared))
             at = pa.array(np.concatenate(rows))
-            arrays = [pa.array([NONE] * len(at), pa.string()), pa.array(np.concatenate(found)), batch.column(0).take(at), batch.column(1).take(at), pa.array(np.concatenate(rest)), pa.array(np.zeros(len(at), np.int64))]
+            arrays = [pa.array([NONE] * len(at), pa.binary()), pa.array(np.concatenate(found)), batch.column(0).take(at), batch.column(1).take(at), pa.array(np.concatenate(rest)), pa.array(np.zeros(len(at), np.int64))]
             yield pa.RecordBatch.from_arrays(arrays, names=POSTING_NAMES)
 
     return active.select("signature", "n", "tokens", "codes").mapInArrow(post, POSTING)
@@ -289,7 +291,7 @@ def _segments(active: DataFrame) -> DataFrame:
             arrays = [batch.column(0).take(pa.array(rows, pa.int64())), pa.array(fragments, pa.int32()), pa.array(tokens, pa.binary()), pa.array(codes, pa.binary())]
             yield pa.RecordBatch.from_arrays(arrays, names=["signature", "fragment", "tokens", "codes"])
 
-    return active.select("signature", "tokens", "codes").mapInArrow(cut, "signature string, fragment int, tokens binary, codes binary")
+    return active.select("signature", "tokens", "codes").mapInArrow(cut, "signature binary, fragment int, tokens binary, codes binary")
 
 
 def _overlaps(pairs: DataFrame, segments: DataFrame) -> DataFrame:
@@ -297,7 +299,7 @@ def _overlaps(pairs: DataFrame, segments: DataFrame) -> DataFrame:
 
     Every fragment counts on its own; the counts of a pair are summed.
     """
-    schema = "hub string, hub_n long, signature string, n long, fragment int, shared long, tokens binary, codes binary"
+    schema = "hub binary, hub_n long, signature binary, n long, fragment int, shared long, tokens binary, codes binary"
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -348,11 +350,11 @@ class _Group:
     def __init__(self):
         self.names, self.roots, self.side, self.tokens, self.codes = [], [], [], [], []
 
-    def add(self, name: str, root: str, side: int, tokens: bytes, codes: bytes) -> None:
+    def add(self, name: bytes, root: bytes, side: int, tokens: bytes, codes: bytes) -> None:
         self.names.append(name), self.roots.append(root), self.side.append(side)
         self.tokens.append(np.frombuffer(tokens, "<u8")), self.codes.append(np.frombuffer(codes, np.uint8))
 
-    def links(self, num: int, den: int) -> Iterator[tuple[str, str]]:
+    def links(self, num: int, den: int) -> Iterator[tuple[bytes, bytes]]:
         """Links between sets that are not connected, no more than connect them."""
         size = np.array([len(t) for t in self.tokens])
         row = np.repeat(np.arange(len(size)), size)
@@ -361,11 +363,16 @@ class _Group:
         fragment[which] = fragment_of(np.concatenate(self.codes))
         shared = np.zeros((len(size), len(size)), np.float32)
         for f in np.unique(fragment).tolist():
-            column = np.cumsum(here := (fragment == f) & (times > 1)) - 1
-            inside = here[which]
-            has = np.zeros((len(size), int(here.sum())), np.float32)
-            has[row[inside], column[which[inside]]] = 1
-            shared += has @ has.T
+            here = np.flatnonzero((fragment == f) & (times > 1))
+            wide = max(1, MATRIX_CELLS // len(size))
+            for at in range(0, len(here), wide):
+                column = np.full(len(distinct), -1, np.int32)
+                column[here[at : at + wide]] = np.arange(len(here[at : at + wide]))
+                place = column[which]
+                inside = place >= 0
+                has = np.zeros((len(size), len(here[at : at + wide])), np.float32)
+                has[row[inside], place[inside]] = 1
+                shared += has @ has.T
         shared = shared.astype(np.int64)
         linked = den * shared >= num * (size[:, None] + size[None, :] - shared)
         side, two = np.array(self.side), len(set(self.side)) > 1
@@ -384,11 +391,11 @@ class _Group:
 def _compare_blocks(members: DataFrame, few: DataFrame, active: DataFrame, num: int, den: int) -> DataFrame:
     """Links (a, b) within the postings ``few``, each set compared with each other.
 
-    Sets are dealt to blocks of about ``BLOCK`` and every two blocks meet in a task; only
+    Sets are dealt to blocks of about ``BLOCK`` sets or ``BLOCK_GRAMS`` n-grams and every two blocks meet in a task; only
     links come out, at most one for each set.
     """
-    blocks = F.ceil(F.col("m") / BLOCK).cast("int")
-    own = members.join(few.select("context", "token", "m"), ["context", "token"])
+    blocks = F.ceil(F.greatest(F.col("m") / BLOCK, F.col("total") / BLOCK_GRAMS)).cast("int")
+    own = members.join(few.select("context", "token", "m", "total"), ["context", "token"])
     own = own.withColumn("_block", F.pmod(F.xxhash64("signature"), blocks).cast("int"))
     every = F.explode(F.sequence(F.lit(0), blocks - 1))
     met = own.select("context", "token", "signature", "root", "_block", every.alias("_other"))
@@ -402,7 +409,7 @@ def _compare_blocks(members: DataFrame, few: DataFrame, active: DataFrame, num:
         def finish() -> pa.RecordBatch:
             found = list(held.links(num, den)) if len(held.names) > 1 else []
             a, b = zip(*found) if found else ((), ())
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.string()), pa.array(b, pa.string())], names=["a", "b"])
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
 
         for batch in batches:
             for group, *rest in zip(*(c.to_pylist() for c in batch.columns)):
@@ -413,11 +420,11 @@ def _compare_blocks(members: DataFrame, few: DataFrame, active: DataFrame, num:
         yield finish()
 
     ordered = rows.select("group", "signature", "root", "side", "tokens", "codes").repartition("group").sortWithinPartitions("group")
-    return ordered.mapInArrow(compare, "a string, b string")
+    return ordered.mapInArrow(compare, "a binary, b binary")
 
 
 def _distinct_groups(members: DataFrame) -> DataFrame:
-    """Postings with sets that are not connected: context, token, m, hub, hub_n.
+    """Postings with sets that are not connected: context, token, m, total, hub, hub_n.
 
     Of postings with the same sets the first in the global order says all; the sets of a
     group of near copies share many.
@@ -429,9 +436,10 @@ def _distinct_groups(members: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("m"),
         F.sum(F.xxhash64("signature").cast("decimal(20,0)")).alias("who"),
         F.sum("rest").alias("reach"),
+        F.sum("n").alias("total"),
     )
-    first = groups.filter("low <> high").groupBy("context", "m", "who").agg(F.max_by(F.struct("token", "hub"), F.struct("reach", "token")).alias("g"))
-    return first.select("context", F.col("g.token").alias("token"), "m", F.col("g.hub.signature").alias("hub"), F.col("g.hub.n").alias("hub_n"))
+    first = groups.filter("low <> high").groupBy("context", "m", "total", "who").agg(F.max_by(F.struct("token", "hub"), F.struct("reach", "token")).alias("g"))
+    return first.select("context", F.col("g.token").alias("token"), "m", "total", F.col("g.hub.signature").alias("hub"), F.col("g.hub.n").alias("hub_n"))
 
 
 def links(active: DataFrame, num: int, den: int) -> DataFrame:
@@ -452,7 +460,7 @@ def links(active: DataFrame, num: int, den: int) -> DataFrame:
         small = F.lit(level == STAR_ROUNDS) | (F.col("m") <= SMALL_POSTING)
         met = cut_lineage(_compare_blocks(members, groups.filter(small), active, num, den))
         direct = met if direct is None else direct.unionByName(met)
-        star = members.join(groups.filter(~small).drop("m"), ["context", "token"]).filter("signature <> hub")
+        star = members.join(groups.filter(~small).drop("m", "total"), ["context", "token"]).filter("signature <> hub")
         star = cut_lineage(star.select("hub", "hub_n", "signature", "n").distinct())
         new = star if done is None else star.join(done.select("hub", "signature"), ["hub", "signature"], "left_anti")
         # Only sets of large postings are cut into segments.

@@ -2,11 +2,13 @@
 
 A text is its UTF-8 bytes. Words are runs of bytes outside a set of separators, so
 every rule that names ASCII separators only gives the same words as on characters.
-Hashes are 64-bit: two different words or shingles share one with odds of 2**-64.
+Hashes are 64-bit: two different words or shingles share one with odds of 2**-64, if they
+were not made to.
 """
 
 from __future__ import annotations
 
+import hashlib
 import sys
 from collections.abc import Iterator
 
@@ -18,7 +20,7 @@ from pyspark import cloudpickle
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 SLICE_BYTES = 1 << 18
-_BASE = 0x9E3779B97F4A7C15 | 1
+LANES = 32  # of 8 bytes; longer spans are hashed one by one
 _ODD = 0xBF58476D1CE4E5B9
 
 
@@ -33,35 +35,16 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-_BYTE_CODE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(_BASE))
 # Whitespace of the contract: [\x20\x09-\x0D]
 SPACES = np.zeros(256, bool)
 SPACES[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_LOWER_CODE = _BYTE_CODE[_LOWER]
 
 
 _STEP = mix(np.arange(1000, 1064, dtype=np.uint64))
 
 
-class _Powers:
-    """Powers of the base and of its inverse, grown on demand."""
-
-    up = np.ones(1, np.uint64)
-    down = np.ones(1, np.uint64)
-
-    @classmethod
-    def get(cls, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(cls.up) < n:
-            inverse = pow(_BASE, -1, 1 << 64)
-            steps = np.full(n, _BASE, np.uint64), np.full(n, inverse, np.uint64)
-            for s in steps:
-                s[0] = 1
-            cls.up, cls.down = (np.multiply.accumulate(s) for s in steps)
-        return cls.up, cls.down
-
-
 class Texts:
     """Bytes and document limits of a slice of a string array; null is empty."""
 
@@ -90,15 +73,35 @@ def text_slices(column: pa.Array, size: int = SLICE_BYTES) -> Iterator[tuple[int
         first = last
 
 
+_TAIL = np.array([(1 << 8 * r) - 1 for r in range(8)] + [(1 << 64) - 1], np.uint64)
+
+
+def lanes(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each position on as one number; zeros follow the end."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    return np.ndarray((len(data) + 1,), "<u8", padded.data, strides=(1,))
+
+
 def hash_spans(texts: Texts, start: np.ndarray, end: np.ndarray, lower: bool) -> np.ndarray:
-    """64-bit hash of the bytes of each span, A-Z lower-cased on request."""
-    n = len(texts.data)
-    up, down = _Powers.get(n + 1)
-    sums = np.zeros(n + 1, np.uint64)
-    codes = (_LOWER_CODE if lower else _BYTE_CODE)[texts.data]
-    codes *= up[:n]
-    np.cumsum(codes, out=sums[1:])
-    return mix((sums[end] - sums[start]) * down[start])
+    """64-bit hash of the bytes of each span, A-Z lower-cased on request.
+
+    Every eight bytes are mixed into the state before the next ones come, so no sum of bytes
+    can cancel out; the length is mixed in first. Spans of over ``LANES`` times eight bytes
+    get a cryptographic digest.
+    """
+    data = _LOWER[texts.data] if lower else texts.data
+    wide = lanes(data)
+    size = end - start
+    state = mix(size.astype(np.uint64) + np.uint64(_ODD))
+    todo = np.flatnonzero((size > 0) & (size <= 8 * LANES))
+    at, left = start[todo], size[todo]
+    while len(todo):
+        state[todo] = mix(state[todo] ^ (wide[at] & _TAIL[np.minimum(left, 8)]))
+        more = left > 8
+        todo, at, left = todo[more], at[more] + 8, left[more] - 8
+    for i in np.flatnonzero(size > 8 * LANES).tolist():
+        state[i] = int.from_bytes(hashlib.blake2b(data[start[i] : end[i]].tobytes(), digest_size=8).digest(), "little")
+    return state
 
 
 class Words:

@@ -307,7 +307,7 @@ def test_pipeline_keeps_what_each_stage_should(spark, tmp_path):
     table = pq.read_table(f"{SF}/documents.parquet").to_pylist()
     assert len(rows["language"]) == sum(any(c.isalpha() for c in r["text"] or "") for r in table)
     before = [(r.doc_id, r.text) for r in rows["toxicity"]]
-    parts = components_by_hand(before, 3, 90, 100)
+    parts = components_by_hand(before, 5, 80, 100)
     assert {r.doc_id for r in rows["near_copies"]} == {c for _, n, c in parts if n} | {d for d, n, _ in parts if not n}
     items = duckdb.sql(f"select item_id, text from '{SF}/benchmark.parquet'").fetchall()
     dirty = {r[0] for r in contamination_by_hand([(r.doc_id, r.text) for r in rows["near_copies"]], items) if r[-1]}

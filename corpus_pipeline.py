@@ -51,12 +51,11 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the document with the smallest doc_id of each component of near copies.
 
-    The rule is that of op8: two documents are near copies where they share at least 90 of
-    100 of their distinct three-word shingles (Jaccard). Texts with scattered edits of more
-    than about 1.75 % of their words, or with a larger block replaced, both stay. Documents
-    without words are no copies of each other; of equal rows one stays.
+    Two documents are near copies where they share at least 80 of 100 of their distinct
+    five-word shingles (Jaccard); documents of fewer words where all their words are the same.
+    Documents without words are no copies of each other; of equal rows one stays.
     """
-    found = similar_documents(docs.select("doc_id", "text"))
+    found = similar_documents(docs.select("doc_id", "text"), width=5, num=80, den=100)
     null = F.col("doc_id").isNull()
     rank = F.struct(null.alias("null"), F.col("doc_id").alias("doc_id"), F.col("text_key").alias("text_key"))
     first = found.filter(F.col("component").isNotNull()).groupBy("component").agg(F.min(rank).alias("first"))

@@ -16,6 +16,9 @@ RUNTIME_CONF = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     # Texts and packed arrays are long rows: small batches bound what a worker holds.
     "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20),
+    # A task that writes holds a whole row group.
+    "parquet.block.size": str(32 << 20),
 }
 
 

@@ -11,7 +11,6 @@ from corroborate.session import cut_lineage
 
 STATUS_ORDER = {"red": 0, "amber": 1}
 FLAG_BUMP = 100
-FOLD_LIMIT = 2_000
 
 
 def gap_size(criterion_score: Column, green: Column) -> Column:
@@ -218,81 +217,94 @@ def admit(
     return F.array_compact(F.array(*reasons))
 
 
-def greedy_admission(queue: DataFrame, key: str, item: str, rank: str, cost: str, cap: str, per_run: int) -> DataFrame:
-    """Admit in rank order while the budget lasts; a deferred item consumes nothing.
+MONEY = "decimal(28,9)"
+PLACES = 4096  # of a queue that are added up together
 
-    Items over ``per_run`` are skipped or, if they also break the cap, deferred.
-    A key with at most ``FOLD_LIMIT`` open items is one native fold. A longer one
-    is worked off in rounds that admit the whole prefix that fits and defer every
-    item now too large, until it is short enough. Money is counted in decimals, so both
-    ways give the same answer.
+
+def admit_queue(
+    queue: DataFrame, key: str, item: str, rank: str, max_calls: int | None = None, max_records: int | None = None
+) -> DataFrame:
+    """key, item, action, reason: the queue of each key under its budget of calls and of money.
+
+    ``queue`` has calls, records, usd, call_cap, usd_cap, paused and down (a null counts as
+    0, as no or, for a cap, as no limit). In order of rank, then item, each task is run if the budget
+    that earlier runs left covers its calls and its money; else it is deferred and consumes
+    nothing. A task over a limit for one run is skipped, or deferred if it also breaks the
+    budget. A paused connector's tasks, then those of a source that is down, are skipped.
+    Repeated rows are tasks of their own. Money is counted in decimals of nine places.
+
+    The result is that of one pass in order, found in rounds. Let L be what a key has left. Tasks
+    of at most L / 2 in both dimensions fit as long as half of L is left in both; so one
+    running sum over them says what is left at every task up to the first that takes a
+    dimension below half, or the first larger task that still fits. All up to there are decided,
+    and at least one dimension is halved: the rounds are logarithmic in the budget, for
+    queues of any length and any mix of keys.
     """
-    money = "decimal(28,9)"
-    per_run = F.lit(per_run).cast(money)
-    base = queue.select(key, item, rank, F.col(cost).cast(money).alias(cost), F.col(cap).cast(money).alias(cap))
-    state = base.withColumn("left", F.col(cap)).withColumn("action", F.lit(None).cast("string"))
-    done = None
-    while True:
-        over_run = F.col(cost) > per_run
-        undecided = state.withColumn(
-            "action",
-            F.when(F.col(cost) > F.col("left"), "defer").when(over_run, F.lit("skip?")),
-        )
-        decided = undecided.filter("action = 'defer'")
-        state = undecided.filter("action IS NULL OR action = 'skip?'")
-        done = decided if done is None else done.unionByName(decided)
-        sizes = state.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
-        if not sizes.filter(F.col("n") > FOLD_LIMIT).limit(1).count():
-            break
-        state = cut_lineage(_admit_prefix(state, key, rank, cost))
-        done = cut_lineage(done.unionByName(state.filter("action IN ('run', 'defer', 'skip')")))
-        state = state.filter("action IS NULL OR action = 'skip?'")
-    folded = _fold(state, key, item, rank, cost, per_run)
-    return done.select(key, item, "action").unionByName(folded)
-
-
-def _admit_prefix(state: DataFrame, key: str, rank: str, cost: str) -> DataFrame:
-    """Decide the leading items of each key up to the first one that overflows."""
-    charged = state.withColumn("_charge", F.when(F.col("action") == "skip?", 0).otherwise(F.col(cost)))
-    scanned = prefix_scan(charged, [key], [F.col(rank)], position="_pos", sums={"_run": "_charge"})
-    before = F.col("_run") - F.col("_charge")
-    stops = (F.col("_run") > F.col("left")) & F.col("action").isNull()
-    first = scanned.groupBy(key).agg(F.min(F.when(stops, F.col("_pos"))).alias("_stop"))
-    joined = scanned.join(first, key)
-    ahead = F.col("_stop").isNull() | (F.col("_pos") < F.col("_stop"))
-    fits = before + F.col(cost) <= F.col("left")
-    action = (
-        F.when(ahead & (F.col("action") == "skip?"), F.when(fits, "skip").otherwise("defer"))
-        .when(ahead, "run")
-        .when(F.col("_pos") == F.col("_stop"), "defer")
-        .otherwise(F.col("action"))
+    number = lambda c, zero: F.coalesce(F.col(c).cast(MONEY), F.lit(zero).cast(MONEY)).alias(c)
+    unlimited = 10**18
+    limits = [("calls", max_calls, "max_calls_per_run"), ("records", max_records, "max_records_per_run")]
+    over = [F.when(F.coalesce(F.col(c), F.lit(0)) > limit, reason) for c, limit, reason in limits if limit is not None]
+    base = queue.select(
+        key, item, F.col(rank).alias("_rank"), F.monotonically_increasing_id().alias("_row"), number("calls", 0), number("usd", 0),
+        number("call_cap", unlimited), number("usd_cap", unlimited),
+        F.when(F.col("paused"), "paused").when(F.col("down"), "source_down").alias("_blocked"),
+        (F.coalesce(*over) if over else F.lit(None).cast("string")).alias("_over"),
     )
-    spent = joined.filter(F.col("_stop").isNotNull() & (F.col("_pos") == F.col("_stop"))).select(
-        key, before.alias("_spent")
-    )
-    return (
-        joined.join(spent, key, "left")
-        .withColumn("action", action)
-        .withColumn("left", (F.col("left") - F.coalesce("_spent", F.lit(0))).cast("decimal(28,9)"))
-        .select(*state.columns)
-    )
-
+    # Places never change: each round adds up inside blocks of places, then over the blocks.
+    base = prefix_scan(base, [key], [F.col("_rank"), F.col(item), F.col("_row")], position="_pos")
+    base = cut_lineage(base.drop("_rank", "_row").withColumn("_block", F.floor(F.col("_pos") / PLACES)))
+    done = base.filter("_blocked IS NOT NULL").select(key, item, F.lit("skip").alias("action"), F.col("_blocked").alias("reason"))
+    state = base.filter("_blocked IS NULL").withColumnRenamed("call_cap", "_calls").withColumnRenamed("usd_cap", "_usd").drop("_blocked")
+    while True:
+        large = (F.col("calls") > F.col("_calls")) | (F.col("usd") > F.col("_usd"))
+        done = done.unionByName(state.filter(large).select(key, item, F.lit("defer").alias("action"), F.lit("monthly_budget").alias("reason")))
+        decided, state = _admit_half(state.filter(~large), key)
+        done = done.unionByName(decided.select(key, item, "action", "reason"))
+        state = cut_lineage(state)
+        if state.isEmpty():
+            return done
+
+
+def _admit_half(state: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """Decided tasks, and the rest with what is left: below half in one dimension at least."""
+    half = lambda c: 2 * F.col(c) <= F.col(f"_{c}")
+    small = F.col("_over").isNull() & half("calls") & half("usd")
+    charged = state.withColumn("_small", small)
+    charged = charged.withColumns({f"_{c}_small": F.when(F.col("_small"), F.col(c)).otherwise(F.lit(0).cast(MONEY)) for c in ("calls", "usd")})
+    inside = Window.partitionBy(key, "_block").orderBy("_pos").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy(key).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    none = F.lit(0).cast(MONEY)
+    totals = charged.groupBy(key, "_block").agg(F.sum("_calls_small").alias("_c"), F.sum("_usd_small").alias("_u"))
+    shift = totals.select(F.col(key).alias("_k"), F.col("_block").alias("_b"), F.coalesce(F.sum("_c").over(before), none).alias("_c"), F.coalesce(F.sum("_u").over(before), none).alias("_u"))
+    scanned = charged.withColumns({"_in_c": F.coalesce(F.sum("_calls_small").over(inside), none), "_in_u": F.coalesce(F.sum("_usd_small").over(inside), none)})
+    scanned = scanned.join(shift, F.col(key).eqNullSafe(F.col("_k")) & (F.col("_block") == F.col("_b"))).drop("_k", "_b")
+    left = {"calls": F.col("_calls") - F.col("_in_c") - F.col("_c"), "usd": F.col("_usd") - F.col("_in_u") - F.col("_u")}
+    fits = (F.col("calls") <= left["calls"]) & (F.col("usd") <= left["usd"])
+    below = (2 * (left["calls"] - F.col("calls")) < F.col("_calls")) | (2 * (left["usd"] - F.col("usd")) < F.col("_usd"))
+    # A larger task that runs takes its dimension below half, or to it: then nothing else is as large.
+    ends = F.col("_over").isNull() & fits & (~F.col("_small") | below)
+    now = F.struct("_pos", (left["calls"] - F.col("calls")).cast(MONEY).alias("calls"), (left["usd"] - F.col("usd")).cast(MONEY).alias("usd"))
+    scanned = cut_lineage(scanned.withColumns({"_fits": fits, "_ends": ends, "_now": now}).drop("_in_c", "_in_u", "_c", "_u", "_calls_small", "_usd_small"))
+    first = scanned.groupBy(key).agg(F.min(F.when(F.col("_ends"), F.col("_now"))).alias("_stop"))
+    same = F.col(key).eqNullSafe(F.col("_key"))
+    joined = scanned.join(first.withColumnRenamed(key, "_key"), same).drop("_key")
+    reached = F.col("_stop").isNull() | (F.col("_pos") <= F.col("_stop._pos"))
+    runs = F.col("_small") | (F.col("_over").isNull() & (F.col("_pos") == F.coalesce(F.col("_stop._pos"), F.lit(-1))))
+    action = F.when(runs, "run").when(F.col("_over").isNotNull() & F.col("_fits"), "skip").otherwise("defer")
+    reason = F.when(action == "skip", F.col("_over")).when(action == "defer", "monthly_budget")
+    decided = joined.filter(reached).withColumns({"action": action, "reason": reason})
+    rest = joined.filter(~reached).withColumns({"_calls": F.col("_stop.calls"), "_usd": F.col("_stop.usd")})
+    return decided, rest.select(*state.columns)
 
-def _fold(state: DataFrame, key: str, item: str, rank: str, cost: str, per_run: Column) -> DataFrame:
-    entry = F.struct(F.col(rank).alias("r"), F.col(item).alias("i"), F.col(cost).alias("c"))
-    queues = state.groupBy(key).agg(F.array_sort(F.collect_list(entry)).alias("q"), F.max("left").alias("left"))
-    item_type = state.schema[item].dataType.simpleString()
-    start = F.struct(F.col("left").cast("decimal(28,9)").alias("left"), F.expr(f"CAST(array() AS array<struct<i:{item_type},action:string>>)").alias("log"))
 
-    def step(acc: Column, e: Column) -> Column:
-        action = F.when(e["c"] > acc["left"], "defer").when(e["c"] > per_run, "skip").otherwise("run")
-        return F.struct(
-            F.when(action == "run", acc["left"] - e["c"]).otherwise(acc["left"]).cast("decimal(28,9)").alias("left"),
-            F.array_append(acc["log"], F.struct(e["i"].alias("i"), action.alias("action"))).alias("log"),
-        )
+def greedy_admission(queue: DataFrame, key: str, item: str, rank: str, cost: str, cap: str, per_run: int) -> DataFrame:
+    """Admit in rank order while the budget of one dimension lasts; see ``admit_queue``.
 
-    folded = queues.withColumn("log", F.aggregate("q", start, step)["log"])
-    return folded.select(key, F.inline("log")).withColumnRenamed("i", item)
+    Items over ``per_run`` are skipped or, if they also break the cap, deferred.
+    """
+    columns = [F.col(c) for c in dict.fromkeys((key, item, rank))]
+    money = queue.select(*columns, F.lit(0).alias("calls"), F.col(cost).alias("usd"), F.lit(None).cast("int").alias("call_cap"), F.col(cap).alias("usd_cap"), F.col(cost).alias("records"), F.lit(False).alias("paused"), F.lit(False).alias("down"))
+    return admit_queue(money, key, item, rank, max_records=per_run).select(key, item, "action")
 
 
 def due_targets(targets: DataFrame, now: Column, stale_hours: int = 12, fresh_days: int = 7) -> DataFrame:

@@ -545,6 +545,34 @@ def greedy_admission(t: Tables):
     return N.greedy_admission(queue, "o_custkey", "o_orderkey", "rank", "cost", "cap", 480000)
 
 
+_QUEUE_SQL = """q AS (
+  SELECT CASE WHEN o_orderkey % 3 = 0 THEN 0 ELSE o_custkey % 50 + 1 END AS k, o_orderkey, o_custkey % 90 AS calls, o_orderkey % 1200 AS records, CAST(o_totalprice / 1000 AS DECIMAL(28, 9)) AS usd,
+    o_orderkey % 101 = 0 AS paused, o_custkey % 67 = 0 AS down FROM orders),
+b AS (SELECT k, greatest(1500, count(*) * 20) AS call_cap, CAST(greatest(4000, count(*) * 70) AS DECIMAL(28, 9)) AS usd_cap FROM q GROUP BY 1),
+w AS (SELECT q.*, call_cap, usd_cap, row_number() OVER (PARTITION BY k ORDER BY usd DESC, o_orderkey) AS rn,
+    CASE WHEN calls > 85 THEN 'max_calls_per_run' WHEN records > 1100 THEN 'max_records_per_run' END AS over FROM q JOIN b USING (k) WHERE NOT paused AND NOT down),
+g AS (
+  SELECT k, CAST(0 AS BIGINT) AS rn, CAST(0 AS BIGINT) AS o_orderkey, '' AS action, CAST(call_cap AS BIGINT) AS lc, usd_cap AS lu FROM b
+  UNION ALL
+  SELECT w.k, w.rn, w.o_orderkey, CASE WHEN calls > lc OR usd > lu THEN 'defer' WHEN over IS NOT NULL THEN 'skip' ELSE 'run' END,
+    CAST(lc - CASE WHEN over IS NULL AND calls <= lc AND usd <= lu THEN calls ELSE 0 END AS BIGINT), CAST(lu - CASE WHEN over IS NULL AND calls <= lc AND usd <= lu THEN usd ELSE 0 END AS DECIMAL(28, 9))
+  FROM g JOIN w ON w.k = g.k AND w.rn = g.rn + 1)
+SELECT g.k, g.o_orderkey, action, CASE action WHEN 'defer' THEN 'monthly_budget' WHEN 'skip' THEN over END AS reason FROM g JOIN w USING (k, rn)
+UNION ALL SELECT k, o_orderkey, 'skip', CASE WHEN paused THEN 'paused' ELSE 'source_down' END FROM q WHERE paused OR down"""
+
+
+@query("queue_admission", f"WITH RECURSIVE {_QUEUE_SQL}")
+def queue_admission(t: Tables):
+    key = F.when(F.col("o_orderkey") % 3 == 0, 0).otherwise(F.col("o_custkey") % 50 + 1)
+    usd = (F.col("o_totalprice") / 1000).cast("decimal(28,9)")
+    tasks = t.orders.select(
+        key.alias("k"), "o_orderkey", (-usd).alias("rank"), (F.col("o_custkey") % 90).alias("calls"), (F.col("o_orderkey") % 1200).alias("records"), usd.alias("usd"),
+        (F.col("o_orderkey") % 101 == 0).alias("paused"), (F.col("o_custkey") % 67 == 0).alias("down"),
+    )
+    caps = tasks.groupBy("k").agg(F.greatest(F.lit(1500), F.count(F.lit(1)) * 20).alias("call_cap"), F.greatest(F.lit(4000), F.count(F.lit(1)) * 70).alias("usd_cap"))
+    return N.admit_queue(tasks.join(caps, "k"), "k", "o_orderkey", "rank", max_calls=85, max_records=1100)
+
+
 @query(
     "due_targets",
     """WITH x AS (SELECT o_orderkey, o_orderkey % 11 = 0 AS paused, (epoch(TIMESTAMP '1998-06-01') - epoch(o_orderdate)) / 86400 AS since, o_custkey % 3 = 0 AS down, (o_custkey % 24) AS age, (epoch(TIMESTAMP '1998-06-01') - epoch(o_orderdate)) / 86400 / 30 AS changed FROM orders WHERE o_orderdate < TIMESTAMP '1998-06-01')

@@ -8,6 +8,7 @@ from corroborate.functions import scalars as S
 from corroborate.functions import text as X
 from corroborate.functions import vocabulary as V
 from corroborate.operators import constraints as P
+from corroborate.operators import folding as D
 from corroborate.operators import grounding as G
 from corroborate.operators import ledger as O
 from corroborate.operators import reports as Q
@@ -124,6 +125,74 @@ def fold_batch(t: Tables):
     return O.fold_batch(rows)
 
 
+_CLAIMS_SQL = f"""d AS (
+  SELECT doc_id AS id, doc_id * 7919 % 100003 AS seq, ['effect', 'realization', 'interaction', 'dossier_section', 'edge'][doc_id % 10 // 2 + 1] AS kind, coalesce(lang, '') AS target,
+    {norm_sql('text')} AS words, source || ':' || n_chars % 40 AS pair, CAST(doc_id % 3 AS VARCHAR) AS field, n_chars % 100 / 100 AS confidence,
+    doc_id % 5 = 0 AS old, CASE WHEN doc_id % 10 = 0 THEN 'approved' ELSE 'pending' END AS status, doc_id % 7 = 0 AS refused, doc_id % 11 <> 0 AS transferable, doc_id % 4 <> 0 AS adds
+  FROM documents),
+sets AS (
+  SELECT id, 'title' || kind || target AS block, list_distinct(list_filter(string_split(words, ' ')[:5], lambda w: length(w) > 1)) AS tokens FROM d WHERE kind IN ('effect', 'realization')
+  UNION ALL SELECT id, 'body' || kind || target || CASE WHEN kind = 'dossier_section' THEN field ELSE '' END, list_distinct(list_filter(string_split(words, ' '), lambda w: length(w) > 1)) FROM d WHERE kind <> 'interaction'
+  UNION ALL SELECT id, 'pair' || kind || target, [pair] FROM d WHERE kind = 'interaction'),
+e AS (SELECT id, block, len(tokens) AS n, unnest(tokens) AS token FROM sets),
+i AS (SELECT a.id AS a, b.id AS b, a.n AS an, b.n AS bn, count(*) AS k FROM e a JOIN e b ON a.block = b.block AND a.token = b.token AND a.id <> b.id GROUP BY a.id, b.id, a.block, a.n, b.n),
+s AS (SELECT a, b, max(greatest(k / (an + bn - k), k / least(an, bn) * CAST(0.9 AS DOUBLE))) AS score FROM i GROUP BY 1, 2 HAVING score >= 0.78),
+m AS (SELECT a AS id, b AS match_id, status, score FROM s JOIN d ON d.id = b AND d.old QUALIFY row_number() OVER (PARTITION BY a ORDER BY score DESC, b) = 1),
+c AS (SELECT d.*, m.match_id, m.status AS match_status, m.score FROM d LEFT JOIN m USING (id) WHERE NOT old),
+q AS (SELECT id, match_status IS NOT NULL AS free, row_number() OVER (ORDER BY seq, id) AS rn FROM c WHERE NOT refused AND transferable AND coalesce(match_status, 'approved') = 'approved'),
+n AS (SELECT a AS id, list(b) AS near FROM s GROUP BY 1),
+o AS (SELECT rn, id, free, coalesce(near, []) AS near FROM q LEFT JOIN n USING (id)),
+g AS (
+  SELECT CAST(0 AS BIGINT) AS rn, CAST([] AS BIGINT[]) AS admitted
+  UNION ALL SELECT o.rn, CASE WHEN o.free OR NOT list_has_any(g.admitted, o.near) THEN list_append(g.admitted, o.id) ELSE g.admitted END FROM g JOIN o ON o.rn = g.rn + 1),
+w AS (SELECT unnest(admitted) AS b FROM g WHERE rn = (SELECT max(rn) FROM g)),
+f AS (
+  SELECT q.id, s.b AS match_id, s.score FROM q JOIN s ON s.a = q.id JOIN w USING (b) JOIN q p ON p.id = s.b AND p.rn < q.rn
+  WHERE q.id NOT IN (SELECT b FROM w) QUALIFY row_number() OVER (PARTITION BY q.id ORDER BY s.score DESC, s.b) = 1),
+x AS (
+  SELECT c.id, target, confidence, coalesce(c.match_id, f.match_id) AS match_id, coalesce(c.score, f.score) AS score, CASE WHEN f.id IS NOT NULL THEN 'pending' ELSE match_status END AS match_status,
+    refused, transferable, adds FROM c LEFT JOIN f USING (id)),
+y AS (
+  SELECT id, target, confidence, CASE WHEN NOT refused AND transferable THEN match_id END AS match_id, CASE WHEN NOT refused AND transferable THEN score END AS score,
+    CASE WHEN refused THEN 'dropped_ungrounded' WHEN NOT transferable THEN 'held_non_transferable' WHEN match_status = 'pending' THEN 'merged_into_pending'
+      WHEN confidence < 0.5 OR (match_status = 'approved' AND NOT adds) THEN 'held_low_confidence' WHEN match_status = 'approved' THEN 'proposed_enrich' ELSE 'proposed' END AS fate FROM x)
+SELECT id AS candidate_id, match_id, floor(score * 10000 + 0.5) / 10000 AS score,
+  CASE WHEN starts_with(fate, 'proposed') AND row_number() OVER (PARTITION BY target, starts_with(fate, 'proposed') ORDER BY confidence DESC, id) > 60 THEN 'dropped_volume_cap' ELSE fate END AS fate FROM y"""
+
+
+@query("candidate_folding", f"WITH RECURSIVE {_CLAIMS_SQL}")
+def candidate_folding(t: Tables):
+    i, words = F.col("doc_id"), X.norm_quality(F.col("text"))
+    kinds = F.array(*[F.lit(k) for k in ("effect", "realization", "interaction", "dossier_section", "edge")])
+    rows = t.documents.select(
+        i.alias("id"),
+        (i * 7919 % 100003).alias("seq"),
+        F.element_at(kinds, (F.floor(i % 10 / 2) + 1).cast("int")).alias("kind"),
+        F.coalesce("lang", F.lit("")).alias("target"),
+        F.array_join(F.slice(F.split(words, " "), 1, 5), " ").alias("title"),
+        F.col("text").alias("body"),
+        F.concat_ws(":", "source", (F.col("n_chars") % 40).cast("string")).alias("pair"),
+        (i % 3).cast("string").alias("field"),
+        (F.col("n_chars") % 100 / 100).alias("confidence"),
+    )
+    known = rows.filter("id % 5 = 0").withColumn("status", F.when(F.col("id") % 10 == 0, "approved").otherwise("pending"))
+    refused, transferable = F.col("id") % 7 == 0, F.col("id") % 11 != 0
+    batch = rows.filter("id % 5 <> 0").withColumn("eligible", ~refused & transferable)
+    matched = D.match_candidates(batch, known).select(
+        F.col("id").alias("candidate_id"),
+        F.col("target").alias("topic_id"),
+        F.lpad(F.col("id").cast("string"), 12, "0").alias("identity"),
+        "confidence",
+        F.when(refused, "quote_not_in_source").alias("gate_reason"),
+        transferable.alias("transferable"),
+        "match_id",
+        "match_status",
+        (F.col("id") % 4 != 0).alias("adds_value"),
+        (F.floor(F.col("match_score") * 10000 + 0.5) / 10000).alias("score"),
+    )
+    return O.candidate_fate(matched, 60).select("candidate_id", "match_id", "score", "fate")
+
+
 @query(
     "batch_report",
     f"WITH {LEDGER_SQL} SELECT coalesce(run_id, 'total') AS run_id, CAST(sum(candidates) AS BIGINT) AS candidates, CAST(sum(strong_candidates) AS BIGINT) AS strong_candidates, CAST(sum(into_synthesis) AS BIGINT) AS into_synthesis FROM ledger WHERE starts_with(run_id, 'run1') GROUP BY ROLLUP (run_id)",

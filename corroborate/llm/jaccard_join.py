@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from corroborate.llm import words as W
 from corroborate.operators.entity import connected_components
-from corroborate.session import cut_lineage, scratch_path
+from corroborate.session import cut_lineage, remove_scratch, scratch_path
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -451,11 +451,12 @@ def links(active: DataFrame, num: int, den: int) -> DataFrame:
     ``STAR_ROUNDS`` is compared block by block.
     """
     postings = cut_lineage(_first_postings(active, num, den))
-    roots = active.select("signature", F.col("signature").alias("root"))
-    done, direct, edges = None, None, None
+    roots, done, direct, edges = None, None, None, None
     for level in range(STAR_ROUNDS + 1):
-        members = postings.join(roots, "signature", "left").withColumn("root", F.coalesce("root", "signature"))
-        members = cut_lineage(members)
+        if roots is None:  # nothing is connected yet
+            members = postings.withColumn("root", F.col("signature"))
+        else:
+            members = cut_lineage(postings.join(roots, "signature", "left").withColumn("root", F.coalesce("root", "signature")))
         groups = cut_lineage(_distinct_groups(members))
         small = F.lit(level == STAR_ROUNDS) | (F.col("m") <= SMALL_POSTING)
         met = cut_lineage(_compare_blocks(members, groups.filter(small), active, num, den))
@@ -486,13 +487,18 @@ def similar_documents(docs: DataFrame, width: int = 3, num: int = 90, den: int =
     smallest doc_id that links reach. Equal rows and equal sets share a component. A text
     that is null or without words has an empty set, component null, and stands alone. A null
     doc_id never is the smallest. ``text_key`` is the hash of the text. ``docs`` is read once
-    and written with chunk numbers that all later scans go by.
+    and written with chunk numbers that all later scans go by; these files are removed when
+    the sets stand in checkpoints.
     """
-    docs = _written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), scratch_path(docs.sparkSession, "documents"))
-    path = scratch_path(docs.sparkSession, "frequencies")
-    _frequencies(docs, width, path)
-    rows = cut_lineage(_sets(docs, width, num, den, path))
-    active = cut_lineage(rows.filter(F.col("tokens").isNotNull()).dropDuplicates(["signature"]).drop("doc_id", "text_key"))
+    spark, path = docs.sparkSession, scratch_path(docs.sparkSession, "jaccard")
+    docs = _written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), f"{path}/documents")
+    _frequencies(docs, width, f"{path}/frequencies")
+    _sets(docs, width, num, den, f"{path}/frequencies").write.option("compression", "zstd").parquet(f"{path}/sets")
+    # Columns apart: all rows without their n-grams, and the n-grams of each set once.
+    sets = spark.read.parquet(f"{path}/sets")
+    rows = cut_lineage(sets.drop("tokens", "codes"))
+    active = cut_lineage(sets.filter(F.col("tokens").isNotNull()).select("n", "signature", "tokens", "codes").dropDuplicates(["signature"]))
+    remove_scratch(spark, path)
     edges = links(active, num, den)
     sets = rows.filter(F.col("signature").isNotNull()).groupBy("signature").agg(F.min("doc_id").alias("least"))
     roots = connected_components(edges).withColumnRenamed("node", "signature")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corroborate.functions import vocabulary as V
@@ -12,6 +12,9 @@ from corroborate.operators.skew import prefix_scan
 from corroborate.session import cut_lineage
 
 
+BLOCK_ROWS = 4096  # of a series that are averaged in one group
+
+
 def novelty_curve(hits: DataFrame, window: int = 10, queries: DataFrame | None = None, base: DataFrame | None = None) -> DataFrame:
     """Per query: returned, unique, added and cumulative records with rolling rate.
 
@@ -54,23 +57,20 @@ def rolling_mean(
 ) -> DataFrame:
     """Mean of the last ``window`` values at a dense integer index, null before that.
 
-    Each row is added to the ``window`` positions it counts for, so no partition
-    has to hold a whole series. Values carry four decimals and are summed as
-    integers, which keeps the result independent of row order.
+    A series is cut into blocks of its index. Each block hands its last ``window`` - 1 rows to
+    the next, so no task has to hold a whole series and little more than the rows is moved.
+    Values carry four decimals and are summed as integers, which keeps the result independent
+    of row order. ``index`` is unique within ``keys``; a null value adds nothing to a mean.
     """
-    units = F.floor(F.col(value) * 10000 + 0.5).cast("bigint")
-    spread = df.select(
-        *keys,
-        F.explode(F.sequence(F.col(index), F.col(index) + (window - 1))).alias(index),
-        units.alias("_units"),
-    )
-    means = (
-        spread.groupBy(*keys, index)
-        .agg(F.sum("_units").alias("_sum"), F.count(F.lit(1)).alias("_n"))
-        .filter(F.col("_n") == window)
-        .select(*keys, index, (F.floor(F.col("_sum") / window + 0.5) / 10000).alias(out))
-    )
-    return df.join(means, [*keys, index], "left")
+    size = max(BLOCK_ROWS, 8 * window)
+    own = F.floor(F.col(index) / size).cast("bigint")
+    handed = F.pmod(F.col(index), F.lit(size)) >= size - (window - 1)
+    placed = df.withColumn("_block", F.explode(F.when(handed, F.array(own, own + 1)).otherwise(F.array(own))))
+    units = F.coalesce(F.floor(F.col(value) * 10000 + 0.5).cast("bigint"), F.lit(0))
+    reach = Window.partitionBy(*keys, "_block").orderBy(index).rangeBetween(-(window - 1), 0)
+    mean = F.floor(F.sum(units).over(reach) / window + 0.5) / 10000
+    rolled = placed.withColumn(out, F.when(F.count(F.lit(1)).over(reach) == window, mean))
+    return rolled.filter(F.col("_block") == own).drop("_block")
 
 
 def saturation_point(curve: DataFrame, minimum_queries: int, threshold: float) -> DataFrame:

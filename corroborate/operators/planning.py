@@ -327,10 +327,14 @@ def due_targets(targets: DataFrame, now: Column, stale_hours: int = 12, fresh_da
 
 # --- reading plans -------------------------------------------------------------------------
 def reading_plan(
-    eligible: DataFrame, terminal: DataFrame, token_cap: int, batch: int = 25, per_batch: int = 0, per_topic: int = 0
+    eligible: DataFrame, terminal: DataFrame, token_cap: int, batch: int = 25, per_batch: int = 0, per_topic: int = 0,
+    anchored: bool = False,
 ) -> DataFrame:
     """Pending records in reading order with batch numbers, and the prefix that fits.
 
+    A run aimed at one effect (``anchored``) reads by affinity to it, then tier, then id;
+    any other run by tier, then citations, then id.
+
     ``eligible``: topic_id, record_id, tier (null = irrelevant), affinity,
     citations, tokens. Cost of a prefix = its tokens plus ``per_batch`` for every
     started batch plus ``per_topic``; everything after the first overflow of the
@@ -338,7 +342,8 @@ def reading_plan(
     """
     pending = eligible.join(terminal, ["topic_id", "record_id"], "left_anti")
     ranked = pending.filter("tier IS NOT NULL").withColumn("citations", F.coalesce("citations", F.lit(-1)))
-    order = [F.asc("affinity"), F.asc("tier"), F.desc("citations"), F.asc("record_id")]
+    by = [F.asc("affinity"), F.asc("tier")] if anchored else [F.asc("tier"), F.desc("citations")]
+    order = [*by, F.asc("record_id")]
     numbered = prefix_scan(ranked, ["topic_id"], order, position="rn").withColumn(
         "batch_no", F.floor((F.col("rn") - 1) / batch).cast("bigint")
     )

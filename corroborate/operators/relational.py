@@ -21,21 +21,54 @@ def mode_eligible(topics: DataFrame, artifacts: DataFrame) -> DataFrame:
     return topics.join(artifacts.select("topic_id").distinct(), "topic_id", "left_anti")
 
 
-def resolve_scope(
-    kind: str, ident: str, topics: DataFrame, packs: DataFrame, cross_cutting: DataFrame, effects: DataFrame
+def resolve_scopes(
+    requests: DataFrame, topics: DataFrame, packs: DataFrame, cross_cutting: DataFrame, effects: DataFrame, segments: DataFrame
 ) -> DataFrame:
-    """Known topic ids of a topic, pack, segment or effect scope."""
-    if kind == "topic":
-        named = topics.filter(F.col("topic_id") == ident).select("topic_id")
-    elif kind == "pack":
-        named = packs.filter(F.col("pack") == ident).select("topic_id").unionByName(cross_cutting.select("topic_id"))
-    elif kind == "segment":
-        named = packs.select("topic_id").unionByName(cross_cutting.select("topic_id"))
-    elif kind == "effect":
-        named = effects.filter(F.col("effect_id") == ident).select("topic_id")
-    else:
-        raise ValueError(f"unknown scope {kind}")
-    return named.distinct().join(topics.select("topic_id"), "topic_id", "left_semi")
+    """kind, ident, topic_id, refused: the known topics of each request, or why there are none.
+
+    ``requests``: kind (topic, pack, segment or effect) and ident; ``topics``: topic_id;
+    ``packs``: pack, topic_id; ``effects``: effect_id, topic_id; ``segments``: segment, status.
+    A pack stands for its topics and those that cut across packs, an active segment for the topics of all packs
+    and those. An unknown kind or ident, an inactive segment, and an effect whose topics are
+    all unknown are refused: one row without topic_id. A known scope without known topics has
+    a row with neither. Repeated requests count once; a null ident is unknown.
+    """
+    asked = requests.select("kind", F.col("ident").cast("string").alias("ident")).distinct()
+
+    def of(kind: str) -> DataFrame:
+        return asked.filter(F.col("kind") == kind)
+
+    full = topics.select("topic_id").distinct()
+    pack_ids = packs.select(F.col("pack").cast("string").alias("ident"), "topic_id").distinct()
+    effect_ids = effects.select(F.col("effect_id").cast("string").alias("ident"), "topic_id").distinct()
+    topic_ids = full.select(F.col("topic_id").cast("string").alias("ident"), "topic_id")
+    active = segments.filter("status = 'active'").select(F.col("segment").cast("string").alias("ident")).distinct()
+    whole_packs = of("pack").join(pack_ids.select("ident").distinct(), "ident", "left_semi")
+    whole_segments = of("segment").join(active, "ident", "left_semi")
+    every = packs.select("topic_id").unionByName(cross_cutting.select("topic_id")).distinct()
+    one = F.lit(1)
+    named = (
+        of("topic").join(topic_ids, "ident")
+        .unionByName(of("effect").join(effect_ids, "ident"))
+        .unionByName(whole_packs.join(pack_ids, "ident"))
+        .unionByName(whole_packs.withColumn("_all", one).join(cross_cutting.select("topic_id", one.alias("_all")), "_all").drop("_all"))
+        .unionByName(whole_segments.withColumn("_all", one).join(every.select("topic_id", one.alias("_all")), "_all").drop("_all"))
+    )
+    found = named.join(full, "topic_id", "left_semi").select("kind", "ident", "topic_id").distinct()
+    known = whole_packs.unionByName(whole_segments).select("kind", "ident")
+    left = asked.join(found, (asked["kind"] == found["kind"]) & (asked["ident"] == found["ident"]), "left_anti")
+    accepted = known.withColumn("_known", F.lit(True))
+    left = left.join(accepted, ["kind", "ident"], "left").join(effect_ids.select("ident", F.lit(True).alias("_effect")).distinct(), "ident", "left")
+    reason = (
+        F.when(F.col("_known"), None)
+        .when(F.col("kind") == "segment", "unknown_active_segment")
+        .when((F.col("kind") == "effect") & F.col("_effect"), "effect_without_full_topic")
+        .when(F.col("kind").isin("topic", "pack", "effect"), F.concat(F.lit("unknown_"), "kind"))
+        .otherwise("unknown_kind")
+    )
+    none = F.lit(None).cast(topics.schema["topic_id"].dataType).alias("topic_id")
+    refused = left.select("kind", "ident", none, reason.alias("refused"))
+    return found.withColumn("refused", F.lit(None).cast("string")).unionByName(refused)
 
 
 def is_live(status: Column) -> Column:

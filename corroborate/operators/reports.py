@@ -255,6 +255,16 @@ def uncovered_phrases(texts: DataFrame, known: DataFrame, size: int, min_topics:
     return counted.filter(F.col("topics") >= min_topics).join(grams(known, []).distinct(), "phrase", "left_anti")
 
 
+def collated_positions(df: DataFrame, keys: list[str], column: str, tie: str, collation: str = "UNICODE") -> DataFrame:
+    """Add ``position``: the place of each row in its key's order by the rules of a collation.
+
+    Upper and lower case, accents and signs sort as in a dictionary, not by code point. Rows
+    that the collation calls equal follow ``tie``; nulls come last.
+    """
+    order = [F.collate(F.col(column), collation).asc_nulls_last(), F.col(tie).asc_nulls_last()]
+    return prefix_scan(df, keys, order, position="position")
+
+
 DESIGN_RANK = {
     "meta_analysis": 5, "rct": 4, "quasi_experiment": 3, "observational": 2, "narrative_review": 1, "theoretical": 0,
 }

@@ -258,10 +258,11 @@ def queue_counts(t: Tables):
 
 @query(
     "distinct_sources",
-    "SELECT lang, count(DISTINCT source) AS contributing FROM documents WHERE n_chars > 1000 GROUP BY lang",
+    "SELECT lang, count(DISTINCT source) AS contributing, count(DISTINCT source) FILTER (WHERE n_chars > 1000) AS with_long_texts FROM documents GROUP BY lang",
 )
 def distinct_sources(t: Tables):
-    return t.documents.filter("n_chars > 1000").groupBy("lang").agg(F.countDistinct("source").alias("contributing"))
+    long_source = F.when(F.col("n_chars") > 1000, F.col("source"))
+    return t.documents.groupBy("lang").agg(F.countDistinct("source").alias("contributing"), F.countDistinct(long_source).alias("with_long_texts"))
 
 
 # --- windows and order --------------------------------------------------------------------
@@ -418,11 +419,11 @@ def strided_sample(t: Tables):
 
 @query(
     "collated_order",
-    f"WITH {RECORDS_SQL} SELECT topic_id, min(title) AS first_title, max(title) AS last_title FROM records WHERE regexp_matches(title, '^[A-Z][ -~]*$') GROUP BY 1",
+    f"WITH {RECORDS_SQL} SELECT topic_id, record_id, row_number() OVER (PARTITION BY topic_id ORDER BY title COLLATE en NULLS LAST, record_id) AS position FROM records",
 )
 def collated_order(t: Tables):
-    ascii_titles = records(t).filter(F.col("title").rlike("^[A-Z][ -~]*$"))
-    return ascii_titles.groupBy("topic_id").agg(F.min("title").alias("first_title"), F.max("title").alias("last_title"))
+    titles = records(t).select("topic_id", "record_id", "title")
+    return Q.collated_positions(titles, ["topic_id"], "title", "record_id").drop("title")
 
 
 @query(

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corroborate.functions import scalars as S
@@ -44,18 +47,33 @@ def _scope_tables(t: Tables):
     return topics, packs, crossing, effects
 
 
-@query(
-    "resolve_scope",
-    """SELECT 'pack' AS scope, c_custkey AS topic_id FROM customer WHERE c_mktsegment = 'MACHINERY' OR c_acctbal > 9000
-    UNION ALL SELECT 'segment', c_custkey FROM customer
-    UNION ALL SELECT DISTINCT 'effect', o_custkey FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderpriority = '1-URGENT'""",
-)
+_SCOPE_SQL = """t AS (SELECT c_custkey AS topic_id FROM customer WHERE c_custkey % 13 <> 0),
+p AS (SELECT DISTINCT c_mktsegment AS ident, c_custkey AS topic_id FROM customer),
+x AS (SELECT c_custkey AS topic_id FROM customer WHERE c_acctbal > 9000),
+e AS (SELECT DISTINCT 'E' || o_custkey AS ident, o_custkey AS topic_id FROM orders),
+s AS (SELECT n_name AS ident, CASE WHEN n_regionkey = 2 THEN 'retired' ELSE 'active' END AS status FROM nation),
+r AS (SELECT DISTINCT 'pack' AS kind, c_mktsegment AS ident FROM customer UNION SELECT DISTINCT 'pack', o_orderpriority FROM orders UNION SELECT 'segment', n_name FROM nation UNION SELECT 'segment', r_name FROM region
+  UNION SELECT 'effect', 'E' || c_custkey FROM customer UNION SELECT 'topic', CAST(o_custkey AS VARCHAR) FROM orders UNION SELECT 'shelf', r_name FROM region),
+n AS (
+  SELECT r.kind, r.ident, t.topic_id FROM r JOIN t ON r.kind = 'topic' AND r.ident = CAST(t.topic_id AS VARCHAR)
+  UNION SELECT r.kind, r.ident, topic_id FROM r JOIN e USING (ident) JOIN t USING (topic_id) WHERE r.kind = 'effect'
+  UNION SELECT r.kind, r.ident, topic_id FROM r JOIN p USING (ident) JOIN t USING (topic_id) WHERE r.kind = 'pack'
+  UNION SELECT r.kind, r.ident, topic_id FROM r, x JOIN t USING (topic_id) WHERE r.kind = 'pack' AND r.ident IN (SELECT ident FROM p)
+  UNION SELECT r.kind, r.ident, topic_id FROM r JOIN s USING (ident), t WHERE r.kind = 'segment' AND status = 'active' AND (topic_id IN (SELECT topic_id FROM p) OR topic_id IN (SELECT topic_id FROM x)))
+SELECT kind, ident, topic_id, NULL AS refused FROM n
+UNION ALL SELECT kind, ident, NULL, CASE WHEN kind = 'pack' AND ident IN (SELECT ident FROM p) THEN NULL WHEN kind = 'segment' AND ident IN (SELECT ident FROM s WHERE status = 'active') THEN NULL
+  WHEN kind = 'segment' THEN 'unknown_active_segment' WHEN kind = 'effect' AND ident IN (SELECT ident FROM e) THEN 'effect_without_full_topic' WHEN kind = 'shelf' THEN 'unknown_kind' ELSE 'unknown_' || kind END
+  FROM r WHERE (kind, ident) NOT IN (SELECT kind, ident FROM n)"""
+
+
+@query("resolve_scope", f"WITH {_SCOPE_SQL}")
 def resolve_scope(t: Tables):
-    args = _scope_tables(t)
-    pack = R.resolve_scope("pack", "MACHINERY", *args).select(F.lit("pack").alias("scope"), "topic_id")
-    segment = R.resolve_scope("segment", "any", *args).select(F.lit("segment").alias("scope"), "topic_id")
-    effect = R.resolve_scope("effect", "1-URGENT", *args).select(F.lit("effect").alias("scope"), "topic_id")
-    return pack.unionByName(segment).unionByName(effect)
+    topics, packs, crossing, _ = _scope_tables(t)
+    effects = t.orders.select(F.concat(F.lit("E"), "o_custkey").alias("effect_id"), F.col("o_custkey").alias("topic_id"))
+    segments = t.nation.select(F.col("n_name").alias("segment"), F.when(F.col("n_regionkey") == 2, "retired").otherwise("active").alias("status"))
+    named = [("pack", packs, "pack"), ("pack", t.orders, "o_orderpriority"), ("segment", t.nation, "n_name"), ("segment", t.region, "r_name"), ("effect", t.customer.withColumn("effect", F.concat(F.lit("E"), "c_custkey")), "effect"), ("topic", t.orders, "o_custkey"), ("shelf", t.region, "r_name")]
+    requests = reduce(DataFrame.unionByName, [df.select(F.lit(kind).alias("kind"), F.col(c).cast("string").alias("ident")) for kind, df, c in named])
+    return R.resolve_scopes(requests, topics.filter("topic_id % 13 <> 0"), packs, crossing, effects, segments)
 
 
 _REVIEW_TITLE = V.META_ANALYSIS_TITLE.replace("'", "''")
@@ -491,10 +509,10 @@ def terminal_union(t: Tables):
 
 @query(
     "pending_except",
-    "SELECT doc_id AS record_id FROM documents WHERE n_chars > 500 EXCEPT SELECT doc_id FROM labels WHERE toxic = 0",
+    "SELECT doc_id AS record_id FROM documents EXCEPT SELECT doc_id FROM labels WHERE toxic = 0",
 )
 def pending_except(t: Tables):
-    eligible = t.documents.filter("n_chars > 500").select(F.col("doc_id").alias("record_id"))
+    eligible = t.documents.select(F.col("doc_id").alias("record_id"))
     done = t.labels.filter("toxic = 0").select(F.col("doc_id").alias("record_id"))
     return eligible.exceptAll(done).distinct()
 

@@ -575,13 +575,13 @@ def queue_admission(t: Tables):
 
 @query(
     "due_targets",
-    """WITH x AS (SELECT o_orderkey, o_orderkey % 11 = 0 AS paused, (epoch(TIMESTAMP '1998-06-01') - epoch(o_orderdate)) / 86400 AS since, o_custkey % 3 = 0 AS down, (o_custkey % 24) AS age, (epoch(TIMESTAMP '1998-06-01') - epoch(o_orderdate)) / 86400 / 30 AS changed FROM orders WHERE o_orderdate < TIMESTAMP '1998-06-01')
+    """WITH x AS (SELECT o_orderkey, o_orderkey % 11 = 0 AS paused, (epoch(TIMESTAMP '1998-06-01') - epoch(o_orderdate)) / 86400 AS since, o_custkey % 3 = 0 AS down, (o_custkey % 24) AS age, (epoch(TIMESTAMP '1998-06-01') - epoch(o_orderdate)) / 86400 / 30 AS changed FROM orders)
     SELECT o_orderkey, CASE WHEN paused THEN 'paused' WHEN since < 60 THEN 'not_due' WHEN down AND age < 12 THEN 'source_down' WHEN changed > 7 THEN 'unchanged' END AS reason FROM x""",
 )
 def due_targets(t: Tables):
     now = F.to_timestamp(F.lit("1998-06-01"))
     at = F.col("o_orderdate").cast("timestamp")
-    rows = t.orders.filter(at < now).select(
+    rows = t.orders.select(
         "o_orderkey",
         (F.col("o_orderkey") % 11 == 0).alias("paused"),
         at.alias("last_run"),
@@ -593,12 +593,17 @@ def due_targets(t: Tables):
     return N.due_targets(rows, now).select("o_orderkey", "reason")
 
 
-_PLAN = f"""{RECORDS_SQL.strip()}, h AS (SELECT *, {HITS_SQL} FROM records), el AS (SELECT topic_id, record_id, citations, {TIER_SQL} AS tier, {AFFINITY_SQL} AS affinity,
+def plan_sql(anchored: bool) -> str:
+    by = "affinity, tier" if anchored else "tier, coalesce(citations, -1) DESC"
+    return f"""{RECORDS_SQL.strip()}, h AS (SELECT *, {HITS_SQL} FROM records), el AS (SELECT topic_id, record_id, citations, {TIER_SQL} AS tier, {AFFINITY_SQL} AS affinity,
   CAST(ceil(strlen(title || chr(10) || coalesce(abstract, '')) / 4.0) AS BIGINT) AS tokens FROM h), te AS (SELECT doc_id AS record_id FROM labels WHERE quality = 1),
-pn AS (SELECT *, row_number() OVER (PARTITION BY topic_id ORDER BY affinity, tier, coalesce(citations, -1) DESC, record_id) AS rn FROM el WHERE tier IS NOT NULL AND record_id NOT IN (SELECT record_id FROM te)),
+pn AS (SELECT *, row_number() OVER (PARTITION BY topic_id ORDER BY {by}, record_id) AS rn FROM el WHERE tier IS NOT NULL AND record_id NOT IN (SELECT record_id FROM te)),
 pl AS (SELECT topic_id, record_id, rn, (rn - 1) // 25 AS batch_no, sum(tokens + CASE WHEN (rn - 1) % 25 = 0 THEN 300 ELSE 0 END + CASE WHEN rn = 1 THEN 500 ELSE 0 END) OVER (ORDER BY topic_id, rn) <= 90000 AS selected FROM pn)"""
 
 
+_PLAN = plan_sql(anchored=False)
+
+
 def reading_inputs(t: Tables):
     tokens = X.estimate_tokens(X.source_text(F.col("title"), F.col("abstract")))
     eligible = tiered(t).select("topic_id", "record_id", "tier", "affinity", "citations", tokens.alias("tokens"))
@@ -614,6 +619,13 @@ def reading_plan(t: Tables):
     return plan.select("topic_id", "record_id", "rn", "batch_no", "selected")
 
 
+@query("anchored_plan", f"WITH {plan_sql(anchored=True)} SELECT topic_id, record_id, rn, batch_no, selected FROM pl")
+def anchored_plan(t: Tables):
+    eligible, terminal = reading_inputs(t)
+    plan = N.reading_plan(eligible, terminal, 90000, 25, 300, 500, anchored=True)
+    return plan.select("topic_id", "record_id", "rn", "batch_no", "selected")
+
+
 @query(
     "plan_counts",
     f"""WITH {_PLAN} SELECT topic_id, count(*) AS eligible, count_if(d) AS done, count_if(tier IS NULL AND NOT d) AS skipped, (SELECT count(*) FILTER (WHERE selected) FROM pl WHERE pl.topic_id = x.topic_id) AS selected, (SELECT count(*) FILTER (WHERE NOT selected) FROM pl WHERE pl.topic_id = x.topic_id) AS remaining

@@ -146,3 +146,57 @@ def test_rounds_grow_with_the_budget_not_with_the_queue(spark, monkeypatch):
     got = N.admit_queue(spark.createDataFrame(rows, QUEUE), "k", "item", "rank").collect()
     assert sorted(map(tuple, got), key=str) == admitted(rows, 10**9, 10**9)
     assert len(rounds) <= 11
+
+
+# Scopes, reading order, collation, rolling means
+
+
+def test_unknown_and_inactive_scopes_are_refused(spark):
+    from corroborate.operators.relational import resolve_scopes
+
+    def table(columns, *rows):
+        return spark.createDataFrame(list(rows), columns)
+
+    requests = table("kind string, ident string", ("pack", "p1"), ("pack", "p1"), ("pack", "p9"), ("segment", "s1"), ("segment", "s2"), ("segment", "s9"), ("topic", "1"), ("topic", "9"), ("effect", "e1"), ("effect", "e2"), ("effect", "e9"), ("shelf", "x"), ("topic", None), ("pack", "p3"))
+    topics = table("topic_id long", (1,), (2,), (3,))
+    packs = table("pack string, topic_id long", ("p1", 1), ("p1", 8), ("p2", 2), ("p3", 8))
+    found = resolve_scopes(requests, topics, packs, table("topic_id long", (3,)), table("effect_id string, topic_id long", ("e1", 2), ("e2", 8)), table("segment string, status string", ("s1", "active"), ("s2", "retired")))
+    got = sorted(map(tuple, found.collect()), key=str)
+    want = [("effect", "e1", 2, None), ("effect", "e2", None, "effect_without_full_topic"), ("effect", "e9", None, "unknown_effect"), ("pack", "p1", 1, None), ("pack", "p1", 3, None), ("pack", "p3", 3, None), ("pack", "p9", None, "unknown_pack"),
+            ("segment", "s1", 1, None), ("segment", "s1", 2, None), ("segment", "s1", 3, None), ("segment", "s2", None, "unknown_active_segment"), ("segment", "s9", None, "unknown_active_segment"), ("shelf", "x", None, "unknown_kind"),
+            ("topic", "1", 1, None), ("topic", "9", None, "unknown_topic"), ("topic", None, None, "unknown_topic")]
+    assert got == sorted(want, key=str)
+
+
+def test_an_anchor_changes_the_reading_order(spark):
+    rows = [("t", "a", 1, 2, 5, 1), ("t", "b", 0, 3, None, 1), ("t", "c", 0, 1, 9, 1), ("t", "d", 0, 1, 50, 1), ("t", "e", None, 0, 99, 1)]
+    eligible = spark.createDataFrame(rows, "topic_id string, record_id string, tier int, affinity int, citations int, tokens int")
+    terminal = spark.createDataFrame([], "topic_id string, record_id string")
+
+    def order(anchored):
+        return [r.record_id for r in N.reading_plan(eligible, terminal, 100, anchored=anchored).orderBy("rn").collect()]
+
+    assert order(False) == ["d", "c", "b", "a"]
+    assert order(True) == ["c", "d", "a", "b"]
+
+
+def test_titles_sort_as_in_a_dictionary(spark):
+    from corroborate.operators.reports import collated_positions
+
+    titles = ["zeta", "Éclair", "eclair", "Zebra", "a-b", "ab", "a b", "_x", "1", None, "ab"]
+    rows = spark.createDataFrame([(0, i, t) for i, t in enumerate(titles)], "k int, i int, title string")
+    got = [r.title for r in collated_positions(rows, ["k"], "title", "i").orderBy("position").collect()]
+    assert got == ["_x", "1", "a b", "a-b", "ab", "ab", "eclair", "Éclair", "Zebra", "zeta", None]
+
+
+@pytest.mark.parametrize("block", [8, 4096])
+def test_rolling_means_cross_blocks(spark, monkeypatch, block):
+    from corroborate.operators import novelty as L
+
+    monkeypatch.setattr(L, "BLOCK_ROWS", block)
+    rng = random.Random(3)
+    rates = {k: [rng.randrange(10_000) / 10_000 for _ in range(n)] for k, n in (("a", 100), ("b", 2), ("c", 3))}
+    rows = [(k, i, v) for k, vs in rates.items() for i, v in enumerate(vs, 1)]
+    got = {(r.k, r.i): r.out for r in L.rolling_mean(spark.createDataFrame(rows, "k string, i long, v double"), ["k"], "i", "v", "out", 3).collect()}
+    want = {(k, i): None if i < 3 else int(sum(round(v * 10_000) for v in vs[i - 3 : i]) / 3 + 0.5) / 10_000 for k, vs in rates.items() for i in range(1, len(vs) + 1)}
+    assert got == want

@@ -93,6 +93,12 @@ def _written(docs: DataFrame, path: str) -> DataFrame:
     return docs.sparkSession.read.schema(docs.schema).parquet(path)
 
 
+def _stored(df: DataFrame, path: str) -> DataFrame:
+    """``df`` written to compressed files and read again."""
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def _chunks(batch: pa.RecordBatch) -> Iterator[tuple[int, pa.RecordBatch]]:
     """(chunk, rows) for each run of rows of one chunk."""
     chunk = batch.column("chunk").to_numpy()
@@ -450,13 +456,15 @@ def links(active: DataFrame, num: int, den: int) -> DataFrame:
     What large postings leave goes on to smaller ones; what is still large after
     ``STAR_ROUNDS`` is compared block by block.
     """
-    postings = cut_lineage(_first_postings(active, num, den))
+    path = scratch_path(active.sparkSession, "postings")
+    postings = _stored(_first_postings(active, num, den), f"{path}/first")
     roots, done, direct, edges = None, None, None, None
     for level in range(STAR_ROUNDS + 1):
         if roots is None:  # nothing is connected yet
             members = postings.withColumn("root", F.col("signature"))
         else:
-            members = cut_lineage(postings.join(roots, "signature", "left").withColumn("root", F.coalesce("root", "signature")))
+            members = postings.join(roots, "signature", "left").withColumn("root", F.coalesce("root", "signature"))
+            members = _stored(members, f"{path}/level-{level}")
         groups = cut_lineage(_distinct_groups(members))
         small = F.lit(level == STAR_ROUNDS) | (F.col("m") <= SMALL_POSTING)
         met = cut_lineage(_compare_blocks(members, groups.filter(small), active, num, den))
@@ -476,6 +484,7 @@ def links(active: DataFrame, num: int, den: int) -> DataFrame:
         below = done.join(star.select("hub", "signature"), ["hub", "signature"], "left_semi")
         postings = _next_postings(below, num, den)
         roots = connected_components(edges).withColumnRenamed("node", "signature")
+    remove_scratch(active.sparkSession, path)  # links stand in checkpoints
     return edges
 
 

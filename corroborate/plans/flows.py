@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import timedelta
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,7 +11,7 @@ from corroborate.functions import text as X
 from corroborate.plans.analytics import DETAIL_SQL, _detail, weekly_attempts
 from corroborate.plans.registry import Tables, query
 from corroborate.plans.views import RECORDS_SQL, norm_sql, records
-from corroborate.session import scratch_path
+from corroborate.session import cut_lineage, scratch_path
 from corroborate.sources import readers, sinks
 from corroborate.streaming import incremental as I
 
@@ -217,10 +219,43 @@ def run_stream(t: Tables, stream: DataFrame, name: str, mode: str, keys: list[st
     folders, so a replayed batch replaces itself.
     """
     out, log = scratch_path(t.spark, name), scratch_path(t.spark, f"{name}-log")
+    _drain(stream, out, log, mode, keys)
+    return I.read_upserts(t.spark, out, keys) if keys else t.spark.read.parquet(out).drop("batch")
+
+
+def _drain(stream: DataFrame, out: str, log: str, mode: str, keys: list[str] | None) -> None:
     write = I.upsert_batch(out, keys, keys[0]) if keys else _append_batch(out)
     run = stream.writeStream.outputMode(mode).option("checkpointLocation", log).foreachBatch(write)
     run.trigger(availableNow=True).start().awaitTermination()
-    return I.read_upserts(t.spark, out, keys) if keys else t.spark.read.parquet(out).drop("batch")
+
+
+SLICES = 3  # arrivals land in this many steps, each a micro-batch of several files
+
+
+def sliced(df: DataFrame, slices: int) -> DataFrame:
+    """``slice`` 0, 1, ...: equal spans of the whole seconds ``arrival`` (null: the first)."""
+    low, high = df.agg(F.min("arrival"), F.max("arrival")).head()
+    at = F.expr(f"(arrival - {low or 0}) * {slices} div {(high or 0) - (low or 0) + 1}")
+    return cut_lineage(df.withColumn("slice", F.coalesce(at, F.lit(0))))
+
+
+def run_out_of_order(t: Tables, rows: DataFrame, build, name: str, keys: list[str], event_time: str, end: str) -> DataFrame:
+    """Run ``build(stream)`` over rows that land up to two days after their event time.
+
+    They land in slices, in no order inside one; each is read after a restart. A last row
+    without key, of event time ``end``, moves the watermark past everything.
+    """
+    src, out, log = (scratch_path(t.spark, f"{name}-{part}") for part in ("in", "out", "log"))
+    jitter = F.pmod(F.xxhash64(*rows.columns), F.lit(2 * 86400 - 60))
+    arriving = sliced(rows.withColumn("arrival", F.unix_seconds(event_time) + jitter), SLICES)
+    last = t.spark.range(1).select(
+        *[F.lit(end if f.name == event_time else None).cast(f.dataType).alias(f.name) for f in rows.schema]
+    )
+    parts = [arriving.filter(F.col("slice") == at).select(rows.columns).repartition(4) for at in range(SLICES)]
+    for part in [*parts, last]:
+        part.write.mode("append").parquet(src)
+        _drain(build(t.spark.readStream.schema(rows.schema).parquet(src)), out, log, "update", keys)
+    return I.read_upserts(t.spark, out, keys)
 
 
 def _append_batch(path: str):
@@ -261,8 +296,29 @@ def stream_spend(t: Tables):
 )
 def stream_freshness(t: Tables):
     e = t.events.select(F.col("user_id").alias("source_id"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("status"))
-    newest = run_stream(t, I.stream_freshness(landed(t, e, "beats"), "ts"), "health", "update", ["source_id"])
-    return I.stale_to_unknown(newest, F.to_timestamp(F.lit("2024-01-31"))).select("source_id", "status")
+    newest = run_out_of_order(t, e, lambda s: I.stream_freshness(s, "ts", "2 days"), "health", ["source_id"], "ts", "2024-02-02")
+    return newest.select(F.col("source_id").cast("bigint").alias("source_id"), "status")
+
+
+@query(
+    "stream_late_rows",
+    """WITH a AS (SELECT event_id, ts, CAST(floor(epoch(ts)) AS BIGINT) + event_id % 86400 + CASE WHEN event_id % 50 = 0 THEN 864000 ELSE 0 END AS arrival FROM events),
+    b AS (SELECT event_id, ts, (arrival - min(arrival) OVER ()) * 3 // (max(arrival) OVER () - min(arrival) OVER () + 1) AS batch FROM a),
+    m AS (SELECT batch, max(max(ts)) OVER (ORDER BY batch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS mark FROM b GROUP BY 1)
+    SELECT event_id, CAST(batch AS INTEGER) AS batch, coalesce(ts < mark - INTERVAL 2 DAY, false) AS late FROM b JOIN m USING (batch)""",
+)
+def stream_late_rows(t: Tables):
+    """Every row is either on time or late; three arrivals, each after a restart."""
+    ts = F.col("ts").cast("timestamp")
+    arrival = F.unix_seconds(ts) + F.col("event_id") % 86400 + F.when(F.col("event_id") % 50 == 0, 864000).otherwise(0)
+    rows = sliced(t.events.select("event_id", ts.alias("ts"), arrival.alias("arrival")), 3)
+    src, out, log = (scratch_path(t.spark, f"late-{part}") for part in ("in", "out", "log"))
+    for at in range(3):
+        rows.filter(F.col("slice") == at).select("event_id", "ts").repartition(4).write.mode("append").parquet(src)
+        stream = t.spark.readStream.schema("event_id bigint, ts timestamp").parquet(src)
+        run = stream.writeStream.option("checkpointLocation", log).foreachBatch(I.split_late(out, "ts", timedelta(days=2)))
+        run.trigger(availableNow=True).start().awaitTermination()
+    return I.read_split(t.spark, out).select("event_id", "batch", "late")
 
 
 @query(
@@ -272,8 +328,8 @@ def stream_freshness(t: Tables):
     SELECT topic_id, segment, count_if(last IS NULL OR week > last) AS streak, min(week) FILTER (WHERE last IS NULL OR week > last) AS streak_since, count(*) AS attempts FROM w JOIN l USING (topic_id, segment) GROUP BY 1, 2""",
 )
 def stream_streak(t: Tables):
-    stream = I.stream_streak(landed(t, weekly_attempts(t), "attempts", 1))
-    out = run_stream(t, stream, "streaks", "update", ["topic_id", "segment"])
+    weekly = weekly_attempts(t).withColumn("at", F.to_timestamp("week"))
+    out = run_out_of_order(t, weekly, lambda s: I.stream_streak(s, "at", "2 days"), "streaks", ["topic_id", "segment"], "at", "2024-03-01")
     return out.withColumn("topic_id", F.col("topic_id").cast("bigint"))
 
 
@@ -284,8 +340,10 @@ def stream_streak(t: Tables):
     SELECT topic_id, min(step) AS step, arg_min(rolling, step) AS rolling_rate FROM r WHERE step >= 30 AND rolling < 0.03 GROUP BY 1""",
 )
 def stream_saturation(t: Tables):
-    e = t.events.select(F.col("user_id").alias("topic_id"), F.col("event_id").alias("query_index"), (F.floor("value") / 1000).alias("novelty_rate"))
-    out = run_stream(t, I.stream_saturation(landed(t, e, "rates", 1), 10, 30, 0.03), "stops", "update", ["topic_id"])
+    rate = (F.floor("value") / 1000).alias("novelty_rate")
+    e = t.events.select(F.col("user_id").alias("topic_id"), F.col("event_id").alias("query_index"), rate, F.col("ts").cast("timestamp").alias("ts"))
+    judge = lambda s: I.stream_saturation(s, "ts", "2 days", 10, 30, 0.03)
+    out = run_out_of_order(t, e, judge, "stops", ["topic_id"], "ts", "2024-03-01")
     return out.withColumn("topic_id", F.col("topic_id").cast("bigint"))
 
 

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import bisect
+import json
 import sys
 from collections.abc import Iterator
+from datetime import timedelta
 
 import pandas as pd
 from pyspark import cloudpickle
@@ -35,15 +38,46 @@ def stream_spend(stream: DataFrame, event_time: str, amount: str, delay: str, ca
     )
 
 
-def stream_freshness(stream: DataFrame, event_time: str, delay: str = "12 hours") -> DataFrame:
-    """Newest heartbeat per source; rows older than the watermark no longer count."""
-    newest = F.max_by(F.struct(event_time, "status"), F.struct(event_time, "status")).alias("b")
-    return (
-        stream.withWatermark(event_time, delay)
-        .groupBy("source_id")
-        .agg(newest)
-        .select("source_id", F.col(f"b.{event_time}").alias("checked_at"), F.col("b.status").alias("status"))
+BEAT_OUT = "source_id string, checked_millis bigint, status string"
+BEAT_STATE = "checked_millis bigint, status string"
+
+
+def stream_freshness(stream: DataFrame, event_time: str, delay: str = "12 hours", hours: int = 12) -> DataFrame:
+    """Newest heartbeat per source (``source_id``, ``status``); ``unknown`` once it is ``hours`` old.
+
+    State is one row per source that still reports: a timer on event time writes the row
+    ``unknown`` and removes the state. Age counts whole seconds. Of beats of one moment the
+    greatest status counts; rows behind the watermark are ignored (``split_late`` keeps them
+    aside). A row without source moves the watermark only.
+    """
+
+    def judge(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if key[0] is None:
+            return
+        newest = tuple(state.get) if state.exists else (-1, "")
+        for rows in batches:
+            for beat in zip(rows["checked_millis"], rows["status"]):
+                newest = max(newest, (int(beat[0]), beat[1]))
+        due = newest[0] // 1000 * 1000 + hours * 3_600_000
+        if state.hasTimedOut or due <= state.getCurrentWatermarkMs():
+            newest = (newest[0], "unknown")
+            if state.exists:
+                state.remove()
+        else:
+            state.update(newest)
+            state.setTimeoutTimestamp(due - 1)
+        yield pd.DataFrame([(key[0], *newest)], columns=["source_id", "checked_millis", "status"])
+
+    beats = stream.withWatermark(event_time, delay).select(
+        F.col("source_id").cast("string").alias("source_id"),
+        event_time,
+        F.unix_millis(event_time).alias("checked_millis"),
+        F.coalesce("status", F.lit("unknown")).alias("status"),
     )
+    judged = beats.groupBy("source_id").applyInPandasWithState(
+        judge, BEAT_OUT, BEAT_STATE, "update", GroupStateTimeout.EventTimeTimeout
+    )
+    return judged.select("source_id", F.timestamp_millis("checked_millis").alias("checked_at"), "status")
 
 
 def stale_to_unknown(newest: DataFrame, now, hours: int = 12) -> DataFrame:
@@ -52,70 +86,149 @@ def stale_to_unknown(newest: DataFrame, now, hours: int = 12) -> DataFrame:
 
 
 STREAK_OUT = "topic_id string, segment string, streak bigint, streak_since string, attempts bigint"
-STREAK_STATE = "streak bigint, since string, last string, attempts bigint"
+STREAK_STATE = "streak bigint, since string, last string, attempts bigint, pending string"
 
 
-def _streak(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    streak, since, last, attempts = state.get if state.exists else (0, None, "", 0)
-    rows = pd.concat(list(batches)).sort_values("week")
-    for week, low in zip(rows["week"], rows["low_novelty"]):
-        if week <= last:
-            continue
+def _closed(pending: list, watermark: int) -> int:
+    """Length of the prefix of sorted pending rows (event millis first) that no row can precede any more."""
+    return bisect.bisect_right(pending, watermark, key=lambda row: row[0])
+
+
+def _follow(fold: tuple, pending: list) -> tuple:
+    streak, since, last, attempts = fold
+    for _, week, low in pending:
         streak, since = (streak + 1, since if streak else week) if low else (0, None)
         last, attempts = week, attempts + 1
-    state.update((streak, since, last, attempts))
+    return streak, since, last, attempts
+
+
+def _streak(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    if key[0] is None:
+        return
+    *fold, kept = state.get if state.exists else (0, None, "", 0, "[]")
+    weeks = {week: (millis, week, low) for millis, week, low in json.loads(kept)}
+    for rows in batches:
+        for millis, week, low in zip(rows["millis"], rows["week"], rows["low_novelty"]):
+            if week > fold[2]:
+                weeks[week] = (int(millis), week, bool(low))
+    pending = sorted(weeks.values())
+    ready = _closed(pending, state.getCurrentWatermarkMs())
+    fold, pending = _follow(tuple(fold), pending[:ready]), pending[ready:]
+    state.update((*fold, json.dumps(pending)))
+    if pending:
+        state.setTimeoutTimestamp(pending[0][0])
+    streak, since, _, attempts = _follow(fold, pending)
     yield pd.DataFrame(
-        [(key[0], key[1], streak, since, attempts)],
-        columns=["topic_id", "segment", "streak", "streak_since", "attempts"],
+        [(*key, streak, since, attempts)], columns=["topic_id", "segment", "streak", "streak_since", "attempts"]
     )
 
 
-def stream_streak(stream: DataFrame) -> DataFrame:
-    """Running low-novelty streak per (topic, segment).
+def stream_streak(stream: DataFrame, event_time: str, delay: str) -> DataFrame:
+    """Running low-novelty streak per (topic, segment), in order of weeks across micro-batches.
 
-    One state row per target. A week at or before the last one seen is ignored
-    here; a replayed week is replaced by ``upsert_batch`` in the attempts table.
-    A micro-batch holds the weekly rows of one target, at most one per week.
+    ``stream``: topic_id, segment, week (sorts as text), low_novelty (null: not low) and
+    ``event_time``, which rises with the week. Rows may come in any order within ``delay``:
+    weeks ahead of the watermark wait in the state, those behind it are folded into four
+    numbers, so the state holds the weeks of one delay at most. Every change writes the
+    streak over all weeks seen so far. A replayed week that still waits replaces its row; one
+    already folded is ignored. A row without topic moves the watermark only.
     """
-    weekly = stream.select(F.col("topic_id").cast("string").alias("topic_id"), "segment", "week", "low_novelty")
+    weekly = stream.withWatermark(event_time, delay).select(
+        F.col("topic_id").cast("string").alias("topic_id"),
+        "segment",
+        event_time,
+        F.unix_millis(event_time).alias("millis"),
+        F.coalesce("week", F.lit("")).alias("week"),
+        F.coalesce("low_novelty", F.lit(False)).alias("low_novelty"),
+    )
     return weekly.groupBy("topic_id", "segment").applyInPandasWithState(
-        _streak, STREAK_OUT, STREAK_STATE, "update", GroupStateTimeout.NoTimeout
+        _streak, STREAK_OUT, STREAK_STATE, "update", GroupStateTimeout.EventTimeTimeout
     )
 
 
 STOP_OUT = "topic_id string, step bigint, rolling_rate double"
-STOP_STATE = "recent string, step bigint, stopped boolean"
+STOP_STATE = "recent string, step bigint, stopped boolean, pending string"
 
 
-def stream_saturation(stream: DataFrame, window: int, minimum_queries: int, threshold: float) -> DataFrame:
+def stream_saturation(
+    stream: DataFrame, event_time: str, delay: str, window: int, minimum_queries: int, threshold: float
+) -> DataFrame:
     """One stop row per topic once the rolling novelty rate falls below ``threshold``.
 
-    State = the last ``window`` rates; queries of a topic arrive in index order.
+    ``stream``: topic_id, query_index, novelty_rate (null: 0) and ``event_time``; queries of
+    a topic count in order of (event time, index). Rows may come in any order within
+    ``delay``: those ahead of the watermark wait in the state, those behind it are folded
+    into the last ``window`` rates. A stop is written when nothing can precede it any more,
+    so it is never taken back; a stopped topic keeps a flag and waits for nothing. A row
+    without topic moves the watermark only.
     """
 
     def judge(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        recent, step, stopped = state.get if state.exists else ("", 0, False)
-        units = [int(u) for u in recent.split(",") if u]
-        out = []
-        rows = pd.concat(list(batches)).sort_values("query_index")
-        for rate in rows["novelty_rate"]:
-            if stopped:
-                break
+        if key[0] is None:
+            return
+        recent, step, stopped, kept = state.get if state.exists else ("", 0, False, "[]")
+        if stopped:
+            return
+        pending = json.loads(kept)
+        for rows in batches:
+            pending += [[int(m), int(q), float(r)] for m, q, r in zip(rows["millis"], rows["query_index"], rows["novelty_rate"])]
+        pending.sort()
+        ready = _closed(pending, state.getCurrentWatermarkMs())
+        units, out = [int(u) for u in recent.split(",") if u], []
+        for _, _, rate in pending[:ready]:
             step += 1
-            units = [*units[-(window - 1):], int(rate * 10000 + 0.5)] if window > 1 else [int(rate * 10000 + 0.5)]
+            units = [*units, int(rate * 10000 + 0.5)][-window:]
             rolling = int(sum(units) / window + 0.5) / 10000
             if len(units) == window and step >= minimum_queries and rolling < threshold:
-                stopped = True
                 out.append((key[0], step, rolling))
-        state.update((",".join(map(str, units)), step, stopped))
-        yield pd.DataFrame(out, columns=["topic_id", "step", "rolling_rate"])
-
-    rates = stream.select(F.col("topic_id").cast("string").alias("topic_id"), "query_index", "novelty_rate")
+                break
+        pending = [] if out else pending[ready:]
+        state.update((",".join(map(str, units)), step, bool(out), json.dumps(pending)))
+        if pending:
+            state.setTimeoutTimestamp(pending[0][0])
+        if out:
+            yield pd.DataFrame(out, columns=["topic_id", "step", "rolling_rate"])
+
+    rates = stream.withWatermark(event_time, delay).select(
+        F.col("topic_id").cast("string").alias("topic_id"),
+        event_time,
+        F.unix_millis(event_time).alias("millis"),
+        F.coalesce("query_index", F.lit(-1)).cast("bigint").alias("query_index"),
+        F.coalesce("novelty_rate", F.lit(0.0)).alias("novelty_rate"),
+    )
     return rates.groupBy("topic_id").applyInPandasWithState(
-        judge, STOP_OUT, STOP_STATE, "update", GroupStateTimeout.NoTimeout
+        judge, STOP_OUT, STOP_STATE, "update", GroupStateTimeout.EventTimeTimeout
     )
 
 
+def split_late(path: str, event_time: str, delay: timedelta):
+    """foreachBatch writer that parts rows behind the watermark from the rest.
+
+    The watermark of a batch is the newest event time of all earlier batches less ``delay``;
+    it lies beside the rows, one row a batch, so it outlives a restart, and a retried batch
+    reads the mark of the batch before and overwrites its own folders. Rows go to
+    ``rows/batch=.../late=false|true``. A row without event time is not late. The batch is
+    scanned once: its own mark is taken from what was written.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        mark = spark.read.parquet(f"{path}/marks/batch={batch_id - 1}").head()[0] if batch_id else None
+        limit = F.lit(mark - delay if mark else None).cast("timestamp")
+        late = F.coalesce(F.col(event_time) < limit, F.lit(False))
+        batch.withColumn("late", late).write.mode("overwrite").partitionBy("late").parquet(f"{path}/rows/batch={batch_id}")
+        newest = spark.read.schema(batch.schema).parquet(f"{path}/rows/batch={batch_id}").agg(F.max(event_time).alias("mark"))
+        newest = newest.select(F.greatest("mark", F.lit(mark).cast("timestamp")).alias("mark"))
+        newest.write.mode("overwrite").parquet(f"{path}/marks/batch={batch_id}")
+
+    return write
+
+
+def read_split(spark, path: str) -> DataFrame:
+    """All rows ``split_late`` wrote, with ``batch`` and ``late``."""
+    return spark.read.parquet(f"{path}/rows").withColumn("late", F.col("late").cast("boolean"))
+
+
 def upsert_batch(path: str, keys: list[str], order: str):
     """foreachBatch writer: a replayed key replaces its earlier row.
 

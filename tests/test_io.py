@@ -1,4 +1,6 @@
+import datetime as dt
 import json
+from datetime import timedelta
 
 import pytest
 from pyspark.sql import functions as F
@@ -70,14 +72,69 @@ def test_write_scoped_refuses_a_broken_grid(spark, tmp_path):
     assert {(r.row, r.score) for r in spark.read.parquet(path).collect()} == {("r1", 7), ("r2", 1)}
 
 
-def test_streak_over_several_batches(spark, tmp_path):
-    weeks = [("t", "s", f"2024-01-{d:02d}", low) for d, low in [(1, True), (8, False), (15, True), (22, True)]]
+def run_batches(spark, tmp_path, parts, schema, build, keys):
+    """Land the parts one after the other, a restart between them, and read the upserted result."""
     src, out = str(tmp_path / "in"), str(tmp_path / "out")
-    schema = "topic_id string, segment string, week string, low_novelty boolean"
-    for part in (weeks[:2], weeks[2:], [("t", "s", "2024-01-22", True)]):
+    for part in parts:
         spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(src)
-        run = I.stream_streak(spark.readStream.schema(schema).parquet(src)).writeStream.outputMode("update")
-        run = run.option("checkpointLocation", str(tmp_path / "log")).foreachBatch(I.upsert_batch(out, ["topic_id", "segment"], "attempts"))
-        run.trigger(availableNow=True).start().awaitTermination()
-    row = I.read_upserts(spark, out, ["topic_id", "segment"]).first()
-    assert (row.streak, row.streak_since, row.attempts) == (2, "2024-01-15", 4)
+        stream = build(spark.readStream.schema(schema).parquet(src).withColumn("at", F.to_timestamp("at")))
+        run = stream.writeStream.outputMode("update").option("checkpointLocation", str(tmp_path / "log"))
+        run.foreachBatch(I.upsert_batch(out, keys, keys[0])).trigger(availableNow=True).start().awaitTermination()
+    return [tuple(r) for r in I.read_upserts(spark, out, keys).collect()]
+
+
+STREAK = "topic_id string, segment string, week string, low_novelty boolean, at string"
+
+
+def streak(stream):
+    return I.stream_streak(stream, "at", "25 days")
+
+
+def test_streak_over_several_batches(spark, tmp_path):
+    weeks = [("t", "s", w := f"2024-01-{d:02d}", low, w) for d, low in [(1, True), (8, False), (15, True), (22, True)]]
+    parts = [[weeks[3], weeks[1]], [weeks[2], weeks[0]], [weeks[3]]]
+    got = run_batches(spark, tmp_path, parts, STREAK, streak, ["topic_id", "segment"])
+    assert got == [("t", "s", 2, "2024-01-15", 4)]
+
+
+def test_streak_replaces_waiting_weeks_and_drops_late_ones(spark, tmp_path):
+    def row(week, low):
+        return ("t", "s", week, low, week)
+
+    parts = [[row("2024-01-01", True), row("2024-01-08", True)], [row("2024-01-08", None)], [(None, None, None, None, "2024-03-01")]]
+    parts += [[row("2024-01-02", True)], [row("2024-03-04", True)]]
+    got = run_batches(spark, tmp_path, parts, STREAK, streak, ["topic_id", "segment"])
+    assert got == [("t", "s", 1, "2024-03-04", 3)]
+
+
+def test_saturation_waits_for_earlier_queries(spark, tmp_path):
+    rates = [0.9, 0.5, 0.1, 0.0, 0.0, 0.9]
+    rows = [("t", i, r, f"2024-01-{i + 1:02d}") for i, r in enumerate(rates)]
+    closing = [(None, None, None, "2024-03-01")]
+    parts = [[rows[i] for i in (3, 2, 4)], [rows[i] for i in (1, 5, 0)], closing, [("t", 6, 0.0, "2024-03-02")]]
+    build = lambda s: I.stream_saturation(s, "at", "10 days", 2, 3, 0.2)
+    got = run_batches(spark, tmp_path, parts, "topic_id string, query_index bigint, novelty_rate double, at string", build, ["topic_id"])
+    assert got == [("t", 4, 0.05)]
+
+
+def test_freshness_expires_and_comes_back(spark, tmp_path):
+    def run(parts, name):
+        build = lambda s: I.stream_freshness(s.withColumnRenamed("at", "ts"), "ts", "1 hour")
+        got = run_batches(spark, tmp_path / name, parts, "source_id string, status string, at string", build, ["source_id"])
+        return {r[0]: (str(r[1]), r[2]) for r in got}
+
+    first = [("a", "down", "2024-01-01 00:00:00"), ("a", "up", "2024-01-01 00:00:00"), ("b", None, "2024-01-01 06:00:00")]
+    closing = [(None, None, "2024-01-01 13:00:00")]
+    assert run([first, closing], "x") == {"a": ("2024-01-01 00:00:00", "unknown"), "b": ("2024-01-01 06:00:00", "unknown")}
+    later = [("a", "down", "2024-01-01 14:00:00"), ("b", "up", "2024-01-01 05:00:00")]
+    assert run([first, closing, later], "y")["a"] == ("2024-01-01 14:00:00", "down")
+
+
+def test_late_rows_go_aside_and_a_retry_changes_nothing(spark, tmp_path):
+    write = I.split_late(str(tmp_path), "at", timedelta(hours=1))
+    at = lambda hour: dt.datetime(2024, 1, 1, hour)
+    batches = [[(1, at(10)), (2, None)], [(3, at(8)), (4, at(9)), (5, at(12))], [(6, at(9)), (7, None)], [(8, at(11))]]
+    for n in (0, 1, 1, 2, 3):
+        write(spark.createDataFrame(batches[n], "id int, at timestamp"), n)
+    got = {r.id: r.late for r in I.read_split(spark, str(tmp_path)).collect()}
+    assert got == {1: False, 2: False, 3: True, 4: False, 5: False, 6: True, 7: False, 8: False}

@@ -371,8 +371,34 @@ def stream_upsert(t: Tables):
 )
 def stream_harvest(t: Tables):
     """Landed query results become new records once, with one novelty row per query."""
-    out = scratch_path(t.spark, "harvest")
+    out, log = scratch_path(t.spark, "harvest"), scratch_path(t.spark, "harvest-log")
     hits = t.events.select((F.col("user_id") % 10).alias("query_index"), F.floor(F.col("value") * 10).alias("key"))
-    run = landed(t, hits, "hits").writeStream.option("checkpointLocation", scratch_path(t.spark, "harvest-log"))
-    run.foreachBatch(I.harvest_batch(out, "key")).trigger(availableNow=True).start().awaitTermination()
-    return t.spark.read.parquet(f"{out}/novelty").drop("batch")
+    _harvest(landed(t, hits, "hits"), out, log)
+    return I.read_harvest(t.spark, out)
+
+
+def _harvest(stream: DataFrame, out: str, log: str) -> None:
+    run = I.stream_harvest(stream, "key").writeStream.option("checkpointLocation", log)
+    run.foreachBatch(I.harvest_batch(out)).trigger(availableNow=True).start().awaitTermination()
+
+
+@query(
+    "stream_harvest_spanning",
+    """WITH a AS (SELECT user_id % 10 AS q, CAST(floor(value * 10) AS BIGINT) AS key, CAST(floor(epoch(ts)) AS BIGINT) AS sec FROM events),
+    k AS (SELECT q, key, (sec - min(sec) OVER ()) * 3 // (max(sec) OVER () - min(sec) OVER () + 1) AS batch FROM a),
+    f AS (SELECT key, arg_min(q, (batch, q)) AS q FROM k GROUP BY 1)
+    SELECT q AS query_index, (SELECT count(DISTINCT key) FROM k WHERE k.q = x.q) AS unique_returned, (SELECT count(*) FROM f WHERE f.q = x.q) AS records_added FROM (SELECT DISTINCT q FROM k) x""",
+)
+def stream_harvest_spanning(t: Tables):
+    """The hits of every query come in three micro-batches, each after a restart."""
+    hits = t.events.select(
+        (F.col("user_id") % 10).alias("query_index"),
+        F.floor(F.col("value") * 10).alias("key"),
+        F.unix_seconds(F.col("ts").cast("timestamp")).alias("arrival"),
+    )
+    rows = sliced(hits, SLICES)
+    src, out, log = (scratch_path(t.spark, f"harvest-{part}") for part in ("in", "out", "log"))
+    for at in range(SLICES):
+        rows.filter(F.col("slice") == at).select("query_index", "key").repartition(4).write.mode("append").parquet(src)
+        _harvest(t.spark.readStream.schema("query_index bigint, key bigint").parquet(src), out, log)
+    return I.read_harvest(t.spark, out)

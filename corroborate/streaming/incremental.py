@@ -8,14 +8,17 @@ import sys
 from collections.abc import Iterator
 from datetime import timedelta
 
+import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import BooleanType, StructField, StructType
 
 from corroborate.functions.scalars import seconds
 from corroborate.operators.skew import latest_per_key
+from corroborate.session import cut_lineage
 
 
 # Workers receive the functions of this module by value and need no copy of the package.
@@ -247,28 +250,56 @@ def read_upserts(spark, path: str, keys: list[str]) -> DataFrame:
     return latest_per_key(spark.read.parquet(path), keys, ["batch"]).drop("batch")
 
 
-def harvest_batch(path: str, dedupe_key: str):
-    """foreachBatch writer of landed hits: new records and one novelty row per query.
+def stream_harvest(stream: DataFrame, dedupe_key: str) -> DataFrame:
+    """Distinct (query, key) hits, ``added`` for the first query that returned the key.
 
-    Keys known from earlier batches are read back from the written table, so a
-    restart repeats nothing; a retried batch overwrites its own folder.
+    ``stream``: query_index, ``dedupe_key`` and further columns; a hit without query or key is
+    left out. First means in the earliest micro-batch, there the smallest query_index. Two states, so
+    history is never read again: the pairs seen, which spreads a frequent key over its
+    queries, then one flag per key. Of repeated pairs any row stays.
+    """
+    hits = stream.filter(F.col("query_index").isNotNull() & F.col(dedupe_key).isNotNull())
+    schema = StructType([*stream.schema.fields, StructField("added", BooleanType())])
+
+    def first(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held, least, at = None, None, 0
+        for rows in batches:
+            rows = rows.assign(added=False)
+            asked = rows["query_index"].to_numpy()
+            if not state.exists and len(asked) and (held is None or asked.min() < least):
+                if held is not None:
+                    yield held
+                held, least, at = rows, asked.min(), asked.argmin()
+            else:
+                yield rows
+        if held is not None:
+            state.update((True,))
+            held["added"] = np.arange(len(held)) == at
+            yield held
+
+    return hits.dropDuplicates(["query_index", dedupe_key]).groupBy(dedupe_key).applyInPandasWithState(
+        first, schema, "known boolean", "append", GroupStateTimeout.NoTimeout
+    )
+
+
+def harvest_batch(path: str):
+    """foreachBatch writer of ``stream_harvest``: new records, and what each query gained in the batch.
+
+    A retried batch overwrites its own folders.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        first = latest_per_key(batch.withColumn("_first", -F.col("query_index")), [dedupe_key], ["_first"]).drop("_first")
-        try:
-            known = spark.read.parquet(f"{path}/records").filter(F.col("batch") < batch_id).select(dedupe_key)
-            fresh = first.join(known.distinct(), dedupe_key, "left_anti")
-        except Exception as error:
-            if "PATH_NOT_FOUND" not in str(error):
-                raise
-            fresh = first
-        fresh.write.mode("overwrite").parquet(f"{path}/records/batch={batch_id}")
-        written = spark.read.parquet(f"{path}/records/batch={batch_id}")
-        added = written.groupBy("query_index").agg(F.count(F.lit(1)).alias("records_added"))
-        unique = batch.groupBy("query_index").agg(F.countDistinct(dedupe_key).alias("unique_returned"))
-        rows = unique.join(added, "query_index", "left").na.fill(0, ["records_added"])
-        rows.write.mode("overwrite").parquet(f"{path}/novelty/batch={batch_id}")
+        pairs = cut_lineage(batch)
+        pairs.filter("added").drop("added").write.mode("overwrite").parquet(f"{path}/records/batch={batch_id}")
+        gained = pairs.groupBy("query_index").agg(
+            F.count(F.lit(1)).alias("unique_returned"), F.count_if("added").alias("records_added")
+        )
+        gained.write.mode("overwrite").parquet(f"{path}/novelty/batch={batch_id}")
 
     return write
+
+
+def read_harvest(spark, path: str) -> DataFrame:
+    """One novelty row per query over all batches so far."""
+    gained = spark.read.parquet(f"{path}/novelty").groupBy("query_index")
+    return gained.agg(F.sum("unique_returned").alias("unique_returned"), F.sum("records_added").alias("records_added"))

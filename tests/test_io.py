@@ -138,3 +138,17 @@ def test_late_rows_go_aside_and_a_retry_changes_nothing(spark, tmp_path):
         write(spark.createDataFrame(batches[n], "id int, at timestamp"), n)
     got = {r.id: r.late for r in I.read_split(spark, str(tmp_path)).collect()}
     assert got == {1: False, 2: False, 3: True, 4: False, 5: False, 6: True, 7: False, 8: False}
+
+
+def test_harvest_credits_the_first_query_once(spark, tmp_path):
+    src, out = str(tmp_path / "in"), str(tmp_path / "out")
+    schema = "query_index bigint, key string, title string"
+    parts = [[(2, "a", "x"), (1, "a", None), (1, "a", "y"), (2, None, "z")], [(0, "a", "x"), (2, "b", "x"), (2, "a", "x")], [(None, "c", "x"), (2, "c", "x")]]
+    for part in parts:
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(src)
+        run = I.stream_harvest(spark.readStream.schema(schema).parquet(src), "key").writeStream
+        run = run.option("checkpointLocation", str(tmp_path / "log")).foreachBatch(I.harvest_batch(out))
+        run.trigger(availableNow=True).start().awaitTermination()
+    got = sorted(tuple(r) for r in I.read_harvest(spark, out).collect())
+    assert got == [(0, 1, 0), (1, 1, 1), (2, 3, 2)]
+    assert sorted(r.key for r in spark.read.parquet(f"{out}/records").collect()) == ["a", "b", "c"]

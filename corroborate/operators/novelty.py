@@ -108,47 +108,76 @@ def stop_reason(curve: DataFrame, minimum_queries: int, threshold: float, record
     )
 
 
-def exact_added(rows: DataFrame, row_id: str, keys: list[str], step: str) -> DataFrame:
+def exact_added(
+    rows: DataFrame, row_id: str, keys: list[str], step: str, topic: str | None = None, base: DataFrame | None = None
+) -> DataFrame:
     """Change in the number of merged records per step, counting later bridges.
 
     A row that links two earlier clusters lowers the count. Components after step
     t = key values and keyless rows seen by t, less the links of a minimum
     spanning forest (Boruvka rounds over the key graph) made by t.
+
+    With ``topic``, rows meet inside their topic only and one forest serves all topics; a null
+    topic is a topic. ``base`` (the columns of ``rows`` but the step) is known before the first step:
+    it can be bridged, but adds no step of its own. Every step with rows gives a row, also
+    of change 0. Rows without step are left out; repeated rows count once by their keys, keyless
+    ones by ``row_id``.
     """
-    tagged = [F.when(F.col(k).isNotNull(), F.concat(F.lit(f"{k}:"), F.col(k))) for k in keys]
-    flat = rows.select(row_id, F.col(step).alias("step"), F.array_compact(F.array(*tagged)).alias("ks"))
-    nodes = flat.select("step", F.explode("ks").alias("node")).groupBy("node").agg(F.min("step").alias("step"))
-    loose = flat.filter(F.size("ks") == 0).select("step")
+    group = [F.col(topic).alias("topic")] if topic else []
+    scope = F.coalesce(F.concat(F.lit("t"), F.col(topic).cast("string")), F.lit("")) if topic else F.lit("")
+    tagged = [F.when(F.col(k).isNotNull(), F.concat(scope, F.lit(f"\x01{k}:"), F.col(k))) for k in keys]
+
+    def flatten(df: DataFrame, at: Column) -> DataFrame:
+        return df.select(*group, F.col(row_id).alias("row"), at.alias("step"), F.array_compact(F.array(*tagged)).alias("ks"))
+
+    own = ["topic"] if topic else []
+    flat = flatten(rows.filter(F.col(step).isNotNull()), F.col(step))
+    start = flat.agg(F.min("step")).head()[0] if base is not None else None
+    if start is not None:
+        flat = flat.unionByName(flatten(base, F.lit(start - 1).cast(flat.schema["step"].dataType)))
+    flat = cut_lineage(flat)
+    nodes = flat.select(*own, "step", F.explode("ks").alias("node")).groupBy(*own, "node").agg(F.min("step").alias("step"))
+    loose = flat.filter(F.size("ks") == 0).groupBy(*own, "row").agg(F.min("step").alias("step"))
     edges = (
         flat.filter(F.size("ks") > 1)
-        .select("step", F.get("ks", F.lit(0)).alias("a"), F.explode("ks").alias("b"))
+        .select(*own, "step", F.get("ks", F.lit(0)).alias("a"), F.explode("ks").alias("b"))
         .filter("a <> b")
-        .groupBy("a", "b")
+        .groupBy(*own, "a", "b")
         .agg(F.min("step").alias("w"))
     )
-    forest = spanning_forest(edges)
-    born = nodes.select("step", F.lit(1).alias("d")).unionByName(loose.select("step", F.lit(1).alias("d")))
-    merged = forest.select(F.col("w").alias("step"), F.lit(-1).alias("d"))
-    return born.unionByName(merged).groupBy("step").agg(F.sum("d").alias("records_added"))
+    forest = spanning_forest(edges, own)
+    changes = (
+        nodes.select(*own, "step", F.lit(1).alias("d"))
+        .unionByName(loose.select(*own, "step", F.lit(1).alias("d")))
+        .unionByName(forest.select(*own, F.col("w").alias("step"), F.lit(-1).alias("d")))
+        .unionByName(flat.select(*own, "step", F.lit(0).alias("d")))
+    )
+    if start is not None:
+        changes = changes.filter(F.col("step") >= start)
+    added = changes.groupBy(*own, "step").agg(F.sum("d").alias("records_added"))
+    return added.withColumnRenamed("topic", topic) if topic else added
 
 
-def spanning_forest(edges: DataFrame) -> DataFrame:
-    """Minimum spanning forest of (a, b, w) edges; ties broken by the edge ends."""
-    live = cut_lineage(edges.select("a", "b", "w", F.col("a").alias("ca"), F.col("b").alias("cb")))
-    chosen = live.select("a", "b", "w").limit(0)
+def spanning_forest(edges: DataFrame, carried: list[str] = []) -> DataFrame:
+    """Minimum spanning forest of (a, b, w) edges; ties broken by the edge ends.
+
+    ``carried`` columns, which depend on the ends, stay with their edges.
+    """
+    live = cut_lineage(edges.select(*carried, "a", "b", "w", F.col("a").alias("ca"), F.col("b").alias("cb")))
+    chosen = live.select(*carried, "a", "b", "w").limit(0)
     while live.limit(1).count():
-        rank = F.struct("w", "a", "b")
+        rank = F.struct("w", "a", "b", *carried)
         ends = live.select(F.col("ca").alias("c"), rank.alias("e")).unionByName(
             live.select(F.col("cb").alias("c"), rank.alias("e"))
         )
         picked = cut_lineage(ends.groupBy("c").agg(F.min("e").alias("e")).select("e.*").distinct())
-        chosen = chosen.unionByName(picked.select("a", "b", "w"))
+        chosen = chosen.unionByName(picked.select(*carried, "a", "b", "w"))
         links = live.join(picked, ["a", "b", "w"], "left_semi").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
         roots = cut_lineage(connected_components(links))
         renamed = (
             live.join(roots.select(F.col("node").alias("ca"), F.col("root").alias("ra")), "ca", "left")
             .join(roots.select(F.col("node").alias("cb"), F.col("root").alias("rb")), "cb", "left")
-            .select("a", "b", "w", F.coalesce("ra", "ca").alias("ca"), F.coalesce("rb", "cb").alias("cb"))
+            .select(*carried, "a", "b", "w", F.coalesce("ra", "ca").alias("ca"), F.coalesce("rb", "cb").alias("cb"))
         )
         live = cut_lineage(renamed.filter("ca <> cb"))
     return chosen

@@ -681,6 +681,24 @@ def novelty_exact(t: Tables):
     return L.exact_added(rows, "record_id", ["doi", "openalex_id", "title_key"], "step")
 
 
+@query(
+    "novelty_exact_by_topic",
+    f"""WITH RECURSIVE {CLUSTER_SQL}, ts AS (SELECT unnest(range(0, 20)) AS t),
+    kk AS (SELECT topic_id, t, key, k.record_id FROM k JOIN keyed USING (record_id) JOIN ts ON query_index <= t),
+    s2 AS (SELECT topic_id, t, key, min(record_id) AS c FROM kk GROUP BY 1, 2, 3),
+    e2 AS (SELECT DISTINCT t, record_id AS a, c AS b FROM kk JOIN s2 USING (topic_id, t, key) UNION SELECT DISTINCT t, c, record_id FROM kk JOIN s2 USING (topic_id, t, key)),
+    r2 AS (SELECT topic_id, t, record_id AS node, record_id AS label FROM keyed JOIN ts ON query_index <= t UNION SELECT r.topic_id, r.t, e.b, r.label FROM r2 r JOIN e2 e ON e.t = r.t AND e.a = r.node),
+    n2 AS (SELECT topic_id, t, count(DISTINCT l) AS c FROM (SELECT topic_id, t, node, min(label) AS l FROM r2 GROUP BY 1, 2, 3) GROUP BY 1, 2),
+    d AS (SELECT topic_id, t, c - lag(c, 1, 0) OVER (PARTITION BY topic_id ORDER BY t) AS records_added FROM n2)
+    SELECT topic_id, CAST(t AS INTEGER) AS step, records_added FROM d WHERE t > 0 AND EXISTS (SELECT 1 FROM keyed q WHERE q.topic_id = d.topic_id AND q.query_index = d.t)""",
+)
+def novelty_exact_by_topic(t: Tables):
+    """The records of query 0 were known before; the others count by their topic."""
+    r = keyed_records(t)
+    rows = r.filter("query_index > 0").withColumn("step", F.col("query_index"))
+    return L.exact_added(rows, "record_id", ["doi", "openalex_id", "title_key"], "step", "topic_id", r.filter("query_index = 0"))
+
+
 @query(
     "topic_digest",
     f"""WITH {RECORDS_SQL}, c AS (SELECT topic_id, record_id, citations, year, {classify_sql(NOW_YEAR, DATA_MARKERS)} AS cats FROM records),

@@ -63,6 +63,33 @@ def test_exact_novelty_counts_bridges(spark):
     assert got.get(3, 0) == 0 and got.get(4, 0) == 0
 
 
+def exact_by_hand(rows, base):
+    """Merged records per topic before and after every step, by union-find over all rows so far."""
+    out = {}
+    for topic in {r[1] for r in rows}:
+        mine = [r for r in rows if r[1] == topic]
+        known = [(r[0], *r[2:]) for r in base if r[1] == topic]
+        count = len(components(known))
+        for step in sorted({r[2] for r in mine}):
+            known += [(r[0], *r[3:]) for r in mine if r[2] == step]
+            out[topic, step], count = len(components(known)) - count, len(components(known))
+    return out
+
+
+def test_exact_novelty_by_topic_with_a_base(spark):
+    rng = random.Random(5)
+    pick = lambda: None if rng.random() < 0.4 else f"k{rng.randrange(25)}"
+    topic = lambda: rng.choice(["a", "b", "", None])
+    base = [(f"b{i}", topic(), pick(), pick()) for i in range(30)]
+    rows = [(f"r{i}", topic(), rng.randrange(1, 6), pick(), pick()) for i in range(120)]
+    df = spark.createDataFrame(rows, "id string, topic string, step int, k1 string, k2 string")
+    known = spark.createDataFrame(base, "id string, topic string, k1 string, k2 string")
+    got = L.exact_added(df, "id", ["k1", "k2"], "step", "topic", known).collect()
+    assert {(r.topic, r.step): r.records_added for r in got} == exact_by_hand(rows, base)
+    empty = L.exact_added(df.limit(0), "id", ["k1", "k2"], "step", "topic", known)
+    assert empty.collect() == [] and empty.columns == ["topic", "step", "records_added"]
+
+
 def test_rolling_and_saturation(spark):
     rates = [0.04] + [0.01] * 9
     rows = [("t", i + 1, r) for i, r in enumerate(rates)]

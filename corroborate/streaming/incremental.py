@@ -8,13 +8,12 @@ import sys
 from collections.abc import Iterator
 from datetime import timedelta
 
-import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-from pyspark.sql.types import BooleanType, StructField, StructType
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from corroborate.functions.scalars import seconds
 from corroborate.operators.skew import latest_per_key
@@ -251,49 +250,37 @@ def read_upserts(spark, path: str, keys: list[str]) -> DataFrame:
 
 
 def stream_harvest(stream: DataFrame, dedupe_key: str) -> DataFrame:
-    """Distinct (query, key) hits, ``added`` for the first query that returned the key.
+    """Distinct (query, key) hits over all micro-batches.
 
     ``stream``: query_index, ``dedupe_key`` and further columns; a hit without query or key is
-    left out. First means in the earliest micro-batch, there the smallest query_index. Two states, so
-    history is never read again: the pairs seen, which spreads a frequent key over its
-    queries, then one flag per key. Of repeated pairs any row stays.
+    left out. State is one row per pair, so a frequent key is spread over its queries. Of
+    repeated pairs any row stays.
     """
-    hits = stream.filter(F.col("query_index").isNotNull() & F.col(dedupe_key).isNotNull())
-    schema = StructType([*stream.schema.fields, StructField("added", BooleanType())])
-
-    def first(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held, least, at = None, None, 0
-        for rows in batches:
-            rows = rows.assign(added=False)
-            asked = rows["query_index"].to_numpy()
-            if not state.exists and len(asked) and (held is None or asked.min() < least):
-                if held is not None:
-                    yield held
-                held, least, at = rows, asked.min(), asked.argmin()
-            else:
-                yield rows
-        if held is not None:
-            state.update((True,))
-            held["added"] = np.arange(len(held)) == at
-            yield held
-
-    return hits.dropDuplicates(["query_index", dedupe_key]).groupBy(dedupe_key).applyInPandasWithState(
-        first, schema, "known boolean", "append", GroupStateTimeout.NoTimeout
-    )
+    known = F.col("query_index").isNotNull() & F.col(dedupe_key).isNotNull()
+    return stream.filter(known).dropDuplicates(["query_index", dedupe_key])
 
 
-def harvest_batch(path: str):
+def harvest_batch(path: str, dedupe_key: str):
     """foreachBatch writer of ``stream_harvest``: new records, and what each query gained in the batch.
 
-    A retried batch overwrites its own folders.
+    A key counts for the query that returned it in the earliest micro-batch, there for the
+    smallest query_index. Keys of earlier batches are read back from the written table (the
+    key column, one row a key), so a restart repeats nothing; a retried batch overwrites its
+    own folders.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         pairs = cut_lineage(batch)
-        pairs.filter("added").drop("added").write.mode("overwrite").parquet(f"{path}/records/batch={batch_id}")
-        gained = pairs.groupBy("query_index").agg(
-            F.count(F.lit(1)).alias("unique_returned"), F.count_if("added").alias("records_added")
-        )
+        first = latest_per_key(pairs.withColumn("_first", -F.col("query_index")), [dedupe_key], ["_first"]).drop("_first")
+        if batch_id:
+            schema = StructType([pairs.schema[dedupe_key], StructField("batch", IntegerType())])
+            known = batch.sparkSession.read.schema(schema).parquet(f"{path}/records").filter(F.col("batch") < batch_id)
+            first = first.join(known, dedupe_key, "left_anti")
+        fresh = cut_lineage(first)
+        fresh.write.mode("overwrite").parquet(f"{path}/records/batch={batch_id}")
+        added = fresh.groupBy("query_index").agg(F.count(F.lit(1)).alias("records_added"))
+        unique = pairs.groupBy("query_index").agg(F.count(F.lit(1)).alias("unique_returned"))
+        gained = unique.join(added, "query_index", "left").na.fill(0, ["records_added"])
         gained.write.mode("overwrite").parquet(f"{path}/novelty/batch={batch_id}")
 
     return write

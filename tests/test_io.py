@@ -147,7 +147,7 @@ def test_harvest_credits_the_first_query_once(spark, tmp_path):
     for part in parts:
         spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(src)
         run = I.stream_harvest(spark.readStream.schema(schema).parquet(src), "key").writeStream
-        run = run.option("checkpointLocation", str(tmp_path / "log")).foreachBatch(I.harvest_batch(out))
+        run = run.option("checkpointLocation", str(tmp_path / "log")).foreachBatch(I.harvest_batch(out, "key"))
         run.trigger(availableNow=True).start().awaitTermination()
     got = sorted(tuple(r) for r in I.read_harvest(spark, out).collect())
     assert got == [(0, 1, 0), (1, 1, 1), (2, 3, 2)]

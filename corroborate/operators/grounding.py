@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from corroborate.functions import arrow
 from corroborate.functions import text as X
 from corroborate.functions import vocabulary as V
+from corroborate.operators.sieve import keep_wanted
 from corroborate.operators.skew import skew_join
 from corroborate.session import cut_lineage
 
@@ -70,11 +71,13 @@ def ground_quotes(quotes: DataFrame, sources: DataFrame, row_id: str) -> DataFra
     """Locate each quote in the source text of its own record.
 
     ``quotes``: row_id, record_id, quote[, occurrence]; ``sources``: record_id,
-    source_text. Containment prunes natively before any span is computed.
+    source_text. Containment prunes natively before any span is computed; texts
+    that no quote cites are neither normalised nor moved.
     """
     nth = F.col("occurrence") if "occurrence" in quotes.columns else F.lit(0)
     prepared = quotes.withColumn("needle", X.norm_quality(F.col("quote"))).withColumn("_nth", nth)
-    hay = sources.select(
+    cited = keep_wanted(sources, F.col("record_id"), quotes, F.col("record_id"))
+    hay = cited.select(
         "record_id", "source_text", X.norm_quality(F.col("source_text")).alias("hay")
     )
     joined = skew_join(prepared, hay, "record_id", how="left")
@@ -96,41 +99,32 @@ def find_passages(passages: DataFrame, documents: DataFrame) -> DataFrame:
     """Which documents contain which passages, and where.
 
     ``passages``: passage_id, passage; ``documents``: doc_id, text. Containment is
-    not token-aligned, so anchors are interior word 5-grams (the first and last
-    word may be cut in a document); short passages use their own leading
-    characters. Per passage only the rarest anchor joins, and every candidate is
-    verified on the whole text, so the result is exact.
+    not token-aligned: the first and last word of a passage may be cut in a document,
+    the words between are whole. Anchors are runs of up to five of these; passages of
+    one or two words use their own leading bytes. The anchors of all passages form
+    a bounded bit set that the scan of the documents probes, so only rows that meet one
+    leave it. Per passage the rarest anchor joins, texts move only where there is a
+    candidate, and each is verified as a whole, so the result is exact.
     """
-    needles = (
-        passages.select("passage_id", X.norm_quality(F.col("passage")).alias("needle"))
-        .filter("needle <> ''")
-        .withColumn("words", F.split("needle", " "))
+    needles = passages.select("passage_id", X.norm_quality(F.col("passage")).alias("needle")).filter("needle <> ''")
+    distinct = needles.select("needle").distinct().withColumn("words", F.split("needle", " "))
+    inside = F.least(F.size("words") - 2, F.lit(GRAM))
+    leading = F.least(F.octet_length("needle"), F.lit(SHORT_GRAM))
+    whole = inside > 0
+    grams = F.when(whole, _interior_grams(F.col("words"))).otherwise(
+        F.array(_char_gram(F.substring(F.col("needle").cast("binary"), F.lit(1), leading)))
     )
-    distinct = needles.select("needle", "words").distinct()
-    long = F.size("words") >= GRAM + 2
-    anchors = distinct.select(
-        "needle",
-        F.explode(
-            F.when(long, _word_grams(F.slice("words", F.lit(2), F.size("words") - 2))).otherwise(
-                F.array(_char_gram(F.substring("needle", 1, SHORT_GRAM)))
-            )
-        ).alias("gram"),
-    ).distinct()
-    short_lengths = [
-        row.n
-        for row in distinct.filter(~long)
-        .select(F.least(F.length("needle"), F.lit(SHORT_GRAM)).alias("n"))
-        .distinct()
-        .collect()  # at most SHORT_GRAM values
-    ]
+    anchors = cut_lineage(
+        distinct.select(
+            "needle", F.when(whole, inside).otherwise(-leading).alias("kind"), F.explode(F.array_distinct(grams)).alias("gram")
+        )
+    )
+    kinds = [row.kind for row in anchors.select("kind").distinct().collect()]  # at most GRAM + SHORT_GRAM values
     hay = documents.select("doc_id", X.norm_quality(F.col("text")).alias("hay"))
-    grams = _word_grams(F.split("hay", " "))
-    for n in sorted(short_lengths):
-        grams = F.concat(grams, _char_grams(F.col("hay"), n))
-    shared = hay.select("doc_id", F.explode(F.array_distinct(grams)).alias("gram")).join(
-        anchors.select("gram").distinct(), "gram", "left_semi"
+    met = keep_wanted(
+        hay.select("doc_id", F.explode(_grams_of(F.col("hay"), kinds)).alias("gram")), F.col("gram"), anchors, F.col("gram")
     )
-    shared = cut_lineage(shared)
+    shared = cut_lineage(met.join(anchors.select("gram").distinct(), "gram", "left_semi").distinct())
     counted = shared.groupBy("gram").agg(F.count(F.lit(1)).alias("docs"))
     rarest = (
         anchors.join(counted, "gram", "left")
@@ -139,8 +133,9 @@ def find_passages(passages: DataFrame, documents: DataFrame) -> DataFrame:
         .filter("a.docs > 0")
         .select("needle", "a.gram")
     )
-    candidates = skew_join(shared, rarest, "gram").select("doc_id", "needle")
-    checked = skew_join(candidates, documents.select("doc_id", "text"), "doc_id").filter(F.contains(X.norm_quality(F.col("text")), F.col("needle")))
+    candidates = cut_lineage(skew_join(shared, rarest, "gram").select("doc_id", "needle"))
+    texts = keep_wanted(documents.select("doc_id", "text"), F.col("doc_id"), candidates, F.col("doc_id"))
+    checked = skew_join(candidates, texts, "doc_id").filter(F.contains(X.norm_quality(F.col("text")), F.col("needle")))
     hits = checked.withColumn("_span", span_of(F.col("text"), F.col("needle"))).select(
         "needle",
         "doc_id",
@@ -148,29 +143,49 @@ def find_passages(passages: DataFrame, documents: DataFrame) -> DataFrame:
         F.col("_span.end").alias("end"),
         slice_text(F.col("text"), F.col("_span.start"), F.col("_span.end")).alias("quote"),
     )
-    return skew_join(needles.select("passage_id", "needle"), hits, "needle").drop("needle")
+    return skew_join(needles, hits, "needle").drop("needle")
 
 
 def _spots(count: Column) -> Column:
     return F.when(count >= 1, F.sequence(F.lit(1), count)).otherwise(F.array().cast("array<int>"))
 
 
-def _word_grams(words: Column) -> Column:
+def _word_grams(words: Column, size: int) -> Column:
+    """Hashes of all runs of ``size`` words; each word is hashed once."""
     return X.bind(
-        words,
-        lambda w: F.transform(
-            _spots(F.size(w) - GRAM + 1), lambda i: F.xxhash64(F.lit("w"), F.slice(w, i, F.lit(GRAM)))
+        F.transform(words, lambda w: F.xxhash64(w)),
+        lambda h: F.transform(
+            _spots(F.size(h) - size + 1), lambda i: F.xxhash64(F.lit("w"), *[F.get(h, i + (k - 1)) for k in range(size)])
         ),
     )
 
 
+def _interior_grams(words: Column) -> Column:
+    """Runs of whole words of a passage: five of them, or all where there are fewer."""
+    inside = F.slice(words, F.lit(2), F.greatest(F.size(words) - 2, F.lit(0)))
+    grams = F.array().cast("array<bigint>")
+    for size in range(GRAM, 0, -1):
+        fits = F.size(words) - 2 >= GRAM if size == GRAM else F.size(words) - 2 == size
+        grams = F.when(fits, _word_grams(inside, size)).otherwise(grams)
+    return grams
+
+
+def _grams_of(hay: Column, kinds: list[int]) -> Column:
+    """Grams of a text of the kinds that occur: n words (n > 0) or -n bytes."""
+    sizes = sorted(k for k in kinds if k > 0)
+    words = X.bind(F.split(hay, " "), lambda w: F.concat(*[_word_grams(w, n) for n in sizes])) if sizes else None
+    parts = [p for p in (words, *[_char_grams(hay, -k) for k in sorted(kinds) if k < 0]) if p is not None]
+    return F.concat(*parts) if parts else F.array().cast("array<bigint>")
+
+
 def _char_gram(piece: Column) -> Column:
     return F.xxhash64(F.lit("c"), piece)
 
 
 def _char_grams(hay: Column, n: int) -> Column:
+    """Hashes of all runs of ``n`` bytes; a slice of bytes does not walk the text to its place."""
     return X.bind(
-        hay,
+        hay.cast("binary"),
         lambda h: F.transform(
             _spots(F.length(h) - n + 1), lambda i: _char_gram(F.substring(h, i, F.lit(n)))
         ),
@@ -191,7 +206,8 @@ def span_conditions(
 
 
 def span_audit(citations: DataFrame, sources: DataFrame, row_id: str) -> DataFrame:
-    joined = skew_join(citations, sources, "record_id", how="left")
+    cited = keep_wanted(sources, F.col("record_id"), citations, F.col("record_id"))
+    joined = skew_join(citations, cited, "record_id", how="left")
     checks = span_conditions(
         F.col("source_text"), F.col("start"), F.col("end"), F.col("quote"), F.col("source_sha256")
     )
@@ -201,7 +217,8 @@ def span_audit(citations: DataFrame, sources: DataFrame, row_id: str) -> DataFra
 
 def source_context(citations: DataFrame, sources: DataFrame, row_id: str, window: int) -> DataFrame:
     """Text before, inside and after each valid span, or the failing condition."""
-    joined = skew_join(citations, sources, "record_id", how="left")
+    cited = keep_wanted(sources, F.col("record_id"), citations, F.col("record_id"))
+    joined = skew_join(citations, cited, "record_id", how="left")
     text, start, end = F.col("source_text"), F.col("start"), F.col("end")
     conditions = span_conditions(text, start, end, F.col("quote"), F.col("source_sha256"))
     failing = F.when(text.isNull(), "unknown_record").otherwise(F.get(conditions, F.lit(0)))
@@ -344,7 +361,8 @@ def grounding_gate(
     title, topic_id, source_sha256; ``records``: record_id, source_text, and the
     record's own doi, title and topic prefixed ``r_``.
     """
-    known = records.withColumn("hay", X.norm_quality(F.col("source_text")))
+    cited = keep_wanted(records, F.col("record_id"), citations, F.col("record_id"))
+    known = cited.withColumn("hay", X.norm_quality(F.col("source_text")))
     # The needle becomes a column before the join: later lambdas may not hold a Python UDF.
     prepared = citations.withColumn("needle", X.norm_quality(F.col("quote")))
     joined = skew_join(prepared, known, "record_id", how="left")
@@ -421,7 +439,8 @@ def grounding_errors(citations: DataFrame, records: DataFrame, row_id: str) -> D
     ``r_`` columns); inference citations against the statements of the effect
     they name (``r_fact``, ``r_boundary``, ``r_cited``).
     """
-    known = records.withColumn("hay", X.norm_quality(F.col("source_text")))
+    cited = keep_wanted(records, F.col("record_id"), citations, F.col("record_id"))
+    known = cited.withColumn("hay", X.norm_quality(F.col("source_text")))
     joined = skew_join(citations, known, "record_id", how="left")
     needle = X.norm_quality(F.col("quote"))
     source = F.col("source_text")

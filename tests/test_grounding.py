@@ -3,6 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from corroborate.functions import text as X
 from corroborate.functions import vocabulary as V
 from corroborate.operators import grounding as G
 from corroborate.operators import skew
@@ -98,3 +99,28 @@ def test_locate_all_udtf(spark):
 
     rows = LocateAll(F.lit("ab ab, AB"), F.lit("ab")).collect()
     assert [(r.occurrence, r.start, r.end) for r in rows] == [(0, 0, 2), (1, 3, 5), (2, 7, 9)]
+
+
+def test_find_passages_of_every_length_cut_inside_words(spark):
+    rng = random.Random(12)
+    words = ["memory", "load", "über", "x", "naïve", "7", "limits", "of", "Ⅷ", "apply"]
+    docs = [(i, " ".join(rng.choices(words, k=rng.choice([0, 1, 2, 5, 40])))) for i in range(60)] + [(60, None), (61, "limits " * 3000)]
+    passages = [(0, None), (1, ""), (2, "load"), (3, "ory lo"), (4, "limits limits limits lim")]
+    for p in range(5, 60):
+        body = docs[rng.randrange(60)][1]
+        start = rng.randrange(max(1, len(body)))
+        passages.append((p, body[start : start + rng.choice([1, 3, 7, 12, 18, 24, 30, 40, 60, 80])]))
+    p, d = spark.createDataFrame(passages, "passage_id int, passage string"), spark.createDataFrame(docs, "doc_id int, text string")
+    norm = lambda df, key, col: {r[0]: r[1] for r in df.select(key, X.norm_quality(F.col(col))).collect()}
+    needles, hays = norm(p, "passage_id", "passage"), norm(d, "doc_id", "text")
+    want = {(i, j) for i, n in needles.items() for j, h in hays.items() if n and h and n in h}
+    found = G.find_passages(p, d).collect()
+    assert {(r.passage_id, r.doc_id) for r in found} == want and len(found) == len(want)
+    assert {len(needles[i].split()) for i, _ in want} >= {1, 2, 3, 4, 5, 6, 7}
+
+
+def test_quotes_of_unknown_and_null_records_stay_rows(spark):
+    quotes = spark.createDataFrame([(1, 5, "two three"), (2, 9, "two"), (3, None, "two")], "qid int, record_id int, quote string")
+    sources = spark.createDataFrame([(5, "one two three"), (6, "two three"), (None, "two")], "record_id bigint, source_text string")
+    rows = {r.qid: (r.start, r.end) for r in G.ground_quotes(quotes, sources, "qid").collect()}
+    assert rows == {1: (4, 13), 2: (None, None), 3: (None, None)}

@@ -67,3 +67,24 @@ def test_best_match_over_rounds_equals_all_pairs(spark):
             score, j = min(options)
             want[i] = (j, round(-score, 9))
     assert got == want and any(s < 0.9 for _, s in want.values()) and any(0.9 < s < 1 for _, s in want.values())
+
+
+def test_recurring_phrases_equal_counting_by_hand(spark):
+    from corroborate.operators import reports
+
+    rng = random.Random(4)
+    words = ["a", "b", "c", "d"]
+    texts = [(None if i == 3 else f"t{i % 3}", " ".join(rng.choices(words, k=rng.choice([0, 1, 2, 3, 9, 14])))) for i in range(90)]
+    texts += [("t0", None), ("t9", "q r s"), ("t9", "q r s")]
+    known = [("a b c",), ("d d",), (None,)]
+    grams = lambda s: [" ".join(s.split()[i : i + 3]) for i in range(len((s or "").split()) - 2)]
+    seen, where = {}, {}
+    for topic, text in texts:
+        for g in grams(text) if text else []:
+            seen[g] = seen.get(g, 0) + 1
+            where.setdefault(g, set()).add(topic)
+    want = {(g, len(t), seen[g]) for g, t in where.items() if len(t) >= 2 and g != "a b c"}
+    got = reports.uncovered_phrases(
+        spark.createDataFrame(texts, "topic_id string, text string"), spark.createDataFrame(known, "text string"), 3, 2
+    ).collect()
+    assert {(r.phrase, r.topics, r.occurrences) for r in got} == want and len(got) == len(want) > 5

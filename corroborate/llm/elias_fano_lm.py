@@ -14,6 +14,8 @@ for one unknown word, as large as the share of words seen once.
 
 from __future__ import annotations
 
+import hashlib
+import struct
 import sys
 import zlib
 from collections.abc import Iterator
@@ -176,8 +178,11 @@ class _Block:
         self.size += len(token)
 
     def close(self, number: int) -> _Block:
-        self.key = (TaskContext.get().partitionId() << 24) + number
         self.token, self.before, self.doc, self.learn = (np.concatenate(x) for x in (self.token, self.before, self.doc, self.learn))
+        # The key holds place and content: a block of other rows does not find the answers of this one.
+        place = struct.pack("<qq", TaskContext.get().partitionId(), number)
+        content = hashlib.blake2b(place + self.token.tobytes() + self.learn.tobytes(), digest_size=8)
+        self.key = int.from_bytes(content.digest(), "little") >> 1
         # Words of the block, with the context mark; a document lends it one start.
         self.words, which = np.unique(np.append(self.token, START), return_inverse=True)
         self.word = which[:-1]
@@ -263,7 +268,10 @@ class _Unigram:
 def _read(path: str, block: _Block) -> list[bytes]:
     """What each shard answered to the block."""
     files, base = pafs.FileSystem.from_uri(path)
-    raw = files.open_input_stream(f"{base}/block-{block.key:012d}").read()
+    try:
+        raw = files.open_input_stream(f"{base}/block-{block.key:016x}").read()
+    except FileNotFoundError as error:
+        raise RuntimeError("the documents were not read in the same blocks again") from error
     at, bodies = 0, []
     while at < len(raw):
         size = int.from_bytes(raw[at : at + 8], "little")
@@ -282,7 +290,7 @@ def _write_answers(answers: DataFrame, path: str) -> None:
     def keep(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         files, base = pafs.FileSystem.from_uri(path)
         files.create_dir(base)
-        name = f"{base}/block-{int(key[0]):012d}"
+        name = f"{base}/block-{int(key[0]):016x}"
         own = f"{name}.{TaskContext.get().taskAttemptId()}"
         with files.open_output_stream(own) as out:
             for body in group.sort_values("shard")["body"]:

@@ -31,6 +31,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 MAGIC = b"TOKSHRD1"
 SHARD_BYTES = 32 << 20  # of text
 KEYS_PER_INDEX_SHARD = 200_000
+READ_TOKENS = 8 << 20  # stored ids that a task may read back
 LEVELS = 40
 HEAD = "<8sII"
 HEAD_BYTES = struct.calcsize(HEAD)
@@ -240,7 +241,10 @@ def read_rows(found: DataFrame, path: str, with_ids: bool = False) -> DataFrame:
                 out.append(pa.array(texts, pa.list_(pa.int32())))
             yield pa.RecordBatch.from_arrays(out, names=["doc_id", "start", "n_tokens", "ids_crc32", "ids"][: len(out)])
 
-    placed = found.join(shards, "shard").repartition("shard").sortWithinPartitions("shard", "row")
+    # As many tasks as the stored ids ask for; the rows that name them are small.
+    stored = shards.agg(F.sum("tokens")).first()[0] or 0
+    parts = max(1, -(-stored // READ_TOKENS))
+    placed = found.join(shards, "shard").repartition(parts, "shard").sortWithinPartitions("shard", "row")
     return placed.select("doc_id", "shard", "row", "rows", "tokens", "base").mapInArrow(read, schema)
 
 

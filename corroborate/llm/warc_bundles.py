@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 FRAME_BYTES = 256 << 10  # of records, before compression
+READ_BYTES = 32 << 20  # of records that a task reads back
 LEVEL = 3
 # Fixed values of the seekable format and of the revisit profile.
 SKIPPABLE = 0x184D2A5E
@@ -197,7 +198,10 @@ def read_records(index: DataFrame, path: str, with_payload: bool = False) -> Dat
             arrays = [pa.array([r[n] for r in rows], k) for n, k in zip(names, kinds)]
             yield pa.RecordBatch.from_arrays(arrays, names=names)
 
-    ordered = index.repartition("archive").sortWithinPartitions("archive", "frame", "offset")
+    # The rows are small; what they make a task read is not.
+    bytes_read = index.agg(F.sum("length")).first()[0] or 0
+    parts = max(1, -(-bytes_read // READ_BYTES))
+    ordered = index.repartitionByRange(parts, "archive", "frame", "offset").sortWithinPartitions("archive", "frame", "offset")
     return ordered.select("archive", "frame", "offset", "length").mapInArrow(read, schema + ", payload binary" * with_payload)
 
 

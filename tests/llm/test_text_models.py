@@ -98,6 +98,29 @@ def test_language_model_without_training_rows(docs):
     assert len(rows) == len(ROWS) and all(r.score == 0 and r.n_known == 0 and r.train_tokens == 0 for r in rows)
 
 
+def test_language_model_refuses_other_blocks(spark, tmp_path, monkeypatch):
+    """Splits that change between the scans end the run; no block takes the counts of another."""
+    from corroborate.llm import elias_fano_lm as E
+
+    path, real = str(tmp_path / "documents.parquet"), E._ask_pairs
+    rows = [(i, f"alpha beta w{i % 5} w{i}", True) for i in range(40)]
+    spark.createDataFrame(rows, "doc_id long, text string, learn boolean").repartition(8).write.parquet(path)
+
+    def ask(*args):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "2k")
+        return real(*args)
+
+    monkeypatch.setattr(E, "_ask_pairs", ask)
+    spark.conf.set("spark.sql.files.minPartitionNum", "1")
+    try:
+        docs = spark.read.parquet(path)
+        with pytest.raises(Exception, match="not read in the same blocks again"):
+            E.score_documents(docs, "learn").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.minPartitionNum")
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
 # Language profiles
 
 

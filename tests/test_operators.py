@@ -289,3 +289,13 @@ def test_structural_duplicate_equals_all_pairs(spark):
         if options:
             want[i] = min(options)[1]
     assert got == want
+
+
+def test_structural_duplicate_by_trigger_words_and_action_groups(spark):
+    groups = {"g1": ["tip", "hint"], "g2": ["panel"]}
+    old = [("a", "T", "hint box when red line"), ("b", "T", "panel arc when red line"), ("c", "T", "hint arc when blue dot"), ("d", None, "tip when red line")]
+    new = [("x", "T", "tip when red line"), ("y", "T", "tip when blue dot"), ("z", "U", "tip when red line"), ("n", None, "tip when red line"), ("m", "T", None)]
+    schema = "id string, topic_id string, directive string"
+    out = Y.structural_duplicate(spark.createDataFrame(new, schema), spark.createDataFrame(old, schema), groups=groups)
+    got = {r.candidate_id: (r.match_id, round(r.score, 4)) for r in out.collect()}
+    assert got == {"x": ("a", 0.8), "y": ("c", 0.8)}

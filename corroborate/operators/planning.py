@@ -233,11 +233,12 @@ def admit_queue(
     budget. A paused connector's tasks, then those of a source that is down, are skipped.
     Repeated rows are tasks of their own. Money is counted in decimals of nine places.
 
-    The result is that of one pass in order, found in rounds. Let L be what a key has left. Tasks
-    of at most L / 2 in both dimensions fit as long as half of L is left in both; so one
-    running sum over them says what is left at every task up to the first that takes a
-    dimension below half, or the first larger task that still fits. All up to there are decided,
-    and at least one dimension is halved: the rounds are logarithmic in the budget, for
+    The result is that of one pass in order, found in rounds. Let L be what a key has left and S
+    the lesser of L / 2 and its largest open task. Tasks of at most S in both dimensions fit as
+    long as S of both is left; so one running sum over them says what is left at every task up
+    to the first that takes a dimension below S, or the first larger task that still fits. All up
+    to there are decided, and at least one dimension is halved or too small for the task that was
+    largest: the rounds are logarithmic in the ratio of the largest task to the least, for
     queues of any length and any mix of keys.
     """
     number = lambda c, zero: F.coalesce(F.col(c).cast(MONEY), F.lit(zero).cast(MONEY)).alias(c)
@@ -266,7 +267,7 @@ def admit_queue(
 
 
 def _admit_half(state: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
-    """Decided tasks, and the rest with what is left: below half in one dimension at least."""
+    """Decided tasks, and the rest with what is left: one dimension at least is below its share S."""
     half = lambda c: 2 * F.col(c) <= F.col(f"_{c}")
     small = F.col("_over").isNull() & half("calls") & half("usd")
     charged = state.withColumn("_small", small)
@@ -274,18 +275,26 @@ def _admit_half(state: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
     inside = Window.partitionBy(key, "_block").orderBy("_pos").rowsBetween(Window.unboundedPreceding, -1)
     before = Window.partitionBy(key).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     none = F.lit(0).cast(MONEY)
-    totals = charged.groupBy(key, "_block").agg(F.sum("_calls_small").alias("_c"), F.sum("_usd_small").alias("_u"))
-    shift = totals.select(F.col(key).alias("_k"), F.col("_block").alias("_b"), F.coalesce(F.sum("_c").over(before), none).alias("_c"), F.coalesce(F.sum("_u").over(before), none).alias("_u"))
+    totals = charged.groupBy(key, "_block").agg(
+        F.sum("_calls_small").alias("_c"), F.sum("_usd_small").alias("_u"),
+        *[F.max(F.when(F.col("_over").isNull(), F.col(c))).alias(f"_top_{c}") for c in ("calls", "usd")],
+    )
+    whole = Window.partitionBy(key)
+    shift = totals.select(
+        F.col(key).alias("_k"), F.col("_block").alias("_b"), F.coalesce(F.sum("_c").over(before), none).alias("_c"), F.coalesce(F.sum("_u").over(before), none).alias("_u"),
+        *[F.coalesce(F.max(f"_top_{c}").over(whole), none).alias(f"_top_{c}") for c in ("calls", "usd")],
+    )
     scanned = charged.withColumns({"_in_c": F.coalesce(F.sum("_calls_small").over(inside), none), "_in_u": F.coalesce(F.sum("_usd_small").over(inside), none)})
     scanned = scanned.join(shift, F.col(key).eqNullSafe(F.col("_k")) & (F.col("_block") == F.col("_b"))).drop("_k", "_b")
     left = {"calls": F.col("_calls") - F.col("_in_c") - F.col("_c"), "usd": F.col("_usd") - F.col("_in_u") - F.col("_u")}
     fits = (F.col("calls") <= left["calls"]) & (F.col("usd") <= left["usd"])
-    below = (2 * (left["calls"] - F.col("calls")) < F.col("_calls")) | (2 * (left["usd"] - F.col("usd")) < F.col("_usd"))
+    short = lambda c: ((left[c] - F.col(c)) < F.col(f"_top_{c}")) & (2 * (left[c] - F.col(c)) < F.col(f"_{c}"))
+    below = short("calls") | short("usd")
     # A larger task that runs takes its dimension below half, or to it: then nothing else is as large.
     ends = F.col("_over").isNull() & fits & (~F.col("_small") | below)
     now = F.struct("_pos", (left["calls"] - F.col("calls")).cast(MONEY).alias("calls"), (left["usd"] - F.col("usd")).cast(MONEY).alias("usd"))
-    scanned = cut_lineage(scanned.withColumns({"_fits": fits, "_ends": ends, "_now": now}).drop("_in_c", "_in_u", "_c", "_u", "_calls_small", "_usd_small"))
-    first = scanned.groupBy(key).agg(F.min(F.when(F.col("_ends"), F.col("_now"))).alias("_stop"))
+    scanned = cut_lineage(scanned.withColumns({"_fits": fits, "_ends": ends, "_now": now}).drop("_in_c", "_in_u", "_c", "_u", "_calls_small", "_usd_small", "_top_calls", "_top_usd"))
+    first = cut_lineage(scanned.groupBy(key).agg(F.min(F.when(F.col("_ends"), F.col("_now"))).alias("_stop")))
     same = F.col(key).eqNullSafe(F.col("_key"))
     joined = scanned.join(first.withColumnRenamed(key, "_key"), same).drop("_key")
     reached = F.col("_stop").isNull() | (F.col("_pos") <= F.col("_stop._pos"))

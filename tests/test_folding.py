@@ -200,3 +200,12 @@ def test_rolling_means_cross_blocks(spark, monkeypatch, block):
     got = {(r.k, r.i): r.out for r in L.rolling_mean(spark.createDataFrame(rows, "k string, i long, v double"), ["k"], "i", "v", "out", 3).collect()}
     want = {(k, i): None if i < 3 else int(sum(round(v * 10_000) for v in vs[i - 3 : i]) / 3 + 0.5) / 10_000 for k, vs in rates.items() for i in range(1, len(vs) + 1)}
     assert got == want
+
+
+def test_a_long_queue_of_small_tasks_takes_few_rounds(spark, monkeypatch):
+    rounds, one = [], N._admit_half
+    monkeypatch.setattr(N, "_admit_half", lambda *a: rounds.append(1) or one(*a))
+    rows = spark.range(3000).selectExpr("'k' AS k", "id AS item", "id AS rank", "1 AS calls", "0 AS records", "2.5 AS usd", "2000 AS call_cap", "9000.0 AS usd_cap", "false AS paused", "false AS down")
+    got = N.admit_queue(rows, "k", "item", "rank").groupBy("action").count().collect()
+    assert {r.action: r["count"] for r in got} == {"run": 2000, "defer": 1000}
+    assert len(rounds) <= 3

@@ -10,7 +10,7 @@ from datetime import timedelta
 
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import IntegerType, StructField, StructType
@@ -40,44 +40,71 @@ def stream_spend(stream: DataFrame, event_time: str, amount: str, delay: str, ca
     )
 
 
+# A call of a Python worker costs more than a key's few rows, so keys share state rows by hash.
+KEY_GROUPS = 1024
+KEPT = "kept string"
+
+
+def _group(*keys: str) -> Column:
+    return F.pmod(F.xxhash64(*keys), F.lit(KEY_GROUPS)).alias("key_group")
+
+
+def _kept(state: GroupState) -> dict:
+    """What is kept of each key of the group, as a list per key."""
+    return {tuple(key): kept for key, kept in json.loads(state.get[0])} if state.exists else {}
+
+
+def _keep(state: GroupState, kept: dict, dues: Iterator[int]) -> None:
+    """Keep the keys of the group until the first of their timers."""
+    if not kept:
+        if state.exists:
+            state.remove()
+        return
+    state.update((json.dumps(list(kept.items())),))
+    due = min(dues, default=None)
+    if due is not None:
+        state.setTimeoutTimestamp(due)
+
+
+def _rows(batches: Iterator[pd.DataFrame], *columns: str) -> Iterator[tuple]:
+    """The rows of a group whose first column, the key, is not null."""
+    for batch in batches:
+        yield from (row for row in zip(*(batch[c].tolist() for c in columns)) if row[0] is not None)
+
+
 BEAT_OUT = "source_id string, checked_millis bigint, status string"
-BEAT_STATE = "checked_millis bigint, status string"
 
 
 def stream_freshness(stream: DataFrame, event_time: str, delay: str = "12 hours", hours: int = 12) -> DataFrame:
     """Newest heartbeat per source (``source_id``, ``status``); ``unknown`` once it is ``hours`` old.
 
-    State is one row per source that still reports: a timer on event time writes the row
-    ``unknown`` and removes the state. Age counts whole seconds. Of beats of one moment the
+    State holds the sources that still report, in ``KEY_GROUPS`` rows: a timer on event time
+    writes the row ``unknown`` and removes the source. Age counts whole seconds. Of beats of one moment the
     greatest status counts; rows behind the watermark are ignored (``split_late`` keeps them
     aside). A row without source moves the watermark only.
     """
 
-    def judge(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if key[0] is None:
-            return
-        newest = tuple(state.get) if state.exists else (-1, "")
-        for rows in batches:
-            for beat in zip(rows["checked_millis"], rows["status"]):
-                newest = max(newest, (int(beat[0]), beat[1]))
-        due = newest[0] // 1000 * 1000 + hours * 3_600_000
-        if state.hasTimedOut or due <= state.getCurrentWatermarkMs():
-            newest = (newest[0], "unknown")
-            if state.exists:
-                state.remove()
-        else:
-            state.update(newest)
-            state.setTimeoutTimestamp(due - 1)
-        yield pd.DataFrame([(key[0], *newest)], columns=["source_id", "checked_millis", "status"])
+    def judge(_: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        kept, watermark, out = _kept(state), state.getCurrentWatermarkMs(), {}
+        due = lambda beat: beat[0] // 1000 * 1000 + hours * 3_600_000
+        for source, millis, status in _rows(batches, "source_id", "checked_millis", "status"):
+            kept[source,] = out[source] = max(tuple(kept.get((source,), (-1, ""))), (millis, status))
+        for (source,), beat in list(kept.items()):
+            if due(beat) <= watermark:
+                out[source] = (kept.pop((source,))[0], "unknown")
+        _keep(state, kept, (due(beat) - 1 for beat in kept.values()))
+        if out:
+            yield pd.DataFrame([(source, *beat) for source, beat in out.items()], columns=["source_id", "checked_millis", "status"])
 
     beats = stream.withWatermark(event_time, delay).select(
+        _group("source_id"),
         F.col("source_id").cast("string").alias("source_id"),
         event_time,
         F.unix_millis(event_time).alias("checked_millis"),
         F.coalesce("status", F.lit("unknown")).alias("status"),
     )
-    judged = beats.groupBy("source_id").applyInPandasWithState(
-        judge, BEAT_OUT, BEAT_STATE, "update", GroupStateTimeout.EventTimeTimeout
+    judged = beats.groupBy("key_group").applyInPandasWithState(
+        judge, BEAT_OUT, KEPT, "update", GroupStateTimeout.EventTimeTimeout
     )
     return judged.select("source_id", F.timestamp_millis("checked_millis").alias("checked_at"), "status")
 
@@ -88,7 +115,6 @@ def stale_to_unknown(newest: DataFrame, now, hours: int = 12) -> DataFrame:
 
 
 STREAK_OUT = "topic_id string, segment string, streak bigint, streak_since string, attempts bigint"
-STREAK_STATE = "streak bigint, since string, last string, attempts bigint, pending string"
 
 
 def _closed(pending: list, watermark: int) -> int:
@@ -104,25 +130,26 @@ def _follow(fold: tuple, pending: list) -> tuple:
     return streak, since, last, attempts
 
 
-def _streak(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    if key[0] is None:
-        return
-    *fold, kept = state.get if state.exists else (0, None, "", 0, "[]")
-    weeks = {week: (millis, week, low) for millis, week, low in json.loads(kept)}
-    for rows in batches:
-        for millis, week, low in zip(rows["millis"], rows["week"], rows["low_novelty"]):
-            if week > fold[2]:
-                weeks[week] = (int(millis), week, bool(low))
-    pending = sorted(weeks.values())
-    ready = _closed(pending, state.getCurrentWatermarkMs())
-    fold, pending = _follow(tuple(fold), pending[:ready]), pending[ready:]
-    state.update((*fold, json.dumps(pending)))
-    if pending:
-        state.setTimeoutTimestamp(pending[0][0])
-    streak, since, _, attempts = _follow(fold, pending)
-    yield pd.DataFrame(
-        [(*key, streak, since, attempts)], columns=["topic_id", "segment", "streak", "streak_since", "attempts"]
-    )
+def _streak(_: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    kept, watermark, seen = _kept(state), state.getCurrentWatermarkMs(), {}
+    for topic, segment, millis, week, low in _rows(batches, "topic_id", "segment", "millis", "week", "low_novelty"):
+        *fold, pending = kept.setdefault((topic, segment), [0, None, "", 0, []])
+        weeks = seen.setdefault((topic, segment), {row[1]: row for row in pending})
+        if week > fold[2]:
+            weeks[week] = [millis, week, low]
+    out = []
+    for key, (*fold, pending) in kept.items():
+        if key in seen:
+            pending = sorted(seen[key].values())
+        ready = _closed(pending, watermark)
+        fold, pending = _follow(tuple(fold), pending[:ready]), pending[ready:]
+        kept[key] = [*fold, pending]
+        if key in seen:
+            streak, since, _, attempts = _follow(fold, pending)
+            out.append((*key, streak, since, attempts))
+    _keep(state, kept, (pending[0][0] for *_, pending in kept.values() if pending))
+    if out:
+        yield pd.DataFrame(out, columns=["topic_id", "segment", "streak", "streak_since", "attempts"])
 
 
 def stream_streak(stream: DataFrame, event_time: str, delay: str) -> DataFrame:
@@ -131,11 +158,12 @@ def stream_streak(stream: DataFrame, event_time: str, delay: str) -> DataFrame:
     ``stream``: topic_id, segment, week (sorts as text), low_novelty (null: not low) and
     ``event_time``, which rises with the week. Rows may come in any order within ``delay``:
     weeks ahead of the watermark wait in the state, those behind it are folded into four
-    numbers, so the state holds the weeks of one delay at most. Every change writes the
-    streak over all weeks seen so far. A replayed week that still waits replaces its row; one
+    numbers, so the state holds the weeks of one delay at most. Keys share ``KEY_GROUPS`` state
+    rows. Every new row writes the streak of its key over all weeks seen so far. A replayed week that still waits replaces its row; one
     already folded is ignored. A row without topic moves the watermark only.
     """
     weekly = stream.withWatermark(event_time, delay).select(
+        _group("topic_id", "segment"),
         F.col("topic_id").cast("string").alias("topic_id"),
         "segment",
         event_time,
@@ -143,13 +171,12 @@ def stream_streak(stream: DataFrame, event_time: str, delay: str) -> DataFrame:
         F.coalesce("week", F.lit("")).alias("week"),
         F.coalesce("low_novelty", F.lit(False)).alias("low_novelty"),
     )
-    return weekly.groupBy("topic_id", "segment").applyInPandasWithState(
-        _streak, STREAK_OUT, STREAK_STATE, "update", GroupStateTimeout.EventTimeTimeout
+    return weekly.groupBy("key_group").applyInPandasWithState(
+        _streak, STREAK_OUT, KEPT, "update", GroupStateTimeout.EventTimeTimeout
     )
 
 
 STOP_OUT = "topic_id string, step bigint, rolling_rate double"
-STOP_STATE = "recent string, step bigint, stopped boolean, pending string"
 
 
 def stream_saturation(
@@ -161,45 +188,44 @@ def stream_saturation(
     a topic count in order of (event time, index). Rows may come in any order within
     ``delay``: those ahead of the watermark wait in the state, those behind it are folded
     into the last ``window`` rates. A stop is written when nothing can precede it any more,
-    so it is never taken back; a stopped topic keeps a flag and waits for nothing. A row
-    without topic moves the watermark only.
+    so it is never taken back; a stopped topic keeps a flag and waits for nothing. Topics share
+    ``KEY_GROUPS`` state rows. A row without topic moves the watermark only.
     """
 
-    def judge(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if key[0] is None:
-            return
-        recent, step, stopped, kept = state.get if state.exists else ("", 0, False, "[]")
-        if stopped:
-            return
-        pending = json.loads(kept)
-        for rows in batches:
-            pending += [[int(m), int(q), float(r)] for m, q, r in zip(rows["millis"], rows["query_index"], rows["novelty_rate"])]
-        pending.sort()
-        ready = _closed(pending, state.getCurrentWatermarkMs())
-        units, out = [int(u) for u in recent.split(",") if u], []
-        for _, _, rate in pending[:ready]:
-            step += 1
-            units = [*units, int(rate * 10000 + 0.5)][-window:]
-            rolling = int(sum(units) / window + 0.5) / 10000
-            if len(units) == window and step >= minimum_queries and rolling < threshold:
-                out.append((key[0], step, rolling))
-                break
-        pending = [] if out else pending[ready:]
-        state.update((",".join(map(str, units)), step, bool(out), json.dumps(pending)))
-        if pending:
-            state.setTimeoutTimestamp(pending[0][0])
+    def judge(_: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        kept, watermark, fresh, out = _kept(state), state.getCurrentWatermarkMs(), {}, []
+        for topic, millis, index, rate in _rows(batches, "topic_id", "millis", "query_index", "novelty_rate"):
+            fresh.setdefault((topic,), []).append([millis, index, rate])
+        for key in fresh:
+            kept.setdefault(key, [[], 0, False, []])
+        for key, (units, step, stopped, pending) in kept.items():
+            if stopped:
+                continue
+            pending = sorted(pending + fresh.get(key, []))
+            ready = _closed(pending, watermark)
+            for _, _, rate in pending[:ready]:
+                step += 1
+                units = [*units, int(rate * 10000 + 0.5)][-window:]
+                rolling = int(sum(units) / window + 0.5) / 10000
+                if len(units) == window and step >= minimum_queries and rolling < threshold:
+                    stopped = True
+                    out.append((*key, step, rolling))
+                    break
+            kept[key] = [[], step, True, []] if stopped else [units, step, False, pending[ready:]]
+        _keep(state, kept, (pending[0][0] for *_, pending in kept.values() if pending))
         if out:
             yield pd.DataFrame(out, columns=["topic_id", "step", "rolling_rate"])
 
     rates = stream.withWatermark(event_time, delay).select(
+        _group("topic_id"),
         F.col("topic_id").cast("string").alias("topic_id"),
         event_time,
         F.unix_millis(event_time).alias("millis"),
         F.coalesce("query_index", F.lit(-1)).cast("bigint").alias("query_index"),
         F.coalesce("novelty_rate", F.lit(0.0)).alias("novelty_rate"),
     )
-    return rates.groupBy("topic_id").applyInPandasWithState(
-        judge, STOP_OUT, STOP_STATE, "update", GroupStateTimeout.EventTimeTimeout
+    return rates.groupBy("key_group").applyInPandasWithState(
+        judge, STOP_OUT, KEPT, "update", GroupStateTimeout.EventTimeTimeout
     )
 
 

@@ -152,3 +152,11 @@ def test_harvest_credits_the_first_query_once(spark, tmp_path):
     got = sorted(tuple(r) for r in I.read_harvest(spark, out).collect())
     assert got == [(0, 1, 0), (1, 1, 1), (2, 3, 2)]
     assert sorted(r.key for r in spark.read.parquet(f"{out}/records").collect()) == ["a", "b", "c"]
+
+
+def test_keys_of_one_group_keep_their_own_streaks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(I, "KEY_GROUPS", 1)
+    row = lambda key, week, low: (key, None, week, low, week)
+    parts = [[row("a", "2024-01-01", True), row("b", "2024-01-01", False)], [row("a", "2024-01-08", True), (None, None, None, None, "2024-03-01")], [row("b", "2024-03-02", True)]]
+    got = run_batches(spark, tmp_path, parts, STREAK, streak, ["topic_id", "segment"])
+    assert sorted(got) == [("a", None, 2, "2024-01-01", 2), ("b", None, 1, "2024-03-02", 2)]

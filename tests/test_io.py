@@ -160,3 +160,12 @@ def test_keys_of_one_group_keep_their_own_streaks(spark, tmp_path, monkeypatch):
     parts = [[row("a", "2024-01-01", True), row("b", "2024-01-01", False)], [row("a", "2024-01-08", True), (None, None, None, None, "2024-03-01")], [row("b", "2024-03-02", True)]]
     got = run_batches(spark, tmp_path, parts, STREAK, streak, ["topic_id", "segment"])
     assert sorted(got) == [("a", None, 2, "2024-01-01", 2), ("b", None, 1, "2024-03-02", 2)]
+
+
+def test_topics_of_one_group_stop_on_their_own(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(I, "KEY_GROUPS", 1)
+    rows = [(k, i, r, f"2024-01-{i + 1:02d}") for k, rates in (("a", [0.9, 0.1, 0.0, 0.0]), ("b", [0.9, 0.9, 0.0, 0.0])) for i, r in enumerate(rates)]
+    build = lambda s: I.stream_saturation(s, "at", "10 days", 2, 3, 0.2)
+    parts = [rows[4:] + rows[:2], rows[2:4], [(None, None, None, "2024-03-01")]]
+    got = run_batches(spark, tmp_path, parts, "topic_id string, query_index bigint, novelty_rate double, at string", build, ["topic_id"])
+    assert sorted(got) == [("a", 3, 0.05), ("b", 4, 0.0)]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -89,6 +90,26 @@ def matches(col: Column, pattern: str) -> Column:
     return col.rlike(regex(pattern))
 
 
+def opening_words(pattern: str) -> list[str] | None:
+    """Lower-case text that each alternative of a pattern begins with; None if one has less than three letters."""
+    found = []
+    for part in alternatives(pattern):
+        run = re.match(r"\\b([a-z ]*)([?*{]?)", part)
+        text = run[1][:-1] if run and run[2] else run[1] if run else ""
+        if len(text) < 3:
+            return None
+        found.append(text)
+    return found
+
+
+def matches_folded(col: Column, lower: Column, pattern: str) -> Column:
+    """``matches`` where the lower-cased text holds what the pattern opens with; elsewhere it cannot match."""
+    words = opening_words(pattern)
+    if words is None:
+        return matches(col, pattern)
+    return reduce(Column.__or__, [lower.contains(w) for w in words]) & matches(col, pattern)
+
+
 def bind(value: Column, body) -> Column:
     """``body(value)`` with ``value`` computed once per row.
 
@@ -192,13 +213,13 @@ def quality_words(col: Column) -> Column:
 
 
 def normalised_tokens(normalised: Column) -> Column:
-    words = F.split(normalised, " ")
-    return F.array_distinct(F.filter(words, lambda w: F.length(w) > 1))
+    words = F.array_distinct(F.split(normalised, " "))
+    return F.filter(words, lambda w: F.length(w) > 1)
 
 
 def relevance_tokens(col: Column) -> Column:
-    words = F.split(F.lower(col), "[^a-z0-9]+")
-    return F.array_distinct(F.filter(words, lambda w: F.length(w) >= 4))
+    words = F.array_distinct(F.split(F.lower(col), "[^a-z0-9]+"))
+    return F.filter(words, lambda w: F.length(w) >= 4)
 
 
 def core_keywords(terms: Column, generic: list[str] = V.GENERIC_TERM_TOKENS) -> Column:
@@ -210,7 +231,7 @@ def content_words(col: Column) -> Column:
     """Topic words of a sentence: long, naively singular, without stop words."""
     stop = literals(V.OVERLAP_STOPWORDS)
     raw = F.filter(
-        F.split(F.lower(col), r"[^a-z\u00c0-\u024f]+"),
+        F.array_distinct(F.split(F.lower(col), r"[^a-z\u00c0-\u024f]+")),
         lambda w: (F.length(w) >= 4) & ~F.array_contains(stop, w),
     )
     singular = F.transform(

@@ -14,9 +14,11 @@ Markers = list[tuple[str, str]]
 
 def fired_markers(text: Column, markers: Markers = V.DISSENT_MARKERS) -> Column:
     """Names of all markers that fire, in vocabulary order."""
-    return F.array_compact(
-        F.array(*[F.when(X.matches(text, pattern), F.lit(name)) for name, pattern in markers])
-    )
+    def fired(both: Column) -> Column:
+        hits = [F.when(X.matches_folded(both["text"], both["lower"], pattern), F.lit(name)) for name, pattern in markers]
+        return F.array_compact(F.array(*hits))
+
+    return X.bind(F.struct(text.alias("text"), F.lower(text).alias("lower")), fired)
 
 
 def is_review_like(title: Column, work_type: Column) -> Column:

@@ -99,3 +99,16 @@ def test_content_words(spark):
 def test_counters_round_trip(spark):
     got = values(spark, ["a=3 b=x c=0 d=e=4"], S.format_counters(S.known_counters(F.col("x"), ["a", "b", "c", "d=e"])))
     assert got == ["a=3 d=e=4"]
+
+
+def test_markers_are_guarded_by_what_they_open_with(spark):
+    from corroborate.functions import vocabulary as V
+    from corroborate.operators import classify as C
+
+    assert X.opening_words(r"\bnull (?:result|effect)\b|\bcalls?\b") == ["null ", "call"]
+    assert X.opening_words(r"\bre-?examin") is None and X.opening_words(r"(?:a|b) c") is None
+    texts = ["NULL Findings of a ReAppraisal", "Criticue, critique", "Overestimated and inflated estimate", "It does not hold; nonull result", None, ""]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    plain = F.array_compact(F.array(*[F.when(X.matches(F.col("t"), p), F.lit(n)) for n, p in V.DISSENT_MARKERS]))
+    rows = df.select(C.fired_markers(F.col("t")).alias("a"), plain.alias("b")).collect()
+    assert all(r.a == r.b for r in rows) and sum(len(r.a) for r in rows) >= 4

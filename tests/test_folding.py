@@ -209,3 +209,11 @@ def test_a_long_queue_of_small_tasks_takes_few_rounds(spark, monkeypatch):
     got = N.admit_queue(rows, "k", "item", "rank").groupBy("action").count().collect()
     assert {r.action: r["count"] for r in got} == {"run": 2000, "defer": 1000}
     assert len(rounds) <= 3
+
+
+def test_pairs_of_sets_travel_as_numbers(spark, monkeypatch):
+    seen, plain = [], D.similar_sets
+    monkeypatch.setattr(D, "similar_sets", lambda sets, threshold: seen.append(plain(sets, threshold)) or seen[-1])
+    rng = random.Random(4)
+    D.match_candidates(*frames(spark, [claim(i, rng) for i in range(20)], [])).collect()
+    assert [t for _, t in seen[0].dtypes] == ["bigint", "bigint", "double"]

@@ -348,6 +348,51 @@ def role_verdict(
     )
 
 
+# What a citation asks of a text; citations that ask the same are judged once.
+ASKED = ["needle", "start", "end"]
+
+
+def _same(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Left join where null keys are equal to each other; the keys stand once."""
+    named = right.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], *[c for c in right.columns if c not in keys])
+    same = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
+    return left.join(named, same, "left").drop(*[f"_k{i}" for i in range(len(keys))])
+
+
+def _judged_texts(citations: DataFrame, records: DataFrame, require_roles: bool) -> DataFrame:
+    """record_id, needle, start, end, span_role: what the text of the record says to them.
+
+    Each needle is searched once per record and each role judged once per place, however many
+    citations share them; texts meet only these rows.
+    """
+    asked = citations.filter("record_id IS NOT NULL").groupBy("record_id", *ASKED)
+    asked = asked.agg(F.collect_set(F.struct("span_role")).alias("_roles"))
+    cited = keep_wanted(records, F.col("record_id"), citations, F.col("record_id"))
+    known = cited.withColumn("hay", X.norm_quality(F.col("source_text")))
+    joined = skew_join(asked, known, "record_id")
+    needle, source = F.col("needle"), F.col("source_text")
+    inside = F.contains(F.col("hay"), needle)
+    given = F.col("start").isNotNull() & F.col("end").isNotNull()
+    located = span_of(F.when(inside & ~given & (needle != ""), source), needle)
+    anchored = derive_quote(source, F.col("start"), F.col("end")).isNotNull()
+    placed = joined.select(
+        "record_id",
+        *ASKED,
+        *[c for c in records.columns if c.startswith("r_")],
+        "source_text",
+        source.isNotNull().alias("_known"),
+        inside.alias("_inside"),
+        anchored.alias("_anchored"),
+        F.when(anchored, F.sha2(source, 256)).alias("_digest"),
+        F.when(given, F.col("start")).otherwise(located["start"]).alias("_start"),
+        F.when(given, F.col("end")).otherwise(located["end"]).alias("_end"),
+        "_roles",
+    )
+    placed = placed.withColumn("_r", F.explode("_roles")).withColumn("span_role", F.col("_r.span_role"))
+    role = role_verdict(F.col("span_role"), source, F.col("_start"), F.col("_end")) if require_roles else F.lit(None).cast("string")
+    return placed.withColumn("_role", role).drop("source_text", "_start", "_end", "_roles", "_r")
+
+
 def grounding_gate(
     items: DataFrame,
     citations: DataFrame,
@@ -361,35 +406,20 @@ def grounding_gate(
     title, topic_id, source_sha256; ``records``: record_id, source_text, and the
     record's own doi, title and topic prefixed ``r_``.
     """
-    cited = keep_wanted(records, F.col("record_id"), citations, F.col("record_id"))
-    known = cited.withColumn("hay", X.norm_quality(F.col("source_text")))
     # The needle becomes a column before the join: later lambdas may not hold a Python UDF.
-    prepared = citations.withColumn("needle", X.norm_quality(F.col("quote")))
-    joined = skew_join(prepared, known, "record_id", how="left")
+    prepared = cut_lineage(citations.withColumn("needle", X.norm_quality(F.col("quote"))))
     needle = F.col("needle")
-    inside = F.contains(F.col("hay"), needle)
-    source = F.col("source_text")
-    given = F.col("start").isNotNull() & F.col("end").isNotNull()
-    located = span_of(F.when(inside & ~given & (needle != ""), source), needle)
-    start = F.when(given, F.col("start")).otherwise(located["start"])
-    end = F.when(given, F.col("end")).otherwise(located["end"])
-    placed = joined.withColumn("_start", start).withColumn("_end", end)
-    placed = placed.withColumn("_inside", inside).withColumn(
-        "_role",
-        role_verdict(F.col("span_role"), source, F.col("_start"), F.col("_end"))
-        if require_roles
-        else F.lit(None).cast("string"),
-    )
+    joined = _same(prepared, _judged_texts(prepared, records, require_roles), ["record_id", *ASKED, "span_role"])
+    known, anchored = F.coalesce(F.col("_known"), F.lit(False)), F.coalesce(F.col("_anchored"), F.lit(False))
     blank = F.col("record_id").isNull() | (
         F.coalesce(F.length(X.js_trim(F.col("quote"))), F.lit(0)) == 0
     )
-    anchored = derive_quote(source, F.col("start"), F.col("end"))
     first_pass = (
         F.when(blank, "malformed_citation")
-        .when(source.isNull(), "unknown_record_id")
+        .when(~known, "unknown_record_id")
         .when(~F.col("_inside"), "quote_not_in_source")
         .when(F.col("_role").isNotNull(), F.col("_role"))
-        .when(F.lit(require_spans) & anchored.isNull(), "malformed_citation")
+        .when(F.lit(require_spans) & ~anchored, "malformed_citation")
     )
     second_pass = (
         F.when(~F.col("topic_id").eqNullSafe(F.col("r_topic_id")), "provenance_mismatch")
@@ -397,13 +427,11 @@ def grounding_gate(
         .when(~F.col("title").eqNullSafe(F.col("r_title")), "title_mismatch")
         .when(needle == "", "quote_not_in_source")
         .when(
-            anchored.isNotNull()
-            & F.col("source_sha256").isNotNull()
-            & (F.sha2(source, 256) != F.col("source_sha256")),
+            anchored & F.col("source_sha256").isNotNull() & (F.col("_digest") != F.col("source_sha256")),
             "provenance_mismatch",
         )
     )
-    judged = placed.select(
+    judged = joined.select(
         "item_id",
         "pos",
         "record_id",

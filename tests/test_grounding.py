@@ -124,3 +124,23 @@ def test_quotes_of_unknown_and_null_records_stay_rows(spark):
     sources = spark.createDataFrame([(5, "one two three"), (6, "two three"), (None, "two")], "record_id bigint, source_text string")
     rows = {r.qid: (r.start, r.end) for r in G.ground_quotes(quotes, sources, "qid").collect()}
     assert rows == {1: (4, 13), 2: (None, None), 3: (None, None)}
+
+
+def test_citations_that_ask_the_same_are_judged_once(spark):
+    quotes = ["Plain words here", "“Plain  words here”", "plain words HERE.", "absent words", None]
+    roles = ["finding", "finding", None, "finding", "finding"]
+    rows = [(f"i{n}-{k}", 0, f"r{n}", quotes[k], roles[k], None, None, "d", "t", "x", None) for n in range(3) for k in range(5)]
+    names = "item_id string, pos int, record_id string, quote string, span_role string, start bigint, end bigint, doi string, title string, topic_id string, source_sha256 string"
+    cites = spark.createDataFrame(rows, names)
+    records = spark.createDataFrame(
+        [(f"r{n}", "Before. Plain words here, and after.", "d", "t", "x") for n in range(2)],
+        "record_id string, source_text string, r_doi string, r_title string, r_topic_id string",
+    )
+    found = {r.item_id: r.reason for r in G.grounding_gate(cites.select("item_id"), cites, records).collect()}
+    want = [None, None, "span_role_missing", "quote_not_in_source", "malformed_citation"]
+    assert found == {f"i{n}-{k}": want[k] for n in range(2) for k in range(5)} | {
+        f"i2-{k}": "malformed_citation" if quotes[k] is None else "unknown_record_id" for k in range(5)
+    }
+    asked = cites.withColumn("needle", X.norm_quality(F.col("quote"))).filter("quote IS NOT NULL")
+    # Of four citations a record, three ask the same needle, two of these with one role.
+    assert G._judged_texts(asked, records, True).count() == 2 * 3

@@ -227,11 +227,21 @@ def core_keywords(terms: Column, generic: list[str] = V.GENERIC_TERM_TOKENS) ->
     return F.array_except(relevance_tokens(F.array_join(terms, " ")), literals(generic))
 
 
+def raw_words(col: Column) -> Column:
+    """Words that ``content_words`` chooses from, as they stand."""
+    return F.split(F.lower(col), r"[^a-z\u00c0-\u024f]+")
+
+
+def word_forms(words: Column) -> Column:
+    """Every raw word that ``content_words`` may turn into one of ``words``."""
+    return F.array_union(words, F.transform(words, lambda w: F.concat(w, F.lit("s"))))
+
+
 def content_words(col: Column) -> Column:
     """Topic words of a sentence: long, naively singular, without stop words."""
     stop = literals(V.OVERLAP_STOPWORDS)
     raw = F.filter(
-        F.array_distinct(F.split(F.lower(col), r"[^a-z\u00c0-\u024f]+")),
+        F.array_distinct(raw_words(col)),
         lambda w: (F.length(w) >= 4) & ~F.array_contains(stop, w),
     )
     singular = F.transform(

@@ -300,10 +300,15 @@ def contradiction(
     """First later sentence that reverses the quote, or null."""
     def search(topic: Column) -> Column:
         tail = F.substring(source, (span_end + 1).cast("int"), F.length(source))
-        reversing = F.filter(
-            X.sentences(F.when(any_marker(tail, markers), tail)),
-            lambda s: any_marker(s, markers)
-            & (F.size(F.array_intersect(X.content_words(s), topic)) >= shared_words),
+        # Content words are costly; most sentences have too few words of the topic in any form.
+        reversing = X.bind(
+            X.word_forms(topic),
+            lambda forms: F.filter(
+                X.sentences(F.when(any_marker(tail, markers), tail)),
+                lambda s: any_marker(s, markers)
+                & (F.size(F.array_intersect(X.raw_words(s), forms)) >= shared_words)
+                & (F.size(F.array_intersect(X.content_words(s), topic)) >= shared_words),
+            ),
         )
         return X.bind(
             F.get(reversing, F.lit(0)),

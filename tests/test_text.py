@@ -112,3 +112,15 @@ def test_markers_are_guarded_by_what_they_open_with(spark):
     plain = F.array_compact(F.array(*[F.when(X.matches(F.col("t"), p), F.lit(n)) for n, p in V.DISSENT_MARKERS]))
     rows = df.select(C.fired_markers(F.col("t")).alias("a"), plain.alias("b")).collect()
     assert all(r.a == r.b for r in rows) and sum(len(r.a) for r in rows) >= 4
+
+
+def test_word_forms_reach_every_content_word(spark):
+    text = "Markers marker glass glasses this Results result; buses étés class lens"
+    row = spark.createDataFrame([(text,)], "t string").select(
+        X.content_words(F.col("t")).alias("c"),
+        F.array_intersect(X.raw_words(F.col("t")), X.word_forms(X.content_words(F.col("t")))).alias("met"),
+    ).first()
+    # Whatever content word two texts share, one of its forms stands among the raw words.
+    for word in row.c:
+        assert {word, word + "s"} & set(row.met)
+    assert {"markers", "marker", "results", "result"} <= set(row.met)

@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from corroborate.functions import text as X
 from corroborate.functions import vocabulary as V
 from corroborate.functions.scalars import month_key, round8, seconds
-from corroborate.operators.sieve import bit_set, sift
+from corroborate.operators.phrases import recurring, spelled
 from corroborate.operators.skew import latest_per_key, prefix_scan
+from corroborate.session import stored
 
 
 def lifecycle_coverage(topics: DataFrame, parent: str, status: str) -> DataFrame:
@@ -239,38 +240,18 @@ def uncovered_phrases(texts: DataFrame, known: DataFrame, size: int, min_topics:
     """Word n-grams recurring in several topics that the known vocabulary lacks.
 
     ``texts``: topic_id, text; ``known``: text. A first pass counts the topics of hashes
-    only, folded map-side; most n-grams stand in too few topics and go no further. A second
-    pass spells out those whose hash survived and counts them as they are, so two n-grams
-    with one hash cost a row and change nothing. A null topic counts as one.
+    only, packed; most n-grams stand in too few topics and go no further. A second
+    pass spells out those whose hash may have survived and counts them as they are, so two
+    n-grams with one hash cost a row and change nothing. A null topic counts as one.
     """
-    keyed = _grams(texts, ["topic_id"], size, spell=False)
-    topics = keyed.distinct().groupBy("key").agg(F.count(F.lit(1)).alias("topics"))
-    recurring = bit_set(topics.filter(F.col("topics") >= min_topics), F.col("key"))
-    spelled = sift(_grams(texts, ["topic_id"], size), F.col("key"), recurring)
-    per_topic = spelled.groupBy("phrase", "topic_id").agg(F.count(F.lit(1)).alias("n"))
+    # Three scans need the normalised texts, which cost more than all else.
+    texts = stored(texts.select("topic_id", X.norm_quality(F.col("text")).alias("text")), "texts")
+    wanted = recurring(texts, size, min_topics)
+    per_topic = spelled(texts, size, wanted).groupBy("phrase", "topic_id").agg(F.count(F.lit(1)).alias("n"))
     counted = per_topic.groupBy("phrase").agg(F.count(F.lit(1)).alias("topics"), F.sum("n").alias("occurrences"))
     found = counted.filter(F.col("topics") >= min_topics)
-    old = sift(_grams(known, [], size), F.col("key"), recurring).select("phrase").distinct()
-    return found.join(old, "phrase", "left_anti")
-
-
-def _grams(df: DataFrame, keys: list[str], size: int, spell: bool = True) -> DataFrame:
-    """keys, key[, phrase]: one row per n-gram with its hash; each word is hashed once."""
-    split = df.select(*keys, F.split(X.norm_quality(F.col("text")), " ").alias("w"))
-    both = F.struct("w", F.transform("w", lambda x: F.xxhash64(x)).alias("h"))
-
-    def gram(b: Column, i: Column) -> Column:
-        key = F.xxhash64(*[F.get(b["h"], i + (k - 1)) for k in range(size)])
-        if not spell:
-            return key
-        return F.struct(key.alias("key"), F.array_join(F.slice(b["w"], i, F.lit(size)), " ").alias("phrase"))
-
-    def grams(b: Column) -> Column:
-        last = F.size(b["w"]) - size + 1
-        return F.transform(F.when(last >= 1, F.sequence(F.lit(1), last)), lambda i: gram(b, i))
-
-    rows = X.bind(both, grams)
-    return split.select(*keys, F.inline(rows) if spell else F.explode(rows).alias("key"))
+    old = known.select(F.lit("").alias("topic_id"), X.norm_quality(F.col("text")).alias("text"))
+    return found.join(spelled(old, size, wanted).select("phrase").distinct(), "phrase", "left_anti")
 
 
 def collated_positions(df: DataFrame, keys: list[str], column: str, tie: str, collation: str = "UNICODE") -> DataFrame:

@@ -88,3 +88,26 @@ def test_recurring_phrases_equal_counting_by_hand(spark):
         spark.createDataFrame(texts, "topic_id string, text string"), spark.createDataFrame(known, "text string"), 3, 2
     ).collect()
     assert {(r.phrase, r.topics, r.occurrences) for r in got} == want and len(got) == len(want) > 5
+
+
+def test_phrases_over_many_flushes_and_shards_spell_only_what_recurs(spark, monkeypatch):
+    from corroborate.operators import phrases as P
+
+    monkeypatch.setattr(P, "FLUSH", 50)
+    monkeypatch.setattr(P, "SHARD_BYTES", 300)
+    rng = random.Random(6)
+    texts = [(None if i % 5 == 0 else f"t{i % 5}", " ".join(rng.choices("abcdefgh", k=rng.choice([0, 1, 2, 30])))) for i in range(60)]
+    df = spark.createDataFrame(texts, "topic_id string, text string")
+    where, count = {}, {}
+    for topic, text in texts:
+        w = text.split()
+        for i in range(len(w) - 2):
+            g = " ".join(w[i : i + 3])
+            where.setdefault(g, set()).add(topic)
+            count[topic, g] = count.get((topic, g), 0) + 1
+    for least in (1, 2, 3):
+        wanted = P.recurring(df, 3, least)
+        want = {k: n for k, n in count.items() if len(where[k[1]]) >= least}
+        got = {(r.topic_id, r.phrase): r["count"] for r in P.spelled(df, 3, wanted).groupBy("topic_id", "phrase").count().collect()}
+        # The set has room to spare: no other n-gram is spelled.
+        assert got == want and len(wanted) == P.WORDS

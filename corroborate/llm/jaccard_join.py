@@ -31,7 +31,7 @@ from corroborate.session import cut_lineage, remove_scratch, scratch_path
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-SHARD_BYTES = 24 << 20  # of text whose n-grams one counting task receives
+SHARD_BYTES = 12 << 20  # of text whose n-grams one counting task receives
 FLUSH_KEYS = 1 << 22
 KEY_BITS = 48
 SMALL_POSTING = 32  # sets that are all compared with each other

@@ -331,3 +331,24 @@ def test_copies_with_clashing_columns_leave_one_row(spark, docs):
 
     kept = C.drop_near_copies(spark, docs, SF).collect()
     assert sum(r.text == ROWS[0][1] for r in kept) == 1 and {r.text_key for r in kept} <= {None, "b"}
+
+
+def test_counting_one_shard_takes_little_memory():
+    import tracemalloc
+
+    import numpy as np
+    import pandas as pd
+
+    from corroborate.llm import jaccard_join as J
+
+    rng = np.random.default_rng(3)
+    parts = np.array_split(rng.integers(0, 1 << J.KEY_BITS, J.SHARD_BYTES // 6, dtype=np.uint64), 16)
+    parts = [np.unique(p) for p in parts]
+    counts = [J.zlib.compress(np.ones(len(p), "<u2").tobytes(), 1) for p in parts]
+    group = pd.DataFrame({"chunk": range(16), "keys": [J._pack(p) for p in parts], "counts": counts})
+    tracemalloc.start()
+    out = J._count((0,), group)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    # Two of these run beside each other in an executor whose heap takes most of its memory.
+    assert len(out) == 16 and peak < 160e6

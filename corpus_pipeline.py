@@ -6,6 +6,9 @@ text together; rows equal in both are copies of each other.
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -78,12 +81,25 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return pack_documents(docs.select("doc_id", "text"), tokenizer_path("word_bpe_49k.json"))
 
 
-STAGES = [
-    ("language", identify_language),
-    ("toxicity", drop_toxic),
-    ("near_copies", drop_near_copies),
-    ("benchmark", drop_benchmark),
-    ("packing", pack),
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def _tuned(stage: Stage) -> Stage:
+    """``stage`` under the settings it assumes, also where it is called without ``run``."""
+
+    @functools.wraps(stage)
+    def run_tuned(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        return stage(tune(spark), docs, sf_dir)
+
+    return run_tuned
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("language", _tuned(identify_language)),
+    ("toxicity", _tuned(drop_toxic)),
+    ("near_copies", _tuned(drop_near_copies)),
+    ("benchmark", _tuned(drop_benchmark)),
+    ("packing", _tuned(pack)),
 ]
 
 ORACLE_SQL = None
@@ -91,7 +107,6 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the whole documents table; each is written and read again."""
-    tune(spark)
     docs = table(spark, sf_dir, "documents")
     path = scratch_path(spark, "pipeline")
     for name, stage in STAGES:

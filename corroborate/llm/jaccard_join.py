@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corroborate.llm import words as W
+from corroborate.llm.memory import frugal
 from corroborate.operators.entity import connected_components
 from corroborate.session import cut_lineage, remove_scratch, scratch_path
 
@@ -119,6 +120,7 @@ def _requests(docs: DataFrame, width: int, shards: int) -> DataFrame:
     Shard -1 - chunk has no counts; its keys are those of the rows that ask.
     """
 
+    @frugal
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunk, seen, held, size = None, set(), [], 0
 
@@ -127,7 +129,13 @@ def _requests(docs: DataFrame, width: int, shards: int) -> DataFrame:
             return pa.RecordBatch.from_arrays(arrays, names=["shard", "chunk", "keys", "counts"])
 
         def flush() -> pa.RecordBatch:
-            keys, counts = np.unique(np.concatenate(held), return_counts=True) if held else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+            keys = np.concatenate([np.zeros(0, np.uint64), *held])
+            held.clear()  # few copies of the keys are held at once
+            keys.sort()
+            fresh = np.ones(len(keys), bool)
+            fresh[1:] = keys[1:] != keys[:-1]
+            counts = np.diff(np.append(np.flatnonzero(fresh), len(keys)).astype(np.int32))
+            keys = keys[fresh]
             bounds = np.array([(s << KEY_BITS) // shards for s in range(1, shards)], np.uint64)
             cuts = np.concatenate([[0], np.searchsorted(keys, bounds), [len(keys)]])
             some = [s for s in range(shards) if cuts[s + 1] > cuts[s]]
@@ -239,6 +247,7 @@ def _sets(docs: DataFrame, width: int, num: int, den: int, path: str) -> DataFra
     """doc_id, n, signature; and for sets that may be linked their n-grams in global order."""
     schema = "doc_id long, text_key long, n long, signature binary, tokens binary, codes binary"
 
+    @frugal
     def order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, seen = None, set()
         for chunk, batch in (p for batch in batches for p in _chunks(batch)):
@@ -307,6 +316,7 @@ def _overlaps(pairs: DataFrame, segments: DataFrame) -> DataFrame:
     """
     schema = "hub binary, hub_n long, signature binary, n long, fragment int, shared long, tokens binary, codes binary"
 
+    @frugal
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             shared, tokens, codes = [], [], []
@@ -409,6 +419,7 @@ def _compare_blocks(members: DataFrame, few: DataFrame, active: DataFrame, num:
     met = met.select(group.alias("group"), "signature", "root", F.col("_block").alias("side"))
     rows = met.join(active.select("signature", "tokens", "codes"), "signature")
 
+    @frugal
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, held = None, _Group()
 

@@ -17,6 +17,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from corroborate.llm.memory import frugal
 from corroborate.llm.words import mix
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -82,6 +83,7 @@ def learn_profiles(docs: DataFrame, max_n: int = MAX_N, size: int = PROFILE_SIZE
     The result has ``size`` rows a language at most. Null texts and languages teach nothing.
     """
 
+    @frugal
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         letters = _letters()
         for batch in batches:
@@ -118,6 +120,7 @@ def identify(docs: DataFrame, profiles: pd.DataFrame, max_n: int = MAX_N, size:
         one = profiles[profiles["lang"] == name].sort_values("gram")
         tables.append((one["gram"].to_numpy(np.int64), one["rank"].to_numpy(np.int64)))
 
+    @frugal
     def place(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         letters = _letters()
         for batch in batches:

@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corroborate.llm import words as W
+from corroborate.llm.memory import frugal
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -75,6 +76,7 @@ def learn(docs: DataFrame, sample: DataFrame, base_rate: float | None = None) ->
     of toxic rows, that of the sample unless given.
     """
 
+    @frugal
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             label = batch.column(1).to_numpy(zero_copy_only=False).astype(np.uint64)
@@ -211,6 +213,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     with no labels of both kinds every score is 0.
     """
 
+    @frugal
     def rate(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
             out = np.zeros(len(batch))
